@@ -5,14 +5,38 @@ chunks of consecutive order values.  Functions with bounded reach see their neig
 halo of copied rows (`over_neighbours`); functions with unbounded memory (running sums, last seen
 value, island starts) get the state of all earlier chunks from one small row per chunk
 (`running`).  Both give exactly the result of the unchunked window.
+
+When a size check has shown that no series is longer than one chunk (`longest_series`), the same
+operators build the plain window instead (`layout(whole=True)`), which saves the second pass.
 """
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CHUNK = 1 << 16
+_LAYOUT = {"whole": False}
+
+
+@contextmanager
+def layout(whole: bool):
+    """Plans built inside use plain windows if `whole`, chunked ones otherwise."""
+    old, _LAYOUT["whole"] = _LAYOUT["whole"], whole
+    try:
+        yield
+    finally:
+        _LAYOUT["whole"] = old
+
+
+def longest_series(df: DataFrame, *key_sets: list[str]) -> int:
+    """Rows of the largest group under any of the key sets: one pruned scan each, partial counts first."""
+    return max(df.groupBy(*ks).count().agg(F.max("count")).first()[0] or 0 for ks in key_sets)
+
+
+def _whole(size) -> bool:
+    return size is None and _LAYOUT["whole"]
 
 
 def _order(order: str, size: int) -> Column:
@@ -35,12 +59,13 @@ def over_neighbours(df: DataFrame, keys: list[str], stages, back: int = 0, fwd:
     """Evaluate bounded window expressions.  `stages` is one dict or a list of dicts of
     name -> function(WindowSpec) -> Column; later stages may use columns of earlier ones, so
     `back`/`fwd` must cover the summed reach.  One shuffle for all stages."""
-    size = size or CHUNK
-    w = W.partitionBy(*keys, "_c").orderBy(order)
-    out = halo(df, back, fwd, order, size)
+    if _whole(size):
+        w, out = W.partitionBy(*keys).orderBy(order), df
+    else:
+        w, out = W.partitionBy(*keys, "_c").orderBy(order), halo(df, back, fwd, order, size or CHUNK)
     for stage in stages if isinstance(stages, list) else [stages]:
         out = out.withColumns({name: fn(w) for name, fn in stage.items()})
-    return out.where("_core").drop("_c", "_core")
+    return out if _whole(size) else out.where("_core").drop("_c", "_core")
 
 
 _SUMMARY = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -51,6 +76,9 @@ def running(df: DataFrame, keys: list[str], spec: dict, order: str = "frame", si
     """Cumulative sum / max / min / last-non-null from the start of each series (or, with
     `reverse`, from its end).  spec: name -> (kind, Column).  `chunk` may be any column that is
     monotone in `order`; default is fixed-length chunks.  `exclusive` leaves out the row itself."""
+    if _whole(size):
+        w = W.partitionBy(*keys).orderBy(F.col(order).desc() if reverse else F.col(order)).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+        return df.withColumns({n: (F.last(c, ignorenulls=True) if k == "last" else _SUMMARY[k](c)).over(w) for n, (k, c) in spec.items()})
     size = size or CHUNK
     base = df.withColumn("_c", _order(order, size) if chunk is None else chunk)
     o = F.col(order)
@@ -87,6 +115,8 @@ def running(df: DataFrame, keys: list[str], spec: dict, order: str = "frame", si
 def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str) -> DataFrame:
     """0-based row number per key.  `bucket` is monotone in the first order column; counts per
     bucket are accumulated, so no task sorts more than one (key, bucket)."""
+    if _whole(None):
+        return df.withColumn(name, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("int"))
     b = df.withColumn("_b", bucket)
     n = df.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     before = n.select(*keys, "_b", F.coalesce(F.sum("_n").over(
@@ -116,23 +146,35 @@ def islands(df: DataFrame, keys: list[str], flag: Column, gap: int = 0, min_len:
             .where(F.col("end") - F.col("start") >= min_len))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank", buckets: int = 256) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank", buckets: int = 256,
+                  split: bool | None = None) -> DataFrame:
     """Counts and tie-averaged ranks per (key, distinct value): columns value, ties, before, rank, n.
     Ties collapse before the shuffle, and values are cut into ranges so one key spreads over tasks."""
     if not keys:
-        return average_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, name, buckets).drop("_all")
+        return average_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, name, buckets, True).drop("_all")
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties"))
+    if not split and _whole(None):
+        cum = F.sum("ties").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+        r = counts.withColumn("_cum", cum).withColumn("n", F.sum("ties").over(W.partitionBy(*keys)))
+        return _rank_columns(r, keys, value, name)
     span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("ties").alias("n"))
     c = counts.join(span, keys).withColumn("_vb", F.when(F.col("_hi") > F.col("_lo"), F.floor(
         (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(F.lit(0)))
-    r = running(c, keys, {"_cum": ("sum", F.col("ties"))}, order=value, chunk=F.col("_vb"))
+    r = running(c, keys, {"_cum": ("sum", F.col("ties"))}, order=value, chunk=F.col("_vb"), size=CHUNK)
+    return _rank_columns(r, keys, value, name)
+
+
+def _rank_columns(r, keys, value, name):
     return r.select(*keys, value, "ties", (F.col("_cum") - F.col("ties")).alias("before"),
                     (F.col("_cum") - F.col("ties") + (F.col("ties") + 1) / 2).alias(name), "n")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation quantiles per key without holding a group in one task."""
-    r = average_ranks(df, keys, value)
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], split: bool | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per key without holding a large group in one task."""
+    if not split and keys and _whole(None):
+        v = F.col(value)
+        return df.where(v.isNotNull()).groupBy(*keys).agg(F.count(v).alias("n"), *[F.percentile(v, F.lit(p)).alias(m) for m, p in probs.items()])
+    r = average_ranks(df, keys, value, split=split)
     aggs, n1 = [], F.col("n") - 1
     lo_, hi_ = F.col("before"), F.col("before") + F.col("ties") - 1
     for name, p in probs.items():

@@ -75,26 +75,26 @@ def savgol(cols: list[str], fps: float, window: int, poly: int = 3, derivs=(0, 1
         b = w.rowsBetween(1, reach)
         return F.coalesce(F.first(hole, ignorenulls=True).over(b) - f - 1, F.count("*").over(b))
 
-    nb, na = F.col("_nb"), F.col("_na")
-    in_run = F.col("_ok") & (nb + na + 1 >= run_min)
-    centre = in_run & (nb >= half) & (na >= half)
-    at = lambda c, o: lambda w: F.col(c) if o == 0 else F.lag(c, -o).over(w) if o < 0 else F.lead(c, o).over(w)
-    near = {f"_{c}_{'m' if o < 0 else 'p'}{abs(o)}": at(c, o) for c in cols
-            for o in range(-(window - 1), window) if 0 in derivs or abs(o) <= half}
-    pick = lambda c, o: F.col(f"_{c}_{'m' if o < 0 else 'p'}{abs(o)}")
-
-    def dot(c, weights, i):
-        return sum((pick(c, j - i) * float(v) for j, v in enumerate(weights)), F.lit(0.0))
-
+    in_run = f"_ok AND _nb + _na + 1 >= {run_min}"
+    centre = f"{in_run} AND _nb >= {half} AND _na >= {half}"
+    name = lambda c, o: c if o == 0 else f"_{c}_{'m' if o < 0 else 'p'}{abs(o)}"
+    at = lambda c, o: lambda w: F.lag(c, -o).over(w) if o < 0 else F.lead(c, o).over(w)
+    near = {name(c, o): at(c, o) for c in cols for o in range(-(window - 1), window)
+            if o != 0 and (0 in derivs or abs(o) <= half)}
+    dot = lambda c, weights, i: " + ".join(f"{name(c, j - i)} * {float(v)!r}D" for j, v in enumerate(weights))
     res = {}
     for c in cols:
         for d in derivs:
             m = sg_matrix(window, poly, d, 1.0 / fps)
-            e = F.when(centre, dot(c, m[half], half))
+            e = f"CASE WHEN {centre} THEN {dot(c, m[half], half)}"
             if d == 0:
-                for i in range(half):
-                    e = e.when(in_run & (nb == i), dot(c, m[i], i)).when(in_run & (na == i), dot(c, m[window - 1 - i], window - 1 - i))
-            res[out.format(c=c, d=d)] = (lambda e: lambda w: e)(e)
+                # edge rows are few: weights by position, neighbours as an array
+                arr = "array(" + ", ".join(name(c, o) for o in range(-(window - 1), window)) + ")"
+                wts = "array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in row) + ")" for row in m) + ")"
+                pos = f"CASE WHEN _nb < {half} THEN _nb ELSE {window - 1} - _na END"
+                e += (f" WHEN {in_run} THEN aggregate(zip_with(slice({arr}, {window} - CAST({pos} AS INT), {window}), "
+                      f"element_at({wts}, CAST({pos} AS INT) + 1), (a, b) -> a * b), 0D, (s, v) -> s + v)")
+            res[out.format(c=c, d=d)] = (lambda e: lambda w: F.expr(e))(e + " END")
     return Step([{"_ok": lambda w: ok}, {"_nb": before, "_na": after}, near, res], reach, reach)
 
 
