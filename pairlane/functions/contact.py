@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from pairlane.constants import CHART, CONF, REGIONS, SEGMENTS
 
@@ -38,7 +38,7 @@ def _blocks(*cols):
         yield slice(s, s + STEP), [np.vstack(c.iloc[s:s + STEP].to_numpy()).astype(float).reshape(-1, 17, 3) for c in cols]
 
 
-@F.pandas_udf("struct<d double, idx int>")
+@F.pandas_udf(T.StructType().add("d", T.DoubleType()).add("idx", T.IntegerType()))
 def nearest_regions(ka: pd.Series, kb: pd.Series) -> pd.DataFrame:
     """Smallest segment distance and its region pair (6 * a + b); the first pair wins ties."""
     reg = np.array([REGIONS.index(s[0]) for s in SEGMENTS])
@@ -63,7 +63,7 @@ _SEG = [s for s in SEGMENTS if s[1] != s[2]]
 _CONTACT = ["d", "xa", "ya", "xb", "yb", "ra", "rb", "cxa", "cya", "cxb", "cyb", "dra", "drb", "sxa", "sya", "sxb", "syb"]
 
 
-@F.pandas_udf("struct<" + ", ".join(f"{c} {'int' if c in ('ra', 'rb', 'dra', 'drb') else 'double'}" for c in _CONTACT) + ">")
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType() if c in ("ra", "rb", "dra", "drb") else T.DoubleType()) for c in _CONTACT]))
 def contact_location(ka: pd.Series, kb: pd.Series, thr: pd.Series) -> pd.DataFrame:
     """Per frame, from the closest of 11 x 11 samples on every segment pair:
     d, xa..yb, ra, rb: the closest pair of points and its regions (first pair wins ties);
@@ -109,7 +109,6 @@ def contact_location(ka: pd.Series, kb: pd.Series, thr: pd.Series) -> pd.DataFra
         some, row = np.isfinite(f[np.arange(n), m]), np.arange(n)
         pt = lambda x: np.where(some[:, None], x.reshape(n, S * S, 2)[row, m], np.nan)
         pa, pb = pt(xa), pt(xb)
-        nul = lambda x, ok: pd.array(np.where(ok, x, -1), "Int32").copy()
         df = pd.DataFrame({"d": np.where(some, f[row, m], np.nan), "xa": pa[:, 0], "ya": pa[:, 1], "xb": pb[:, 0], "yb": pb[:, 1],
                            "ra": reg[m // S], "rb": reg[m % S], "cxa": mA[:, 0], "cya": mA[:, 1], "cxb": mB[:, 0], "cyb": mB[:, 1],
                            "dra": wa.argmax(1), "drb": wb.argmax(1), "sxa": np.abs(sA[:, 0]), "sya": sA[:, 1], "sxb": np.abs(sB[:, 0]), "syb": sB[:, 1]})
