@@ -24,15 +24,15 @@ def sg_derivatives(df, keys, fps=30.0, window=11, poly=3, max_fill=2, size=None)
     return out
 
 
-def sg_chain(fps, window=11, poly=3, max_fill=2):
-    post = Step([{"residual": lambda w: dist(F.col("xf") - F.col("x_s"), F.col("yf") - F.col("y_s")),
-                  "filled": lambda w: F.col("fx") | F.col("fy")},
-                 {"valid_deriv": lambda w: F.col("vx").isNotNull() & F.col("jx").isNotNull()}], 0, 0)
-    sg = savgol(["xf", "yf"], fps, window, poly)
-    rename = Step([{n: (lambda s: lambda w: F.col(s))(s) for n, s in (
-        ("x_s", "xf_d0"), ("y_s", "yf_d0"), ("vx", "xf_d1"), ("vy", "yf_d1"), ("axx", "xf_d2"), ("ayy", "yf_d2"),
-        ("jx", "xf_d3"), ("jy", "yf_d3"))}], 0, 0)
-    return [fill_small_gaps("x", max_fill, "xf", "fx"), fill_small_gaps("y", max_fill, "yf", "fy"), sg, rename, post]
+def sg_chain(fps, window=11, poly=3, max_fill=2, x="x", y="y", p=""):
+    """Fill, filter and name the columns of one body: {p}x_s, {p}vx, {p}axx, {p}jx, ..., {p}residual."""
+    fx, fy = f"{p}xf", f"{p}yf"
+    c = lambda n: F.col(p + n)
+    names = {"x_s": f"{fx}_d0", "y_s": f"{fy}_d0", "vx": f"{fx}_d1", "vy": f"{fy}_d1", "axx": f"{fx}_d2", "ayy": f"{fy}_d2", "jx": f"{fx}_d3", "jy": f"{fy}_d3"}
+    rename = Step([{p + n: (lambda s: lambda w: F.col(s))(s) for n, s in names.items()}], 0, 0)
+    post = Step([{p + "residual": lambda w: dist(F.col(fx) - c("x_s"), F.col(fy) - c("y_s")), p + "filled": lambda w: c("fx") | c("fy")},
+                 {p + "valid_deriv": lambda w: c("vx").isNotNull() & c("jx").isNotNull()}], 0, 0)
+    return [fill_small_gaps(x, max_fill, fx, p + "fx"), fill_small_gaps(y, max_fill, fy, p + "fy"), savgol([fx, fy], fps, window, poly), rename, post]
 
 
 def jerk_floor_factor(fps: float, window: int = 11, poly: int = 3) -> float:
@@ -47,14 +47,18 @@ def jitter_sigma(df, keys, col="residual", min_n=50) -> DataFrame:
 
 def body_kinematics(df, keys, fps=30.0, scale: Column | float = 1.0, max_jump=1.0, max_speed=15.0, max_fill=2, size=None) -> DataFrame:
     """Teleport removal, derivatives, magnitudes; implausible speeds become NULL."""
+    return apply_steps(df, keys, *kinematics_chain(fps, scale, max_jump, max_speed, max_fill), size=size)
+
+
+def kinematics_chain(fps, scale: Column | float = 1.0, max_jump=1.0, max_speed=15.0, max_fill=2, x="x", y="y", p="") -> list[Step]:
+    """Steps of `body_kinematics` for the columns x, y; chains of several bodies can share one shuffle."""
     s = scale if isinstance(scale, Column) else F.lit(float(scale))
-    mag = Step([{"speed": lambda w: dist(F.col("vx"), F.col("vy")), "accel": lambda w: dist(F.col("axx"), F.col("ayy")),
-                 "jerk": lambda w: dist(F.col("jx"), F.col("jy"))},
-                {"implausible": lambda w: F.coalesce(F.col("speed") > s * max_speed, F.lit(False))},
-                {c: (lambda c: lambda w: F.when(~F.col("implausible"), F.col(c)))(c) for c in ("speed", "accel", "jerk", "vx", "vy")},
-                {"kinetic_energy": lambda w: F.col("speed") * F.col("speed"),
-                 "valid_deriv": lambda w: F.col("valid_deriv") & ~F.col("implausible")}], 0, 0)
-    return apply_steps(df, keys, remove_teleports("x", "y", s * max_jump, "teleport"), *sg_chain(fps, max_fill=max_fill), mag, size=size)
+    c = lambda n: F.col(p + n)
+    mag = Step([{p + "speed": lambda w: dist(c("vx"), c("vy")), p + "accel": lambda w: dist(c("axx"), c("ayy")), p + "jerk": lambda w: dist(c("jx"), c("jy"))},
+                {p + "implausible": lambda w: F.coalesce(c("speed") > s * max_speed, F.lit(False))},
+                {p + n: (lambda n: lambda w: F.when(~c("implausible"), c(n)))(n) for n in ("speed", "accel", "jerk", "vx", "vy")},
+                {p + "kinetic_energy": lambda w: c("speed") * c("speed"), p + "valid_deriv": lambda w: c("valid_deriv") & ~c("implausible")}], 0, 0)
+    return [remove_teleports(x, y, s * max_jump, p + "teleport"), *sg_chain(fps, max_fill=max_fill, x=x, y=y, p=p), mag]
 
 
 def compensate_camera(df, keys, size=None) -> DataFrame:

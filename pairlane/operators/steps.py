@@ -62,10 +62,11 @@ def savgol(cols: list[str], fps: float, window: int, poly: int = 3, derivs=(0, 1
     NULL within half a window of a run edge; the smoothed value keeps the edge fit."""
     run_min = max(run_min or window, window)
     half, reach, f = window // 2, run_min - 1, F.col("frame")
+    OK, NB, NA = (f"_{n}_{cols[0]}" for n in ("ok", "nb", "na"))
     ok = F.lit(True)
     for c in cols:
         ok = ok & F.col(c).isNotNull()
-    hole = F.when(~F.col("_ok"), f)
+    hole = F.when(~F.col(OK), f)
 
     def before(w):
         b = w.rowsBetween(-reach, -1)
@@ -75,8 +76,8 @@ def savgol(cols: list[str], fps: float, window: int, poly: int = 3, derivs=(0, 1
         b = w.rowsBetween(1, reach)
         return F.coalesce(F.first(hole, ignorenulls=True).over(b) - f - 1, F.count("*").over(b))
 
-    in_run = f"_ok AND _nb + _na + 1 >= {run_min}"
-    centre = f"{in_run} AND _nb >= {half} AND _na >= {half}"
+    in_run = f"{OK} AND {NB} + {NA} + 1 >= {run_min}"
+    centre = f"{in_run} AND {NB} >= {half} AND {NA} >= {half}"
     name = lambda c, o: c if o == 0 else f"_{c}_{'m' if o < 0 else 'p'}{abs(o)}"
     at = lambda c, o: lambda w: F.lag(c, -o).over(w) if o < 0 else F.lead(c, o).over(w)
     near = {name(c, o): at(c, o) for c in cols for o in range(-(window - 1), window)
@@ -91,11 +92,11 @@ def savgol(cols: list[str], fps: float, window: int, poly: int = 3, derivs=(0, 1
                 # edge rows are few: weights by position, neighbours as an array
                 arr = "array(" + ", ".join(name(c, o) for o in range(-(window - 1), window)) + ")"
                 wts = "array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in row) + ")" for row in m) + ")"
-                pos = f"CASE WHEN _nb < {half} THEN _nb ELSE {window - 1} - _na END"
+                pos = f"CASE WHEN {NB} < {half} THEN {NB} ELSE {window - 1} - {NA} END"
                 e += (f" WHEN {in_run} THEN aggregate(zip_with(slice({arr}, {window} - CAST({pos} AS INT), {window}), "
                       f"element_at({wts}, CAST({pos} AS INT) + 1), (a, b) -> a * b), 0D, (s, v) -> s + v)")
             res[out.format(c=c, d=d)] = (lambda e: lambda w: F.expr(e))(e + " END")
-    return Step([{"_ok": lambda w: ok}, {"_nb": before, "_na": after}, near, res], reach, reach)
+    return Step([{OK: lambda w: ok}, {NB: before, NA: after}, near, res], reach, reach)
 
 
 def rolling(col: str, out: str, kind: str, before: int, after: int, min_periods: int = 1) -> Step:
