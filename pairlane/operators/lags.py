@@ -17,8 +17,8 @@ def lag_pairs(df: DataFrame, keys: list[str], a: str, b: str, max_lag: int, size
     d = df if whole else halo(df, max_lag, max_lag, "frame", size or CHUNK)
     w = W.partitionBy(*keys, *([] if whole else ["_c"])).orderBy("frame").rangeBetween(-max_lag, max_lag)
     near = F.collect_list(F.when(F.col(b).isNotNull(), F.struct(F.col("frame").alias("f"), F.col(b).alias("b")))).over(w)
-    d = d.withColumn("_n", near).where(F.col(a).isNotNull() if whole else F.col("_core") & F.col(a).isNotNull())
-    return d.select(*keys, "frame", F.col(a).alias("a"), F.explode("_n").alias("_p")).select(
+    d = d.withColumn("_near", near).where(F.col(a).isNotNull() if whole else F.col("_core") & F.col(a).isNotNull())
+    return d.select(*keys, "frame", F.col(a).alias("a"), F.explode("_near").alias("_p")).select(
         *keys, "frame", (F.col("_p.f") - F.col("frame")).alias("lag"), "a", F.col("_p.b").alias("b"))
 
 
