@@ -169,10 +169,10 @@ def fit_camera_rounds(df: DataFrame, rounds: int = 8) -> DataFrame:
         L, O = F.when(F.col("lead"), F.col("p")).otherwise(F.col("q")), F.when(F.col("lead"), F.col("q")).otherwise(F.col("p"))
         d = cur.select("clip", "l", "f", L.alias("ul"), O.alias("uf"))
         d = d.select("clip", F.explode(F.array(*rows(F.col("l"), F.col("ul")), *rows(F.col("f"), F.col("uf")))).alias("r"))
-        cam = d.groupBy("clip").agg(F.array(*[F.sum(F.col("r")[i] * F.col("r")[j]) for i, j in idx]).alias("s")).select("clip", smallest("s").alias("P"))
+        cam = d.groupBy("clip").agg(F.array(*[F.sum(F.col("r")[i] * F.col("r")[j]) for i, j in idx]).alias("s")).select("clip", smallest("s").alias("cam"))
 
         def err(X, u):
-            pr = [sum((F.col("P")[4 * k + i] * c for i, c in enumerate([X["x"], X["y"], X["z"], F.lit(1.0)])), F.lit(0.0)) for k in range(3)]
+            pr = [sum((F.col("cam")[4 * k + i] * c for i, c in enumerate([X["x"], X["y"], X["z"], F.lit(1.0)])), F.lit(0.0)) for k in range(3)]
             w = F.nullif(pr[2], F.lit(0.0))
             return F.sqrt((pr[0] / w - u["x"]) ** 2 + (pr[1] / w - u["y"]) ** 2)
         l, f, p, q = (F.col(c) for c in "lfpq")
