@@ -71,7 +71,7 @@ def shift_null_join(df: DataFrame, keys, fps, max_lag, shifts: list[int], min_pa
     return peak(lagged_corr(r, [*keys, "shift"], "a", "b", max_lag, min_pairs, size), [*keys, "shift"], fps)
 
 
-def null_summary(peaks: DataFrame, keys, min_null=1) -> DataFrame:
+def null_summary(peaks: DataFrame, keys, min_null=10) -> DataFrame:
     """Observed peak against its null: r_obs, r_lag0, p (with +1), z, null_95, n_null."""
     obs = peaks.where(F.col("shift") == 0).select(*keys, F.col("peak_r").alias("r_obs"), "r_lag0", F.col("peak_lag_s").alias("lag_obs"))
     nul = peaks.where((F.col("shift") != 0) & F.col("peak_r").isNotNull()).select(*keys, F.abs("peak_r").alias("v"))

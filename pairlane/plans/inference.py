@@ -82,7 +82,7 @@ def null_sql(src, shifts, max_lag, min_n, keys="clip"):
             f"lm AS (SELECT {pre('x')}, y.k, y.frame - x.frame AS lag, count(*) AS n, sum(x.a) AS sx, sum(y.b) AS sy, sum(x.a*x.a) AS sxx, sum(y.b*y.b) AS syy, sum(x.a*y.b) AS sxy FROM ra x JOIN rm y ON {on('x', 'y')} AND y.frame BETWEEN x.frame - {max_lag} AND x.frame + {max_lag} GROUP BY ALL), "
             f"lc AS (SELECT {keys}, k, lag, CASE WHEN n >= {min_n} THEN (sxy - sx*sy/n) / sqrt((sxx - sx*sx/n) * (syy - sy*sy/n)) END AS r FROM lm), "
             f"pk AS (SELECT {keys}, k, arg_min(r, {{'m': -abs(r), 'l': lag}}) FILTER (r IS NOT NULL) AS r, arg_min(lag, {{'m': -abs(r), 'l': lag}}) FILTER (r IS NOT NULL) AS lag FROM lc GROUP BY ALL), "
-            f"ns AS (SELECT {pre('o')}, any_value(o.r) AS r_obs, any_value(o.lag) AS lag_obs, count(*) AS n_null, (count(*) FILTER (abs(p.r) >= abs(o.r)) + 1) / (count(*) + 1) AS p, (any_value(abs(o.r)) - avg(abs(p.r))) / (stddev_pop(abs(p.r)) + 1e-12::DOUBLE) AS z, quantile_cont(abs(p.r), 0.95) AS null_95 "
+            f"ns AS (SELECT {pre('o')}, any_value(o.r) AS r_obs, any_value(o.lag) AS lag_obs, count(*) AS n_null, CASE WHEN count(*) >= 10 THEN (count(*) FILTER (abs(p.r) >= abs(o.r)) + 1) / (count(*) + 1) END AS p, CASE WHEN count(*) >= 10 THEN (any_value(abs(o.r)) - avg(abs(p.r))) / (stddev_pop(abs(p.r)) + 1e-12::DOUBLE) END AS z, CASE WHEN count(*) >= 10 THEN quantile_cont(abs(p.r), 0.95) END AS null_95 "
             f"FROM pk o JOIN pk p ON {on('o', 'p')} WHERE o.k = 0 AND p.k <> 0 AND p.r IS NOT NULL AND o.r IS NOT NULL GROUP BY {pre('o')})")
 
 
@@ -148,7 +148,7 @@ def _(spark, sf):
 
 
 @query("coupling_by_state", sql("pair", "mp AS (SELECT clip, CASE WHEN a > b THEN 'up' ELSE 'down' END AS state, frame, a, b, true AS mask FROM pair WHERE a IS NOT NULL AND b IS NOT NULL), mr AS (SELECT clip, state, CAST(row_number() OVER (PARTITION BY clip, state ORDER BY frame) - 1 AS INT) AS frame, a, b, mask FROM mp), "
-             + null_sql("mr", L.shift_table(12, 6, 50), 2, 30, "clip, state") + f", n AS (SELECT clip, state, count(*) AS n_frames FROM mr GROUP BY 1, 2) SELECT n.clip, n.state, n_frames, {NS_COLS} FROM ns JOIN n USING (clip, state) WHERE n_frames >= 40"))
+             + null_sql("mr", L.shift_table(12, 6, 34), 2, 30, "clip, state") + f", n AS (SELECT clip, state, count(*) AS n_frames FROM mr GROUP BY 1, 2) SELECT n.clip, n.state, n_frames, {NS_COLS} FROM ns JOIN n USING (clip, state) WHERE n_frames >= 40"))
 def _(spark, sf):
     """Coupling and null restricted to each state, frames dropped jointly."""
     from pairlane.operators.ordered import running
@@ -156,7 +156,7 @@ def _(spark, sf):
     d = V.pair(spark, sf).where(F.col("a").isNotNull() & F.col("b").isNotNull()).withColumn("state", F.when(F.col("a") > F.col("b"), "up").otherwise("down"))
     d = running(d, k, {"_i": ("sum", F.lit(1))}).select(*k, (F.col("_i") - 1).cast("int").alias("frame"), "a", "b", F.lit(True).alias("mask"))
     n = d.groupBy(*k).agg(F.count("*").alias("n_frames")).where(F.col("n_frames") >= 40)
-    s = L.null_summary(L.shift_null(d, k, 1.0, 2, L.shift_table(12, 6, 50), 30), k)
+    s = L.null_summary(L.shift_null(d, k, 1.0, 2, L.shift_table(12, 6, 34), 30), k)
     return ns_out(s, k).join(n, k)
 
 
@@ -395,7 +395,7 @@ def _(spark, sf):
     return q.groupBy("clip").agg(p("c", "n").alias("n_contact"), p("f", "n").alias("n_free"), r(p("c", "m")).alias("median_contact"), r(p("f", "m")).alias("median_free"), r(p("c", "neg")).alias("neg_contact")).where((F.col("n_contact") >= 5) & (F.col("n_free") >= 5))
 
 
-@query("stouffer_by_source", sql("pair", BATQ + f", zz AS (SELECT test, s_nationkey AS g, r_obs, -({probit_sql('greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, p))')}) AS z FROM bat JOIN supplier ON s_suppkey = clip), gg AS (SELECT test, g, sum(z) / sqrt(count(*)) AS z, count(*) AS n FROM zz GROUP BY 1, 2) SELECT test, CAST(sum(n) AS BIGINT) AS n_clips, count(*) AS n_groups, count(*) FILTER (z > 1.6448536269514722::DOUBLE) AS groups_sig, {rr('sum(z) / sqrt(count(*))', 5)} AS stouffer_z FROM gg GROUP BY test"))
+@query("stouffer_by_source", sql("pair", BATQ + f", zz AS (SELECT test, s_nationkey AS g, r_obs, -({probit_sql('greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, p))')}) AS z FROM bat JOIN supplier ON s_suppkey = clip WHERE p IS NOT NULL), gg AS (SELECT test, g, sum(z) / sqrt(count(*)) AS z, count(*) AS n FROM zz GROUP BY 1, 2) SELECT test, CAST(sum(n) AS BIGINT) AS n_clips, count(*) AS n_groups, count(*) FILTER (z > 1.6448536269514722::DOUBLE) AS groups_sig, {rr('sum(z) / sqrt(count(*))', 5)} AS stouffer_z FROM gg GROUP BY test"))
 def _(spark, sf):
     """z per clip from its p, combined within a source, then across sources."""
     b = battery_p(spark, sf).where(F.col("p").isNotNull())
@@ -425,7 +425,7 @@ def _(spark, sf):
     return a.join(w, "k").drop("k")
 
 
-@query("false_positive_rate", sql("pair", BATQ + f" SELECT test, count(*) AS n, {rr('avg(CASE WHEN p < 0.1 THEN 1 ELSE 0 END)')} AS rate FROM bat GROUP BY test"))
+@query("false_positive_rate", sql("pair", BATQ + f" SELECT test, count(*) AS n, {rr('avg(CASE WHEN p < 0.1 THEN 1 ELSE 0 END)')} AS rate FROM bat WHERE p IS NOT NULL GROUP BY test"))
 def _(spark, sf):
     return battery_p(spark, sf).where(F.col("p").isNotNull()).groupBy("test").agg(F.count("*").alias("n"), r(F.avg(F.when(F.col("p") < 0.1, 1).otherwise(0))).alias("rate"))
 

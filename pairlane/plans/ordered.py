@@ -67,7 +67,12 @@ def _(spark, sf):
     return t.select("clip", "body", "frame", r("xf").alias("xf"), "filled")
 
 
-TELE = f"tele AS (SELECT clip, body, frame, CASE WHEN NOT far THEN x END AS x, CASE WHEN NOT far THEN y END AS y, far FROM (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) > 60, false) AS far FROM track WINDOW w AS ({PW})))"
+def tele_sql(limit):
+    return (f"tele AS (SELECT clip, body, frame, CASE WHEN NOT far THEN x END AS x, CASE WHEN NOT far THEN y END AS y, far FROM (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) > {limit}, false) AS far "
+            f"FROM track WINDOW w AS ({PW})))")
+
+
+TELE = tele_sql(60)
 
 
 @query("remove_teleports", sql("duet track", TELE + f" SELECT clip, body, frame, {rr('x')} AS x, {rr('y')} AS y, far AS teleport FROM tele"))
@@ -145,12 +150,12 @@ def _(spark, sf):
     return j.select("clip", "body", r(F.col("sigma") * S.jerk_floor_factor(30.0), 3).alias("jerk_floor"))
 
 
-KIN_SQL = TELE + ", " + filled_sql("tele") + ", " + sg_sql(11, (0, 1, 2, 3), 30.0, 11) + """, kin AS (SELECT clip, body, frame, CASE WHEN sp <= 120 THEN sp END AS speed, CASE WHEN sp <= 120 THEN sqrt(d2x * d2x + d2y * d2y) END AS accel,
+KIN_SQL = tele_sql(100) + ", " + filled_sql("tele") + ", " + sg_sql(11, (0, 1, 2, 3), 30.0, 11) + """, kin AS (SELECT clip, body, frame, CASE WHEN sp <= 120 THEN sp END AS speed, CASE WHEN sp <= 120 THEN sqrt(d2x * d2x + d2y * d2y) END AS accel,
  CASE WHEN sp <= 120 THEN sqrt(d3x * d3x + d3y * d3y) END AS jerk, CASE WHEN sp <= 120 THEN d1x END AS vx, CASE WHEN sp <= 120 THEN d1y END AS vy, coalesce(sp > 120, false) AS implausible, sp IS NOT NULL AND sp <= 120 AS valid_deriv FROM (SELECT *, sqrt(d1x * d1x + d1y * d1y) AS sp FROM sg))"""
 
 
 def kinematics(spark, sf):
-    return S.body_kinematics(track(spark, sf), K, 30.0, scale=40.0, max_jump=1.5, max_speed=3.0)
+    return S.body_kinematics(track(spark, sf), K, 30.0, scale=40.0, max_jump=2.5, max_speed=3.0)
 
 
 @query("body_kinematics", sql("duet track", KIN_SQL + f""" SELECT clip, body, frame, {rr('speed', 4)} AS speed, {rr('accel', 3)} AS accel, {rr('jerk', 2)} AS jerk, {rr('speed * speed', 2)} AS kinetic_energy, implausible, valid_deriv FROM kin"""))

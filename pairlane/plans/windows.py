@@ -12,7 +12,7 @@ from pairlane.sources import views as V
 
 from .geometry import BODIES, PF_SQL, SC, bodies
 from .joins import IJ, inside
-from .ordered import K, KIN_SQL, TELE, filled_sql, sg_sql, track
+from .ordered import K, KIN_SQL, track
 from .registry import query
 from .sources import r, rr
 from .views_sql import with_views as sql
@@ -24,7 +24,7 @@ SCALE = 40.0
 def frames(spark, sf):
     """Wide kinematics of both bodies, one shuffle: the two chains run over the same partition."""
     d = V.duet(spark, sf).select("clip", "frame", "present_a", "present_b", "ax", "ay", "bx", "by")
-    ch = [s for p, x, y in (("a_", "ax", "ay"), ("b_", "bx", "by")) for s in S.kinematics_chain(30.0, SCALE, 1.5, 3.0, x=x, y=y, p=p)]
+    ch = [s for p, x, y in (("a_", "ax", "ay"), ("b_", "bx", "by")) for s in S.kinematics_chain(30.0, SCALE, 2.5, 3.0, x=x, y=y, p=p)]
     keep = Step([{"dist": lambda w: dist(F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")),
                   "dir_sim": lambda w: G.dir_similarity(*[F.col(c) for c in ("a_vx", "a_vy", "b_vx", "b_vy")])}], 0, 0)
     raw = Step([{f"_{c}": (lambda c: lambda w: F.col(c))(c) for c in ("ax", "ay", "bx", "by")}], 0, 0)
@@ -272,7 +272,7 @@ def _(spark, sf):
 
 @query("continuity", sql("duet track", KIN_SQL + f" SELECT clip, body, count(speed) AS n, CASE WHEN count(speed) > 30 THEN {rr('avg(CASE WHEN speed < 40 THEN 1 ELSE 0 END)')} END AS stop_frac, CASE WHEN count(speed) > 30 THEN {rr('quantile_cont(speed, 0.5)', 4)} END AS speed_med FROM kin WHERE speed IS NOT NULL GROUP BY clip, body"))
 def _(spark, sf):
-    k = S.body_kinematics(track(spark, sf), K, 30.0, scale=40.0, max_jump=1.5, max_speed=3.0).where(F.col("speed").isNotNull())
+    k = S.body_kinematics(track(spark, sf), K, 30.0, scale=40.0, max_jump=2.5, max_speed=3.0).where(F.col("speed").isNotNull())
     a = k.groupBy(*K).agg(F.count("*").alias("n"), F.avg(F.when(F.col("speed") < 40, 1).otherwise(0)).alias("s"))
     q = quantiles(k, K, "speed", {"m": 0.5}).drop("n")
     return a.join(q, K).select("clip", "body", "n", F.when(F.col("n") > 30, r("s")).alias("stop_frac"), F.when(F.col("n") > 30, r("m", 4)).alias("speed_med"))

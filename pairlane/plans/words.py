@@ -5,13 +5,13 @@ from pairlane.functions import geometry as G
 from pairlane.operators import spectral as SP
 from pairlane.operators import words as WD
 from pairlane.operators.ordered import over_neighbours, quantiles
-from pairlane.operators.steps import Step, apply_steps, dist, rolling
+from pairlane.operators.steps import dist
 from pairlane.operators.joins import interval_join
 from pairlane.sources import views as V
 
 from .geometry import BODIES, PF_SQL, SC, bodies, markers, MARK_SQL
 from .joins import descents
-from .ordered import K, RM, track
+from .ordered import K, track
 from .registry import query
 from .sources import r, rr
 from .views_sql import with_views as sql
@@ -21,7 +21,7 @@ COLS = ["trunk_tilt", "inverted", "arm_up_l", "arm_up_r", "level", "stance_width
 
 def features(spark, sf):
     f = G.pose_features(F.col("m"), F.lit(SC))
-    return bodies(spark, sf).select("clip", "frame", "body", *[F.least(f[c], F.lit(3.0)).alias(c) if c == "stance_width" else f[c].alias(c) for c in COLS])
+    return bodies(spark, sf).select("clip", "frame", "body", *[F.when(f[c].isNotNull(), F.least(f[c], F.lit(3.0))).alias(c) if c == "stance_width" else f[c].alias(c) for c in COLS])
 
 
 def imputed(spark, sf):
@@ -58,11 +58,9 @@ def _(spark, sf):
 @query("word_profiles")
 def _(spark, sf):
     w, _ = worded(spark, sf)
-    n = w.groupBy("word").agg(F.count("*").alias("n"))
-    out = n
-    for c in COLS:
-        out = out.join(quantiles(w, ["word"], c, {c: 0.5}, split=True).select("word", r(c).alias(c)), "word", "left")
-    return out
+    lng = w.select("word", F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).alias("v")) for c in COLS])).alias("s")).select("word", "s.m", "s.v")
+    q = quantiles(lng, ["word", "m"], "v", {"med": 0.5}, split=True)
+    return q.groupBy("word").agg(F.max("n").alias("n"), *[r(F.max(F.when(F.col("m") == c, F.col("med")))).alias(c) for c in COLS])
 
 
 @query("apply_vocab")
