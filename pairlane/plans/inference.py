@@ -342,19 +342,19 @@ def window_long(spark, sf):
     return g.select("clip", "c", F.explode(F.array(F.struct(F.lit("A").alias("body"), F.col("ma").alias("v")), F.struct(F.lit("B").alias("body"), F.col("mb").alias("v")))).alias("s")).select("clip", "s.body", "s.v", "c").where(F.col("v").isNotNull() & F.col("c").isNotNull())
 
 
-PC = PVC + """, pc AS (SELECT clip, count(*) FILTER (c >= 0.2) AS nc, count(*) FILTER (c <= 0.15) AS nf, quantile_cont(v, 0.5) FILTER (c >= 0.2) - quantile_cont(v, 0.5) FILTER (c <= 0.15) AS diff FROM lw GROUP BY clip HAVING count(*) FILTER (c >= 0.2) >= 5 AND count(*) FILTER (c <= 0.15) >= 5)"""
+PC = PVC + """, pc AS (SELECT clip, count(*) FILTER (c >= 0.45) AS nc, count(*) FILTER (c <= 0.32) AS nf, quantile_cont(v, 0.5) FILTER (c >= 0.45) - quantile_cont(v, 0.5) FILTER (c <= 0.32) AS diff FROM lw GROUP BY clip HAVING count(*) FILTER (c >= 0.45) >= 5 AND count(*) FILTER (c <= 0.32) >= 5)"""
 
 
 def contrast(spark, sf):
     """Median in contact windows minus median in free windows per clip, both bodies pooled."""
-    w = window_long(spark, sf).withColumn("g", F.when(F.col("c") >= 0.2, "c").when(F.col("c") <= 0.15, "f")).where(F.col("g").isNotNull())
+    w = window_long(spark, sf).withColumn("g", F.when(F.col("c") >= 0.45, "c").when(F.col("c") <= 0.32, "f")).where(F.col("g").isNotNull())
     q = quantiles(w, ["clip", "g"], "v", {"m": 0.5})
     d = q.groupBy("clip").agg(*[F.max(F.when(F.col("g") == g, F.col(c))).alias(f"{c}_{g}") for g in "cf" for c in ("n", "m")])
     d = d.where((F.col("n_c") >= 5) & (F.col("n_f") >= 5)).withColumn("diff", F.col("m_c") - F.col("m_f"))
     return d, I.rank_sum(w, C, "v", "g", "c", "f", split=None).select("clip", "delta")
 
 
-@query("per_clip_contrast", sql("duet track", PC + """, dl AS (SELECT clip, v, CASE WHEN c >= 0.2 THEN 'c' WHEN c <= 0.15 THEN 'f' END AS g FROM lw), """ + RS("dl", "clip", "v", "g", "c", "f") + f" SELECT pc.clip, nc AS n_contact, nf AS n_free, {rr('diff', 5)} AS diff, {rr('2 * u / (na::DOUBLE * nb) - 1', 5)} AS delta FROM pc JOIN u_ USING (clip)"))
+@query("per_clip_contrast", sql("duet track", PC + """, dl AS (SELECT clip, v, CASE WHEN c >= 0.45 THEN 'c' WHEN c <= 0.32 THEN 'f' END AS g FROM lw), """ + RS("dl", "clip", "v", "g", "c", "f") + f" SELECT pc.clip, nc AS n_contact, nf AS n_free, {rr('diff', 5)} AS diff, {rr('2 * u / (na::DOUBLE * nb) - 1', 5)} AS delta FROM pc JOIN u_ USING (clip)"))
 def _(spark, sf):
     d, e = contrast(spark, sf)
     return d.join(e, "clip").select("clip", F.col("n_c").alias("n_contact"), F.col("n_f").alias("n_free"), r("diff", 5).alias("diff"), r("delta", 5).alias("delta"))
