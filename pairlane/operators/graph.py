@@ -23,7 +23,8 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds:
     the path length; groups are never gathered in one task."""
     both = edges.select(*keys, F.col("id_a").alias("id"), F.col("id_b").alias("nb")).unionByName(edges.select(*keys, F.col("id_b").alias("id"), F.col("id_a").alias("nb")))
     both = cut_lineage(both)
-    lab = cut_lineage(nodes.select(*keys, "id", F.col("id").alias("comp")))
+    # only nodes with an edge take part in the rounds
+    lab = cut_lineage(both.select(*keys, "id").distinct().withColumn("comp", F.col("id")))
     for _ in range(max_rounds):
         best = both.join(lab.withColumnRenamed("id", "nb"), [*keys, "nb"]).groupBy(*keys, "id").agg(F.min("comp").alias("_m"))
         nxt = lab.join(best, [*keys, "id"], "left").select(*keys, "id", F.col("comp").alias("_old"), F.least("comp", "_m").alias("comp"))
@@ -32,7 +33,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds:
         changed = nxt.where(F.col("_old") != F.col("comp")).limit(1).count()
         lab = nxt.drop("_old")
         if not changed:
-            return lab
+            return nodes.select(*keys, "id").join(lab, [*keys, "id"], "left").withColumn("comp", F.coalesce("comp", "id"))
     raise RuntimeError("components did not converge")
 
 

@@ -89,9 +89,10 @@ def pseudo_pairs(df: DataFrame, group: DataFrame, lags: int, min_pairs: int, blo
     # time is cut as well unless every series fits a chunk; the b side carries a halo of `lags` rows
     da = d.withColumn("tc", F.lit(0).cast("long") if whole else F.floor(F.col("frame") / CHUNK))
     db = d.withColumn("tc", F.lit(0).cast("long")) if whole else d.withColumn("tc", F.explode(F.sequence(F.floor((F.col("frame") - lags) / CHUNK), F.floor((F.col("frame") + lags) / CHUNK))))
-    gather = lambda x, c: x.groupBy("blk", "tc", "clip", "grp").agg(F.collect_list(F.struct(F.col("frame").alias("f"), F.col(c).alias("v"))).alias("s"))
-    a = gather(da, "a").select(F.col("blk").alias("ba"), F.explode(every).alias("bb"), F.lit("a").alias("side"), "tc", "clip", "grp", "s")
-    b = gather(db, "b").select(F.explode(every).alias("ba"), F.col("blk").alias("bb"), F.lit("b").alias("side"), "tc", "clip", "grp", "s")
+    gather = lambda x, c: x.groupBy("blk", "tc", "clip", "grp").agg(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("frame").alias("f"), F.col(c).alias("v")))).alias("s")).withColumns(
+        {"f": F.transform("s", lambda x: x["f"]), "v": F.transform("s", lambda x: x["v"])}).drop("s")
+    a = gather(da, "a").select(F.col("blk").alias("ba"), F.explode(every).alias("bb"), F.lit("a").alias("side"), "tc", "clip", "grp", "f", "v")
+    b = gather(db, "b").select(F.explode(every).alias("ba"), F.col("blk").alias("bb"), F.lit("b").alias("side"), "tc", "clip", "grp", "f", "v")
 
     def kernel(pdf):
         import pandas as pd
@@ -100,14 +101,12 @@ def pseudo_pairs(df: DataFrame, group: DataFrame, lags: int, min_pairs: int, blo
         if not len(pa) or not len(pb):
             return pd.DataFrame({c: [] for c in cols})
         base = int(pdf.tc.iloc[0]) * CHUNK - lags
-        T = (max(row["f"] for p in (pa, pb) for rows in p.s for row in rows) - base + 1) if whole else CHUNK + 2 * lags
+        T = (max((int(f.max()) for p in (pa, pb) for f in p.f if len(f)), default=base) - base + 1) if whole else CHUNK + 2 * lags
 
         def dense(p):
             m = np.full((len(p), T), np.nan)
-            for i, rows in enumerate(p.s):
-                for row in rows:
-                    if row["v"] is not None:
-                        m[i, row["f"] - base] = row["v"]
+            for i, (f, v) in enumerate(zip(p.f, p.v)):
+                m[i, np.asarray(f, int) - base] = v
             return m
         A, B = dense(pa), dense(pb)
         ok_a, ok_b = np.isfinite(A), np.isfinite(B)

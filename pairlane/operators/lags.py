@@ -150,3 +150,38 @@ def xcorr_dropna(df: DataFrame, keys, max_lag: int, min_n: int, min_std=1e-6) ->
     p = lag_pairs(z, [*keys, "_n"], "a", "b", max_lag).groupBy(*keys, "lag").agg((F.sum(F.col("a") * F.col("b")) / F.first("_n")).alias("r"))
     none = st.where(~ok).select(*keys, F.lit(0).alias("lag"), F.lit(0.0).alias("r"))
     return p.unionByName(none)
+
+
+def rolled_similarity(df: DataFrame, keys, shifts: list[int], min_feats: int) -> DataFrame:
+    """Mean of minus the mean absolute difference between feature arrays a and rolled b over the masked
+    rows, for every shift: keys, shift, s, n.  Input: keys, frame, a, b (array<double>), mask.  Series that
+    fit a chunk are rolled in memory; longer ones by a join on the shifted frame."""
+    ks = [0, *shifts]
+    if not _whole(None):
+        p = rolled(df, keys, F.array(*[F.lit(int(k)) for k in ks]), keep=("a", "mask")).where("mask")
+        d = F.zip_with("a", "b", lambda x, y: F.abs(x - y))
+        ok = F.filter(d, lambda x: x.isNotNull())
+        s = F.when(F.size(ok) >= min_feats, -F.aggregate(ok, F.lit(0.0), lambda t, x: t + x) / F.size(ok))
+        return p.groupBy(*keys, "shift").agg(F.avg(s).alias("s"), F.count("*").alias("n"))
+
+    @F.pandas_udf(T.ArrayType(T.StructType().add("shift", T.IntegerType()).add("s", T.DoubleType()).add("n", T.LongType())))
+    def kernel(t: pd.Series, f: pd.Series, a: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
+        out = []
+        for n, fr, av, bv, mv in zip(t, f, a, b, m):
+            k = len(av) // len(fr)
+            A, B, M = np.full((n, k), np.nan), np.full((n, k), np.nan), np.zeros(n, bool)
+            A[fr], B[fr], M[fr] = np.asarray(av, float).reshape(-1, k), np.asarray(bv, float).reshape(-1, k), np.asarray(mv, bool)
+            rows = []
+            for s in ks:
+                d = np.abs(A[M] - np.roll(B, s, axis=0)[M])
+                c = np.isfinite(d).sum(1)
+                v = -np.nansum(d, 1)[c >= max(min_feats, 1)] / c[c >= max(min_feats, 1)]
+                rows.append({"shift": int(s), "s": float(v.mean()) if len(v) else None, "n": int(M.sum())})
+            out.append(rows)
+        return pd.Series(out)
+
+    nn = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(float("nan"))))
+    g = df.groupBy(*keys).agg(F.collect_list(F.struct("frame", nn("a").alias("a"), nn("b").alias("b"), F.coalesce("mask", F.lit(False)).alias("m"))).alias("_s"), (F.max("frame") + 1).alias("_t"))
+    part = lambda c: F.transform("_s", lambda x: x[c])
+    g = g.select(*keys, F.explode(kernel("_t", part("frame"), F.flatten(part("a")), F.flatten(part("b")), part("m"))).alias("_p"))
+    return g.select(*keys, "_p.shift", "_p.s", "_p.n").where(F.col("n") > 0)

@@ -172,8 +172,8 @@ def _rank_columns(r, keys, value, name):
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], split: bool | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per key without holding a large group in one task."""
     if not split and keys and _whole(None):
-        v = F.col(value)
-        return df.where(v.isNotNull()).groupBy(*keys).agg(F.count(v).alias("n"), *[F.percentile(v, F.lit(p)).alias(m) for m, p in probs.items()])
+        q = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.array(*[F.lit(p) for p in probs.values()])).alias("_q"))
+        return q.select(*keys, "n", *[F.get("_q", F.lit(i)).alias(m) for i, m in enumerate(probs)])
     r = average_ranks(df, keys, value, split=split)
     aggs, n1 = [], F.col("n") - 1
     lo_, hi_ = F.col("before"), F.col("before") + F.col("ties") - 1

@@ -2,6 +2,7 @@
 series is cut into chunks with a burn-in halo, long enough that the start-up error is below 1e-9."""
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -33,9 +34,9 @@ def butter2(fps: float, lo: float | None, hi: float | None):
     return np.real(k * np.poly(zz)), np.real(np.poly(pp))
 
 
-def _lfilter(b, a, x, state):
-    y, n = np.empty(len(x)), len(a) - 1
-    s = state.copy()
+def _recursion(b, a, x, state):
+    """Direct form II transposed, sample by sample; only used to tabulate the responses below."""
+    y, n, s = np.empty(len(x)), len(a) - 1, state.copy()
     for i, v in enumerate(x):
         y[i] = b[0] * v + s[0]
         for j in range(n - 1):
@@ -44,21 +45,44 @@ def _lfilter(b, a, x, state):
     return y
 
 
-def filtfilt(b, a, x):
-    """Forward and backward filtering with odd extension and step-matched initial state."""
-    n = len(a)
-    pad = min(3 * n, len(x) - 1)
+def _burn_in(a) -> int:
+    """Samples until a start-up error has decayed to 1e-12."""
+    r = np.abs(np.roots(a)).max()
+    return int(math.ceil(math.log(1e-12) / math.log(r))) if r < 1 else CHUNK
+
+
+@functools.lru_cache(maxsize=64)
+def _responses(b: tuple, a: tuple):
+    """Impulse response and response to the step-matched initial state, both until they have decayed."""
+    b, a = np.array(b), np.array(a)
+    n, k = len(a), _burn_in(a) + 1
     A = np.eye(n - 1) - np.vstack([-a[1:], np.eye(n - 2, n - 1)]).T
     zi = np.linalg.solve(A, b[1:] - a[1:] * b[0])
-    e = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2:-pad - 2:-1]])
-    y = _lfilter(b, a, e, zi * e[0])
-    y = _lfilter(b, a, y[::-1], zi * y[-1])[::-1]
-    return y[pad:len(y) - pad]
+    impulse = np.zeros(k)
+    impulse[0] = 1.0
+    return _recursion(b, a, impulse, np.zeros(n - 1)), _recursion(b, a, np.zeros(k), zi)
+
+
+def _lfilter(b, a, x):
+    """Filter started in the steady state of x[0], as a convolution with the tabulated responses."""
+    h, g = _responses(tuple(b), tuple(a))
+    n = len(x)
+    if n * len(h) > 1 << 18:
+        m = 1 << int(np.ceil(np.log2(n + len(h))))
+        y = np.fft.irfft(np.fft.rfft(x, m) * np.fft.rfft(h, m), m)[:n]
+    else:
+        y = np.convolve(x, h[:n])[:n]
+    k = min(n, len(g))
+    y[:k] += x[0] * g[:k]
+    return y
 
 
-def _burn_in(a) -> int:
-    r = np.abs(np.roots(a)).max()
-    return int(math.ceil(math.log(1e-11) / math.log(r))) if r < 1 else CHUNK
+def filtfilt(b, a, x):
+    """Forward and backward filtering with odd extension and step-matched initial state."""
+    pad = min(3 * len(a), len(x) - 1)
+    e = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2:-pad - 2:-1]])
+    y = _lfilter(b, a, _lfilter(b, a, e)[::-1])[::-1]
+    return y[pad:len(y) - pad]
 
 
 def filter_runs(df: DataFrame, keys: list[str], cols: list[str], fps: float, lo=None, hi=None, min_run: int = 13, size=None) -> DataFrame:

@@ -191,11 +191,9 @@ def sim_sql(shifts, min_feats=1):
 def similarity(spark, sf, shifts, min_feats=1):
     """Mean posture similarity over the observed mask for every shift: clip, shift, s, n."""
     z = S.robust_z(V.duet(spark, sf).select("clip", "frame", "present_a", "present_b", "ax", "ay", "bx", "by"), C, ["ax", "ay", "bx", "by"])
-    cols = lambda a, b: G.posture_similarity([F.col(f"{a}.x") if "." not in a else F.col(a), F.col(f"{a}.y")], [F.col(f"{b}.x"), F.col(f"{b}.y")], min_feats)
-    z = z.select("clip", "frame", (F.col("present_a") & F.col("present_b")).alias("both"), F.struct(F.col("z_ax").alias("x"), F.col("z_ay").alias("y")).alias("a"), F.struct(F.col("z_bx").alias("x"), F.col("z_by").alias("y")).alias("b"))
-    z = z.withColumn("mask", F.col("both") & cols("a", "b").isNotNull())
-    p = L.rolled(z, C, F.array(*[F.lit(k) for k in [0, *shifts]]), keep=("a", "mask")).where("mask")
-    return p.groupBy("clip", "shift").agg(F.avg(cols("a", "b")).alias("s"), F.count("*").alias("n"))
+    za, zb = [F.col("z_ax"), F.col("z_ay")], [F.col("z_bx"), F.col("z_by")]
+    mask = F.col("present_a") & F.col("present_b") & G.posture_similarity(za, zb, min_feats).isNotNull()
+    return L.rolled_similarity(z.select("clip", "frame", F.array(*za).alias("a"), F.array(*zb).alias("b"), mask.alias("mask")), C, shifts, min_feats)
 
 
 def excess(s):
