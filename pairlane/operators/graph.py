@@ -11,7 +11,7 @@ def proximity_edges(det: DataFrame, edge_bl: float, min_conf: float = 0.3) -> Da
     """Edges (clip, frame, id_a < id_b) between centres closer than edge_bl * median(box height) / 3.3 of the
     clip; the radius is joined on, so each clip's grid has its own cell size."""
     d = det.where((F.col("conf") >= min_conf) & (F.col("track_id") >= 0)).withColumn("h", F.col("y2") - F.col("y1"))
-    rad = quantiles(d, ["clip"], "h", {"m": 0.5}, split=True).select("clip", (F.col("m") / 3.3 * edge_bl).alias("radius"))
+    rad = quantiles(d, ["clip"], "h", {"m": 0.5}).select("clip", (F.col("m") / 3.3 * edge_bl).alias("radius"))
     d = d.join(rad, "clip")
     side = lambda x: d.select("clip", "frame", F.col("track_id").alias(f"id_{x}"), ((F.col("x1") + F.col("x2")) / 2).alias(f"x_{x}"), ((F.col("y1") + F.col("y2")) / 2).alias(f"y_{x}"), "radius")
     return grid_join(side("a"), side("b"), ["clip", "frame"], F.col("radius")).where(F.col("id_a") < F.col("id_b")).select("clip", "frame", "id_a", "id_b", "d")

@@ -57,9 +57,8 @@ def fe_ols(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     b = F.col("sxy") / F.col("sxx")
     # sum over clusters of (sum x e)^2 with e = y - b x
     meat = F.col("s1") - 2 * b * F.col("s2") + b * b * F.col("s3")
-    G, N = F.col("n_groups"), F.col("n_obs")
-    return t.select("n_obs", "n_groups", "grand_mean", b.alias("beta"), F.sqrt(meat * G / (G - 1) * (N - 1) / (N - 1)) .alias("_m"), "sxx").select(
-        "n_obs", "n_groups", "grand_mean", "beta", (F.col("_m") / F.col("sxx")).alias("se"))
+    G = F.col("n_groups")
+    return t.select("n_obs", "n_groups", "grand_mean", b.alias("beta"), (F.sqrt(meat * G / (G - 1)) / F.col("sxx")).alias("se"))
 
 
 def _ln_choose(n, k):

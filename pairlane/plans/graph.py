@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from pairlane.operators import graph as GR
-from pairlane.operators.ordered import quantiles
+from pairlane.operators.ordered import cut_lineage, quantiles
 from pairlane.sources import views as V
 
 from .registry import query
@@ -25,7 +25,7 @@ def nodes(spark, sf):
 
 
 def metrics(spark, sf):
-    e, n = edges(spark, sf), nodes(spark, sf)
+    e, n = cut_lineage(edges(spark, sf)), nodes(spark, sf)          # read by every round and by the counts
     return GR.frame_metrics(n, e, GR.components(n, e, ["clip", "frame"]))
 
 
