@@ -26,3 +26,13 @@ def test_query_matches_sql(spark, name):
     cols = [c[0] for c in cur.description]
     want = sorted(tuple(norm(v) for _, v in sorted(zip(cols, r))) for r in cur.fetchall())
     assert sorted(tuple(norm(r[c]) for c in sorted(df.columns)) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["compensate_camera", "episodes", "hysteresis", "normal_scores"])
+def test_chunked_plans_match_sql(spark, name, monkeypatch):
+    """The same answers when every series is far longer than a chunk."""
+    import pairlane.operators.ordered as O
+    import pairlane.plans.registry as R
+    monkeypatch.setattr(O, "CHUNK", 100)
+    monkeypatch.setattr(R, "series_fit", lambda spark, sf: False)
+    test_query_matches_sql(spark, name)
