@@ -36,3 +36,9 @@ def test_chunked_plans_match_sql(spark, name, monkeypatch):
     monkeypatch.setattr(O, "CHUNK", 100)
     monkeypatch.setattr(R, "series_fit", lambda spark, sf: False)
     test_query_matches_sql(spark, name)
+
+
+def test_stream_tracker_equals_batch(spark):
+    q = E.queries()
+    rows = lambda n: sorted(map(str, q[n](spark, SF).select("clip", "frame", "track_a", "track_b").collect()))
+    assert rows("two_slot_assign") == rows("stream_two_slot_assign")
