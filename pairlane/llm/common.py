@@ -101,7 +101,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     label, so the rounds grow with the logarithm of a path; labels are staged, and no group is gathered.
     """
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("comp")), "labels")
+    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
         moved = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("to"))

@@ -25,20 +25,6 @@ def permuted(x: np.ndarray, salt: np.uint64) -> np.ndarray:
     return y ^ (y >> np.uint64(29))
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each run of w values (of all of them when there are fewer), from running minima of blocks."""
-    n = len(x)
-    if n <= w:
-        return x.min(keepdims=True) if n else x
-    top = np.iinfo(np.uint64).max
-    padded = np.full(-(-n // w) * w, top, np.uint64)
-    padded[:n] = x
-    grid = padded.reshape(-1, w)
-    left = np.minimum.accumulate(grid, axis=1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[:n - w + 1], left[w - 1:n])
-
-
 class Index:
     """Signatures of a bounded block of items, by shingle length k and size class; a class holds the sizes of
     (2^(c-1), 2^c] shingles and is looked for in windows of 2^c shingles of a document."""
@@ -57,39 +43,54 @@ class Index:
             for i, salt in enumerate(self.salts):
                 by[span, max(0, int(len(s) - 1).bit_length())][i].append((permuted(s, salt).min(), n))
         self.classes = {}
-        for key, funcs in by.items():
-            self.classes[key] = []
-            for i in range(HASHES):
-                pairs = sorted(funcs[i])
-                self.classes[key].append((np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)))
-
-    def search(self, text: str | None, threshold: int) -> list[tuple[int, int, int]]:
-        """(item id, shingles in common, shingles of the item) where 100 * common >= threshold * shingles."""
-        ids = hashes(words_of(text, lower=True), _WORDS)
-        grams, sets, found = {}, {}, set()
-        for (span, c), funcs in self.classes.items():
-            if span not in grams:
-                grams[span] = windows(ids, span)
-            x = grams[span]
-            if not len(x):
-                continue
-            for salt, (values, names) in zip(self.salts, funcs):
-                low = sliding_min(permuted(x, salt), 1 << c)
-                keep = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-                low = low[keep]
-                at = np.searchsorted(values, low)
-                hit = values[np.minimum(at, len(values) - 1)] == low
-                for lo, v in zip(at[hit], low[hit]):
-                    hi = np.searchsorted(values, v, "right")
-                    found.update((span, int(j)) for j in names[lo:hi])
+        for (span, c), funcs in by.items():
+            pairs = [sorted(funcs[i]) for i in range(HASHES)]
+            self.classes.setdefault(span, {})[c] = [(np.array([v for v, _ in p], np.uint64), np.array([n for _, n in p], np.int64)) for p in pairs]
+
+    def search(self, texts: list, threshold: int) -> list[tuple[int, int, int, int]]:
+        """(place in `texts`, item id, shingles in common, shingles of the item) where 100 * common >= threshold * shingles.
+
+        The texts are laid end to end, so that a few passes over long arrays serve all.  A window over two texts can only
+        add a candidate for either; candidates are verified on the shingles of their own text."""
+        words = [words_of(t, lower=True) for t in texts]
+        ids = hashes(list(itertools.chain.from_iterable(words)), _WORDS)
+        ends = np.cumsum([len(w) for w in words])
         out = []
-        for span, j in found:
-            if span not in sets:
-                sets[span] = np.unique(grams[span])
-            item, s = self.sets[j]
-            common = int(np.isin(s, sets[span], assume_unique=True).sum())
-            if 100 * common >= threshold * len(s):
-                out.append((item, common, len(s)))
+        for span, classes in self.classes.items():
+            grams, found = windows(ids, span), set()
+            if not len(grams):
+                continue
+            for i, salt in enumerate(self.salts):
+                low, width = permuted(grams, salt), 1
+                for c in range(max(classes) + 1):
+                    if c and len(low) > width:             # minima of twice as many shingles from two of half as many
+                        low = np.minimum(low[:-width], low[width:])
+                    width = width * 2 if c else width
+                    if c in classes:
+                        found.update(self._candidates(low, 1 << c, classes[c][i], ends))
+            sets: dict[int, np.ndarray] = {}
+            for row, n in found:
+                if row not in sets:
+                    lo = ends[row - 1] if row else 0
+                    sets[row] = np.unique(grams[lo:max(lo, ends[row] - span + 1)])
+                item, s = self.sets[n]
+                common = int(np.isin(s, sets[row], assume_unique=True).sum())
+                if 100 * common >= threshold * len(s):
+                    out.append((row, item, common, len(s)))
+        return out
+
+    @staticmethod
+    def _candidates(low: np.ndarray, width: int, index: tuple, ends: np.ndarray) -> set[tuple[int, int]]:
+        values, names = index
+        at = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        last = np.append(at[1:] - 1, len(low) - 1) + width - 1
+        v = low[at]
+        near = np.minimum(np.searchsorted(values, v), len(values) - 1)
+        out = set()
+        for k in np.flatnonzero(values[near] == v):
+            hi = np.searchsorted(values, v[k], "right")
+            rows = range(np.searchsorted(ends, at[k], "right"), min(np.searchsorted(ends, last[k], "right"), len(ends) - 1) + 1)
+            out.update((int(r), int(n)) for r in rows for n in names[near[k]:hi])
         return out
 
 
@@ -112,7 +113,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int =
         def search(frames, shared=shared):
             index = shared.value
             for pdf in frames:
-                rows = [(d, *m) for d, t in zip(pdf.doc_id, pdf.text) for m in index.search(t, threshold)]
+                rows = [(pdf.doc_id.iat[first + row], *m) for first, part in _parts(pdf.text) for row, *m in index.search(part, threshold)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_common", "n_item"]).astype({"item_id": "int64", "n_common": "int64", "n_item": "int64"})
 
         parts.append(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(search, "doc_id long, item_id long, n_common long, n_item long"))
@@ -124,6 +125,19 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int =
     return rows.distinct()
 
 
+def _parts(texts: pd.Series, chars: int = 4_000_000):
+    """(place of the first, texts) of runs of a batch that hold about `chars` characters, so long texts bound the arrays."""
+    first, held, size = 0, [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= chars:
+            yield first, held
+            first, held, size = first + len(held), [], 0
+    if held:
+        yield first, held
+
+
 def item_blocks(items: DataFrame, block_items: int):
     """Lists of at most `block_items` (item_id, text), one block on the driver at a time."""
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator(prefetchPartitions=False)

@@ -32,3 +32,32 @@ t AS (SELECT doc_id, h, n_bytes, 0 AS d, 0::BIGINT AS p, sum(n_bytes) OVER () AS
 SELECT doc_id, d AS shard_depth, p AS shard_prefix, n_bytes, b::BIGINT AS shard_bytes, b > 67108864 AS shard_oversized
 FROM t WHERE b <= 67108864 OR n = 1 OR d = 60
 """
+
+ORACLES["op6_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words('text', True)} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(3, len(w)) - 1], ' '), least(3, len(w))) AS g
+      FROM d, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+df AS (SELECT g, count(*) AS c FROM g GROUP BY 1),
+o AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS r FROM g JOIN df USING (g) JOIN n USING (doc_id)),
+pre AS (SELECT doc_id, g FROM o WHERE r <= n - ceil(0.9 * n) + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre a JOIN pre b ON a.g = b.g AND a.doc_id < b.doc_id),
+common AS (SELECT a, b, count(*) AS c FROM cand JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b AND x.g = y.g GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 190 * c >= 90 * (x.n + y.n)),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, m AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+ORACLES["op9_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - 34)) AS u(i)),
+rep AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY 1 HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM rep, unnest(generate_series(0, 34)) AS u(j)),
+word AS (SELECT doc_id, i, w[i] AS x FROM d, unnest(generate_series(1, len(w))) AS u(i)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
