@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlane.llm import decontaminate, toxicity
+from pairlane.llm import decontaminate, jaccard, packing, secret_scan, toxicity
 from pairlane.llm.common import stage, table
+from pairlane.llm.queries import tokenizer_file
 
-#: The stages learn a classifier, hash words and pack sequences, which SQL cannot express.
+#: The stages learn classifiers, find components and pack sequences, which SQL cannot express.
 ORACLE_SQL = None
 
 
@@ -16,17 +17,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity.scores(docs, weights) < 0.5)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group linked by five-word shingles at a Jaccard likeness of 0.8."""
+    return jaccard.keep_first(docs, k=5, threshold=80)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold at least 80 % of the five-word shingles of no benchmark item."""
     leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic), ("decontamination", drop_benchmark)]
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in a text replaced by a mark."""
+    return secret_scan.redact(docs, secret_scan.train(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("decontamination", drop_benchmark), ("secrets", redact_secrets), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

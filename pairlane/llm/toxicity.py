@@ -12,7 +12,7 @@ from .common import CACHE_ENTRIES, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 DIMS = 1 << 18
-MEMBERS = 4
+MEMBERS = 3
 
 
 class WordFeatures(dict):
@@ -67,19 +67,32 @@ class _Rows:
         return np.bincount(self.ids, g[self.row], DIMS), float(g.sum())
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int = 30, batches: int = 8, rate: float = 0.3, l2: float = 1e-5) -> np.ndarray:
+def lean(positive: list[np.ndarray], unlabelled: list[np.ndarray], weight: float = 3.0, least: float = 1.0) -> np.ndarray:
+    """How much each feature leans to the positives: the log ratio of its count among them to the count its share of
+    the unlabelled would give, both raised by `weight` to mistrust small counts; 0 below `least` or in under 3 texts."""
+    count = lambda rows: np.bincount(np.concatenate(rows), minlength=DIMS) if rows else np.zeros(DIMS)
+    p, u = count(positive), count(unlabelled)
+    r = np.log((p + weight) / (u * len(positive) / max(1, len(unlabelled)) + weight))
+    return np.where((r >= least) & (p >= 3), r, 0.0)
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int = 40, batches: int = 8, rate: float = 0.3, l2: float = 1e-3) -> np.ndarray:
     """Weights and bias (last) of a linear scorer that minimises the non-negative PU risk
 
         prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 
     with the logistic loss and Adagrad steps.  Where the second part is negative, a step climbs it instead, which
-    keeps the scorer from fitting the unlabelled positives as negatives.
+    keeps the scorer from fitting the unlabelled positives as negatives.  Only features that lean to the positives
+    (`lean`) have weights; these begin at the lean and are drawn to it by `l2`.
     """
     rng = np.random.default_rng(seed)
     w, b = np.zeros(DIMS), float(np.log(prior / (1 - prior)))
-    gw, gb = np.full(DIMS, 1e-8), 1e-8
     if not positive or not unlabelled:
         return np.append(w, b)
+    start = lean(positive, unlabelled)
+    used = start > 0
+    w, gw, gb = start.copy(), np.full(DIMS, 1e-8), 1e-8
+    positive, unlabelled = ([x[used[x]] for x in rows] for rows in (positive, unlabelled))
     for _ in range(epochs):
         pos, unl = np.array_split(rng.permutation(len(positive)), batches), np.array_split(rng.permutation(len(unlabelled)), batches)
         for ip, iu in zip(pos, unl):
@@ -94,7 +107,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
             else:
                 dp, du = -dp, -du
             (a, ab), (c, cb) = p.grad(dp), u.grad(du)
-            g, h = a + c + l2 * w, ab + cb
+            g, h = (a + c + l2 * (w - start)) * used, ab + cb
             gw += g * g
             gb += h * h
             w -= rate * g / np.sqrt(gw)
@@ -102,8 +115,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return np.append(w, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 20_000, max_unlabelled: int = 60_000, members: int = MEMBERS) -> np.ndarray:
-    """Weights of the mean of `members` linear scorers, each learnt in its own task on its own share of the sample.
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 10_000, max_unlabelled: int = 40_000, members: int = MEMBERS) -> np.ndarray:
+    """Weights of the mean of `members` linear scorers, each learnt in its own task from its own order of the sample.
 
     Learns from a documented bounded sample outside the held-out fold: at most `max_positive` rows labelled toxic and
     at most `max_unlabelled` other rows, taken in the order of a hash of their id.  The class prior is the toxic share
@@ -124,11 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 20_000, max_un
             yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "x": [features(t, cache).astype("<i4").tobytes() for t in pdf.text]})
 
     rows = fold.select("doc_id", "text").join(sample, "doc_id").mapInPandas(extract, "doc_id long, y int, x binary")
-    rows = stage(rows, "features").withColumn("member", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(members)).cast("int"))
+    rows = stage(rows, "features").withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
 
     def fit(key, pdf):
         pdf = pdf.sort_values(["doc_id", "x"])
-        x = [np.frombuffer(v, "<i4").astype(np.int64) for v in pdf.x]
+        x = [np.frombuffer(v, "<i4") for v in pdf.x]
         pick = lambda k: [v for v, t in zip(x, pdf.y) if t == k]
         w = fit_nnpu(pick(1), pick(0), prior, int(key[0]))
         return pd.DataFrame({"w": [w.astype("<f4").tobytes()]})

@@ -1,0 +1,135 @@
+"""Toxicity and secret models on held-out rows; shards against plain splitting."""
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from pairlane.llm import forest, secret_scan, sharding, toxicity
+
+DATA = "/root/testdata/sf0.01"
+
+
+def _toxic_rows(n=1500, seed=0):
+    rng = random.Random(seed)
+    words = [f"{a}{b}{c}" for a in "klmn" for b in "aeiou" for c in "rst"]
+    rows, labels = [], []
+    for i in range(n):
+        w = rng.choices(words, k=rng.randint(5, 120))
+        bad = rng.random() < 0.15
+        if bad:
+            for _ in range(rng.randint(1, 4)):
+                w.insert(rng.randrange(len(w)), rng.choice(["idiotic", "scummy", "moronic"]) + rng.choice(["", ",", ".", "###"]))
+        rows.append((i, " ".join(w), "x"))
+        if rng.random() < 0.5:
+            labels.append((i, int(bad)))
+    return rows, labels, {i: int(any(x in t for x in ("idiot", "scum", "moron"))) for i, t, _ in rows}
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows, labels, truth = _toxic_rows()
+    rows += [(5000, None, "x"), (5001, "", "x"), (5002, "12 34", "x"), (None, "moronic", "x"), (7, rows[7][1], "x")]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, lab).toPandas()
+    assert len(got) == len(rows) and got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
+    known = got[got.doc_id.notna() & (got.doc_id < 5000)]
+    assert all(h == (zlib.crc32(str(int(d)).encode()) % 5 == 0) for d, h in zip(known.doc_id, known.held_out))
+    held = known[known.held_out]
+    y = held.doc_id.map(truth)
+    assert ((held.predicted == 1) == (y == 1)).mean() > 0.97
+    assert got[got.doc_id.isin([5000, 5001, 5002])].score.nunique() == 1 and not got[got.doc_id.isna()].held_out.any()
+    # labels of the held-out rows are not read
+    flipped = lab.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.score_documents(docs, flipped).toPandas()
+    assert np.allclose(again.sort_values(["doc_id", "score"]).score, got.sort_values(["doc_id", "score"]).score)
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score_documents(docs, none).count() == 1
+    assert toxicity.score_documents(docs.limit(0), none).count() == 0
+
+
+def test_forest_learns_an_interaction(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((2000, 6))
+    y = ((x[:, 1] > 0.5) ^ (x[:, 4] > 0.5)).astype(float)
+    f = forest.fit(spark, x[:1500], y[:1500], trees=16)
+    assert ((f.scores(x[1500:]) >= 0.5) == (y[1500:] == 1)).mean() > 0.9
+    assert forest.fit(spark, x[:0], y[:0]).scores(x[:3]).tolist() == [0, 0, 0]
+
+
+def test_secret_scan_held_out_and_redaction(spark):
+    rng = random.Random(2)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    rows, truth = [], {}
+    for i in range(400):
+        kind, w = i % 4, rng.choices(["plain", "reading", "matter", "stands", "here"], k=12)
+        if kind == 0:
+            v = hexes(40)
+            w.insert(5, f'token = "{v}"')
+        elif kind == 1:
+            v = "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+            w.insert(5, v)
+        elif kind == 2:
+            v = "".join(rng.choices("0123456789", k=16))
+            w.insert(5, v)
+        else:
+            v = hexes(40)
+            w.insert(5, f"commit {v}")
+        if any(c.isdigit() for c in v):
+            truth[i, v] = int(kind < 2)
+        rows.append((i, " ".join(w), "src1", 0, "k"))
+    rows += [(900, None, "s", 0, "k"), (901, "", None, None, "k"), (None, "pwd='a1b2c3d4e5f6g7'", "s", 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, value string").repartition(3)
+    labelled = spark.createDataFrame([(i, r[1].index(v), truth[i, v]) for r in rows[:200] for (i, v) in [next((k for k in truth if k[0] == r[0]), (None, ""))] if i is not None], "doc_id long, start long, label int")
+    model = secret_scan.train(docs, labelled)
+    got = secret_scan.scan(docs, model).toPandas()
+    texts = {r[0]: r[1] for r in rows}
+    assert set(zip(got.doc_id.dropna().astype(int), (texts[d][s:s + n] for d, s, n in zip(got.doc_id.dropna(), got[got.doc_id.notna()].start, got[got.doc_id.notna()].length)))) == set(truth)
+    new = got[got.doc_id >= 200]
+    want = [truth[int(d), texts[int(d)][s:s + n]] for d, s, n in zip(new.doc_id, new.start, new.length)]
+    assert (new.is_secret == want).mean() > 0.95
+    rules = secret_scan.train(docs)
+    by_rule = secret_scan.scan(docs, rules).toPandas()
+    assert (by_rule[by_rule.doc_id >= 200].sort_values("doc_id").is_secret.to_numpy() == new.sort_values("doc_id").is_secret.to_numpy()).mean() > 0.95
+    clean = {r.doc_id: r for r in secret_scan.redact(docs, rules).collect()}
+    assert len(clean) == len(rows) and clean[0].text.count("[SECRET]") == 1 and clean[0].n_chars == len(clean[0].text)
+    assert clean[2].text == texts[2] and clean[2].n_chars == 0 and clean[900].text is None
+    assert secret_scan.scan(docs.limit(0), secret_scan.train(docs.limit(0))).count() == 0
+
+
+def _shards(rows, limit):
+    key = lambda d, t: int(hashlib.md5(f"{'~' if d is None else d}:{t or ''}".encode()).hexdigest()[:15], 16)
+    leaves = {}
+
+    def split(depth, prefix, members):
+        b = sum(len((t or "").encode()) for _, t in members)
+        if b <= limit or len(members) <= 1 or depth == 60:
+            for m in members:
+                leaves.setdefault(m, (depth, prefix, len((m[1] or "").encode()), b, b > limit))
+            return
+        for bit in (0, 1):
+            inside = [m for m in members if key(*m) >> (59 - depth) == prefix * 2 + bit]
+            if inside:
+                split(depth + 1, prefix * 2 + bit, inside)
+
+    split(0, 0, rows)
+    return leaves
+
+
+def test_shards_equal_plain_splitting(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "é" * rng.choice([0, 3, 40, 700])) for i in range(300)] + [(500, None), (None, "abc"), (501, "z" * 9000), (7, "same"), (7, "same"), (8, "other")]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_bytes int").repartition(3)
+    for limit in (2_000, 50_000, 10 ** 9, 0):
+        want = _shards(rows, limit)
+        got = sharding.assign_shards(df, limit, ["doc_id"]).collect()
+        assert sorted(((r.doc_id or -1), *r[1:]) for r in got) == sorted(((m[0] or -1) if m[0] != 0 else -1, *want[m]) for m in rows)
+    sharding.write_shards(df, 50_000, ["doc_id"], str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == len(rows) and back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).where("b > 50000").count() == 0
+    assert sharding.assign_shards(df.limit(0), 10, ["doc_id"]).count() == 0
