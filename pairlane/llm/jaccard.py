@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import WordHash, components, hashes, mix, shingle_set, stage, words_of
 
 BUCKETS = 1 << 16
+BLOCK = 256
 _WORDS = WordHash()
 
 
@@ -39,8 +40,12 @@ def order_key(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (hash of the set), p (hash of the prefix), s (parity sketch), prefix (shingles in
-    the global order, as many as two sets at the threshold cannot miss).  Keeps every row; null text is empty."""
+    """doc_id, n (set size), h1, h2 (hash of the set), p (hash of the prefix), s (parity sketch), prefix (the first
+    shingles in the global order).  Keeps every row; null text is empty.
+
+    Of n shingles at most `slack` = n - ceil(threshold * n) can be missing from a linked set, so two linked sets share the
+    first l of their common shingles within their first slack + l.  With l half the slack (1 at least), a linked
+    pair shares l prefix shingles, not just one, which sets that only quote the same passage seldom do."""
     counts = bucket_counts(docs, k)
     crowd = np.maximum(counts, 1) / max(1.0, float(counts.sum()) / BUCKETS)
     heavy = np.clip(np.floor(np.log2(np.maximum(crowd, 1))), 0, 30).astype(np.uint64)
@@ -57,7 +62,8 @@ def prefixes(docs: DataFrame, k: int, threshold: int) -> DataFrame:
                 s = _set(t, k)
                 n = len(s)
                 keys = np.sort(order_key(s, order))
-                pre = keys[:n - -(-threshold * n // 100) + 1] if n else keys
+                slack = n - -(-threshold * n // 100)
+                pre = keys[:slack + max(1, (slack + 1) // 2)]
                 parity = np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63))) if n else 0
                 whole = mix(s)
                 rows.append((d, n, signed(s.sum() if n else 0), signed(whole.sum() if n else 0), signed(mix(pre + np.arange(len(pre), dtype=np.uint64)).sum() if n else 0), signed(parity), pre.astype(np.int64)))
@@ -85,25 +91,95 @@ class _Rules:
         most = F.least(ia, ib) + 1 + F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib)) - 1
         return most * (100 + self.t) >= (F.col(na) + F.col(nb)) * self.t
 
-    def indexed(self, n: str, i: str) -> Column:
-        """Whether a place lies in the shorter prefix that suffices for the smaller set of a pair."""
-        return F.col(i) <= F.col(n) - F.ceil(F.col(n) * 2 * self.t / (100 + self.t))
+    def shared(self, na: str, nb: str) -> Column:
+        """How many prefix shingles two linked sets of these sizes share at least."""
+        n = F.least(na, nb)
+        slack = n - F.floor((n * self.t + 99) / 100)
+        return F.greatest(F.lit(1), F.floor((slack + 1) / 2))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets meet the threshold; only documents of some pair are read into sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, x: the shingle sets of the documents named in `ids`; no other document is read into a set."""
 
     def collect(frames):
         for pdf in frames:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "x": [_set(t, k).astype(np.int64) for t in pdf.text]})
 
-    sets = stage(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(collect, "doc_id long, x array<long>"), "sets")
+    return stage(docs.select("doc_id", "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(collect, "doc_id long, x array<long>"), "sets")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets meet the threshold."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("x").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     return both.where(common * (100 + threshold) >= (F.size("xa") + F.size("xb")) * threshold).select("a", "b").distinct()
 
 
+def linked_places(sets: list[np.ndarray], threshold: int, columns: int = 4096) -> np.ndarray:
+    """Pairs (i, j), i < j, of sets that meet the threshold, by products of 0/1 matrices over the elements that occur twice."""
+    size = np.array([len(x) for x in sets])
+    names, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    slot = np.cumsum(counts > 1) - 1
+    keep = counts[inverse] > 1
+    row, col = np.repeat(np.arange(len(sets)), size)[keep], slot[inverse[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    common = np.zeros((len(sets), len(sets)))
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        at = slice(*np.searchsorted(col, (lo, lo + columns)))
+        m = np.zeros((len(sets), columns), np.float32)
+        m[row[at], col[at] - lo] = 1
+        common += m @ m.T
+    meets = common * (100 + threshold) >= (size[:, None] + size) * threshold
+    return np.argwhere(np.triu(meets, 1))
+
+
+def block_links(members: DataFrame, sets: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between different components inside each cluster of `members` (cluster, doc_id, comp), enough of them
+    to join whatever is linked.
+
+    A cluster is cut into blocks of about `block` documents by a hash; a component larger than that has blocks of its own.
+    Two blocks meet in one task, unless both are of one component, which needs no more links.  So a task holds two blocks,
+    and a large component with a few strangers costs its size times the strangers' blocks.
+    """
+    comps = members.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    open_ = comps.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.when(F.col("c") <= block, F.col("c")).otherwise(0)).alias("small")).where("n > 1").drop("n")
+    own = F.col("c") > block
+    sized = members.join(open_, "cluster").join(comps, ["cluster", "comp"])
+    number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.when(own, F.col("c")).otherwise(F.col("small")) / block)).cast("int")
+    placed = stage(sized.select("cluster", "doc_id", "comp", F.when(own, F.col("comp")).alias("big"), number.alias("k")), "blocks")
+    blocks = placed.select("cluster", "big", "k").distinct()
+    one, two = (blocks.select("cluster", F.struct("big", "k").alias(x)) for x in "xy")
+    meet = one.join(two, "cluster").where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("x.big") == F.col("y.big"), F.lit(False)))
+    meet = meet.select("cluster", F.xxhash64("cluster", "x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("z")).select("cluster", "pair", F.col("z.big").alias("big"), F.col("z.k").alias("k"))
+    same = placed["cluster"].eqNullSafe(meet["cluster"]) & placed["big"].eqNullSafe(meet["big"]) & (placed["k"] == meet["k"])
+    dealt = placed.join(meet, same).select(meet["pair"], placed["doc_id"], placed["comp"]).join(sets, "doc_id")
+
+    def meet_all(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+        root = {c: c for c in pdf.comp.unique()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out, comp, ids = [], pdf.comp.to_numpy(), pdf.doc_id.to_numpy()
+        for i, j in linked_places([np.asarray(x, np.int64) for x in pdf.x], threshold):
+            a, b = find(comp[i]), find(comp[j])
+            if a != b:
+                root[b] = a
+                out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("pair").applyInPandas(meet_all, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
@@ -113,51 +189,53 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     its set's component.  An empty table gives no rows; other columns are not read.
 
     Equal sets collapse into one class, classes with equal size and equal prefix into one group, and groups meet
-    on prefix shingles.  Components need no pair inside a component already known, so links are sought twice:
-    first each group only meets the smallest group on each of its shingles (and each member its group's leader), which
-    is linear in the postings; then, only on shingles whose groups are still in different components, all pairs
-    across components that the size, position and parity rules admit.  No pair across components is skipped, so the components are
-    those of all links, and a large group of near copies costs a star rather than its square.
+    on prefix shingles.  A component needs no more links than join it, so no list of all pairs of a group is made:
+
+    1. Stars: each group meets the smallest group on each of its shingles, and each class its group's leader; that is
+       linear in the postings.  Verified pairs are links and give components; all pairs, verified or not, give
+       clusters.
+    2. Inside a cluster with more than one component, blocks of documents meet in a task (`block_links`).
+    3. Groups of different clusters that still share enough prefix shingles meet in pairs, member by member.
+
+    Every pair that the rules on sizes, positions and shared prefix shingles admit lies in a component, in a cluster or
+    between two clusters, so the components are those of all links.
     """
     rules = _Rules(threshold)
     rows = stage(prefixes(docs, k, threshold), "prefixes")
     full = rows.where("n > 0")
     classes = full.where("doc_id IS NOT NULL").groupBy("h1", "h2", "n", "p", "s").agg(F.min("doc_id").alias("rep"))
-    leaders = classes.groupBy("n", "p").agg(F.min(F.struct("rep", "s")).alias("l")).select("n", "p", F.col("l.rep").alias("gid"), F.col("l.s").alias("gs"))
-    classes = stage(classes.join(leaders, ["n", "p"]).select("h1", "h2", "n", "s", "rep", "gid", "gs"), "classes")
-    heads = classes.where("rep = gid").select(F.col("gid").alias("doc_id"), "n", "h1", "h2", "gs").distinct()
+    leaders = classes.groupBy("n", "p").agg(F.min("rep").alias("gid"))
+    classes = stage(classes.join(leaders, ["n", "p"]).select("h1", "h2", "n", "s", "rep", "gid"), "classes")
+    heads = classes.where("rep = gid").select(F.col("gid").alias("doc_id"), "n", "h1", "h2").distinct()
 
     posts = full.join(heads, ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("i", "tok"))
     shared = posts.groupBy("tok").agg(F.count("*").alias("c"), F.min("gid").alias("hub")).where("c > 1").select("tok", "hub")
-    sketches = heads.groupBy(F.col("doc_id").alias("gid"), "n").agg(F.when(F.count("*") == 1, F.min("gs")).alias("gs"))
-    posts = posts.join(shared, "tok").join(sketches, ["gid", "n"])
-    posts = stage(posts.select("tok", "gid", "n", "gs", "i", "hub"), "postings")
-
-    # stars: each group with the smallest on each shingle, each member with its leader
-    hubs = posts.where("gid = hub").select("tok", F.col("gid").alias("hid"), F.col("n").alias("hn"), F.col("gs").alias("hs"), F.col("i").alias("hi"))
-    star = posts.join(hubs, "tok").where((F.col("gid") > F.col("hid")) & rules.sizes("n", "hn") & rules.positions("n", "hn", "i", "hi") & rules.parity("n", "hn", "gs", "hs"))
-    star = star.select(F.col("hid").alias("a"), F.col("gid").alias("b"))
-    inner = classes.where((F.col("rep") != F.col("gid")) & rules.parity("n", "n", "s", "gs")).select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    first = stage(verified(stage(star.union(inner).distinct(), "pairs"), docs, k, threshold), "links")
-    comp = components(first)
-
-    # what is left: pairs across components
-    placed = stage(classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
-    spans = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
-    posts = stage(posts.drop("hub").join(spans, "gid"), "postings")
-    mixed = posts.groupBy("tok").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("tok")
+    posts = stage(posts.join(shared, "tok"), "postings")
+
+    hubs = posts.where("gid = hub").select("tok", F.col("gid").alias("hid"), F.col("n").alias("hn"), F.col("i").alias("hi"))
+    star = posts.join(hubs, "tok").where((F.col("gid") > F.col("hid")) & rules.sizes("n", "hn") & rules.positions("n", "hn", "i", "hi"))
+    star = star.groupBy(F.col("hid").alias("a"), F.col("gid").alias("b"), "n", "hn").agg(F.count("*").alias("c")).where(F.col("c") * 4 >= rules.shared("n", "hn")).select("a", "b")
+    inner = classes.where(F.col("rep") != F.col("gid")).select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    star = stage(star.union(inner).distinct(), "stars")
+    sets = sets_of(ends_of(star), docs, k)
+    links = stage(verified(star, sets, threshold), "links")
+    comp, cluster = components(links), components(star)
+
+    members = cluster.select(F.col("comp").alias("cluster"), F.col("id").alias("doc_id")).join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    links = links.union(block_links(members, sets, threshold))
+
+    posts = posts.drop("hub").join(cluster.select(F.col("id").alias("gid"), F.col("comp").alias("cl")), "gid", "left").withColumn("cl", F.coalesce("cl", "gid"))
+    posts = stage(posts, "postings")
+    mixed = posts.groupBy("tok").agg(F.min("cl").alias("x"), F.max("cl").alias("y")).where("x <> y").select("tok")
     posts = posts.join(mixed, "tok", "left_semi")
-    left = posts.select("tok", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "gs", "i", "lo", "hi")))
-    right = posts.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "gs", "i", "lo", "hi")))
-    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("gid_a") < F.col("gid_b")))
-    one = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
-    groups = left.join(right, "tok").where(smaller & ~one & rules.indexed("n_a", "i_a") & rules.sizes("n_a", "n_b") & rules.positions("n_a", "n_b", "i_a", "i_b"))
-    groups = groups.select(F.col("gid_a").alias("ga"), F.col("gid_b").alias("gb")).union(spans.where("lo <> hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))).distinct()
-    member = lambda x: placed.select(F.col("gid").alias(f"g{x}"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"), F.col("comp").alias(f"c{x}"))
-    pairs = groups.join(member("a"), "ga").join(member("b"), "gb").where((F.col("ca") != F.col("cb")) & rules.parity("na", "nb", "sa", "sb"))
-    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    second = verified(pairs, docs, k, threshold)
-    final = components(first.union(second))
+    left = posts.select("tok", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "i", "cl")))
+    right = posts.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "i", "cl")))
+    met = left.join(right, "tok").where((F.col("gid_a") < F.col("gid_b")) & (F.col("cl_a") != F.col("cl_b")) & rules.sizes("n_a", "n_b") & rules.positions("n_a", "n_b", "i_a", "i_b"))
+    met = met.groupBy(F.col("gid_a").alias("ga"), F.col("gid_b").alias("gb"), "n_a", "n_b").agg(F.count("*").alias("c")).where(F.col("c") >= rules.shared("n_a", "n_b"))
+    member = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    pairs = met.select("ga", "gb").join(member("a"), "ga").join(member("b"), "gb").where(rules.parity("na", "nb", "sa", "sb"))
+    pairs = stage(pairs.select("a", "b").distinct(), "pairs")
+    final = components(links.union(verified(pairs, sets_of(ends_of(pairs), docs, k), threshold)))
 
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("component_id"))
     named = named.dropDuplicates(["h1", "h2", "n"])

@@ -12,6 +12,7 @@ from .common import WordHash, hashes, stage, windows, words_of
 GRAM = 8
 SHARD_WORDS = 100_000
 HOT_CONTEXTS = 1_000
+PLACES = 1 << 24
 _WORDS = WordHash()
 
 
@@ -102,15 +103,19 @@ def anchors(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     if n <= 0:
         e = np.empty(0, np.int64)
         return e, e, e
-    order = np.lexsort((-np.arange(len(g)), g))
-    rank = np.empty(len(g), np.int64)
-    rank[order] = np.arange(len(g))
-    pad = np.full(-(-len(g) // span) * span, len(g), np.int64)
-    pad[:len(g)] = rank
-    grid = pad.reshape(-1, span)
-    left = np.minimum.accumulate(grid, axis=1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    at = order[np.minimum(right[:n], left[span - 1:span - 1 + n])]
+    if len(g) <= PLACES:                                   # hash above, place below: the least is the last of the smallest
+        low = (g & ~np.uint64(PLACES - 1)) | (np.uint64(PLACES - 1) - np.arange(len(g), dtype=np.uint64))
+        back = lambda m: PLACES - 1 - (m & np.uint64(PLACES - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((-np.arange(len(g)), g & ~np.uint64(PLACES - 1)))
+        low = np.empty(len(g), np.int64)
+        low[order] = np.arange(len(g))
+        back = lambda m: order[m]
+    width = 1
+    while 2 * width <= span:                               # minima of runs of 1, 2, 4 ... places
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    at = back(np.minimum(low[:n], low[span - width:span - width + n]))
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     return at[first], first, np.diff(np.append(first, n))
 
@@ -140,15 +145,22 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
 
     def places(frames):
         for pdf in frames:
+            g, ids_, first, n, size = [], [], [], [], []
             for d, t in zip(pdf.doc_id, pdf.text):
                 ids = hashes(words_of(t), _WORDS)
-                at, first, n = anchors(ids, width)
+                at, f, c = anchors(ids, width)
                 if len(at):
-                    yield pd.DataFrame({"g": _gram_hash(ids, at, width), "doc_id": d, "first": first.astype(np.int32), "n": n.astype(np.int16)})
+                    g.append(_gram_hash(ids, at, width))
+                    first.append(f)
+                    n.append(c)
+                    ids_.append(d)
+                    size.append(len(at))
+            if g:
+                yield pd.DataFrame({"g": np.concatenate(g), "doc_id": np.repeat(np.array(ids_, np.int64), size), "first": np.concatenate(first).astype(np.int32), "n": np.concatenate(n).astype(np.int16)})
 
     text = docs.select("doc_id", "text")
     seen = text.select("text").mapInPandas(grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("c")).where("c > 1").select("g")
-    spots = text.mapInPandas(_joined(places), "g long, doc_id long, first int, n short").join(seen, "g", "left_semi")
+    spots = text.mapInPandas(places, "g long, doc_id long, first int, n short").join(seen, "g", "left_semi")
     per_doc = spots.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "n", "g"))).alias("spots"))
 
     def cut(frames):
@@ -197,21 +209,6 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     return contexts.select("doc_id", "first", "k1", "k2").join(bits, ["k1", "k2"]).select("doc_id", "first", "bits")
 
 
-def _joined(rows, size: int = 200_000):
-    """Gathers the small frames that `rows` yields into frames of about `size` rows."""
-    def run(frames):
-        held, n = [], 0
-        for pdf in rows(frames):
-            held.append(pdf)
-            n += len(pdf)
-            if n >= size:
-                yield pd.concat(held)
-                held, n = [], 0
-        if held:
-            yield pd.concat(held)
-    return run
-
-
 def _key(words: bytes) -> tuple[int, int]:
     h = hashlib.blake2b(words, digest_size=16).digest()
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
