@@ -88,10 +88,17 @@ def shingle_set(ids: np.ndarray, k: int) -> np.ndarray:
     return np.unique(windows(ids, k)) if len(ids) >= k else windows(ids, len(ids)) ^ GOLDEN
 
 
-def batches(frames):
-    """Rows of Arrow-backed pandas batches as tuples, so that callers stream rather than build lists."""
-    for pdf in frames:
-        yield from zip(*(pdf[c] for c in pdf.columns), strict=True)
+def chunks(texts, chars: int = 4_000_000):
+    """Lists of consecutive texts that hold about `chars` characters, so that long texts bound what is in memory at once."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

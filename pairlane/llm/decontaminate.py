@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import WordHash, hashes, mix, windows, words_of
+from .common import WordHash, chunks, hashes, mix, windows, words_of
 
 HASHES = 16
 BLOCK_ITEMS = 20_000
@@ -113,7 +113,10 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int =
         def search(frames, shared=shared):
             index = shared.value
             for pdf in frames:
-                rows = [(pdf.doc_id.iat[first + row], *m) for first, part in _parts(pdf.text) for row, *m in index.search(part, threshold)]
+                rows, first = [], 0
+                for part in chunks(pdf.text):
+                    rows += [(pdf.doc_id.iat[first + row], *m) for row, *m in index.search(part, threshold)]
+                    first += len(part)
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_common", "n_item"]).astype({"item_id": "int64", "n_common": "int64", "n_item": "int64"})
 
         parts.append(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(search, "doc_id long, item_id long, n_common long, n_item long"))
@@ -125,19 +128,6 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int =
     return rows.distinct()
 
 
-def _parts(texts: pd.Series, chars: int = 4_000_000):
-    """(place of the first, texts) of runs of a batch that hold about `chars` characters, so long texts bound the arrays."""
-    first, held, size = 0, [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t or "")
-        if size >= chars:
-            yield first, held
-            first, held, size = first + len(held), [], 0
-    if held:
-        yield first, held
-
-
 def item_blocks(items: DataFrame, block_items: int):
     """Lists of at most `block_items` (item_id, text), one block on the driver at a time."""
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator(prefetchPartitions=False)

@@ -22,7 +22,7 @@ def units(text: str) -> str:
 
 def lanes(h: str, seed: int) -> list[Column]:
     """What one unit adds to each sum: three bits of its hash, each at the foot of a lane."""
-    x = F.col(h) if seed == 0 else F.xxhash64(h, F.lit(seed))
+    x = F.col(h) if seed == 0 else F.when(F.col(h).isNotNull(), F.xxhash64(h, F.lit(seed)))
     return [F.shiftrightunsigned(x, 3 * i).bitwiseAND(F.lit(1))
             + F.shiftleft(F.shiftrightunsigned(x, 3 * i + 1).bitwiseAND(F.lit(1)), LANE_BITS)
             + F.shiftleft(F.shiftrightunsigned(x, 3 * i + 2).bitwiseAND(F.lit(1)), 2 * LANE_BITS) for i in range(SUMS)]

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WordHash, components, hashes, mix, shingle_set, stage, words_of
+from .common import WordHash, chunks, components, hashes, mix, shingle_set, stage, words_of
 
 BUCKETS = 1 << 16
 BLOCK = 256
@@ -22,8 +22,8 @@ def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
     def count(frames):
         total = np.zeros(BUCKETS, np.int64)
         for pdf in frames:
-            for t in pdf.text:
-                total += np.bincount((_set(t, k) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            for part in chunks(pdf.text):
+                total += np.bincount(np.concatenate([_set(t, k) >> np.uint64(48) for t in part]).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
