@@ -120,3 +120,24 @@ def contact_location(ka: pd.Series, kb: pd.Series, thr: pd.Series) -> pd.DataFra
                 df[c] = df[c].mask(df[c].isna() | np.isnan(df[c].to_numpy(float, na_value=np.nan)))
         parts.append(df)
     return pd.concat(parts, ignore_index=True)[_CONTACT] if parts else pd.DataFrame({c: [] for c in _CONTACT})
+
+
+def distinct_bodies(flats: Column) -> Column:
+    """How many of a frame's skeletons (17 x, y, c each, one after another, in order of rank) are bodies of their own: a
+    skeleton repeats one that counts if they share four or more sure points, on average closer than 0.15 of its size."""
+    def kernel(s: pd.Series) -> pd.Series:
+        out = []
+        for v in s:
+            q = np.asarray(v, float).reshape(-1, 17, 3)
+            sure, xy = q[..., 2] > 0.3, q[..., :2]
+            box = np.where(sure[..., None], xy, np.nan)
+            size = np.sqrt(np.prod(np.nanmax(box, 1) - np.nanmin(box, 1), axis=1) + 1e-6)
+            both = sure[:, None] & sure[None]
+            apart = np.where(both, np.linalg.norm(xy[:, None] - xy[None], axis=-1), 0).sum(-1) / np.maximum(both.sum(-1), 1)
+            near = (both.sum(-1) >= 4) & (apart < 0.15 * size[:, None])
+            own = np.zeros(len(q), bool)
+            for i in range(len(q)):
+                own[i] = not near[i, own].any()
+            out.append(int(own.sum()))
+        return pd.Series(out, dtype="int64")
+    return F.pandas_udf(kernel, "long")(flats)

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from pairlane.functions.mathx import guarded_corr
 
+from pairlane.sources.scratch import staged
+
 from .ordered import CHUNK, _whole, halo
 
 
@@ -84,58 +86,71 @@ def null_summary(peaks: DataFrame, keys, min_null=10) -> DataFrame:
                     F.when(ok, (F.abs("r_obs") - F.col("_m")) / (F.col("_s") + 1e-12)).alias("z"), F.when(ok, F.col("null_95")).alias("null_95"))
 
 
-_PEAKS = T.ArrayType(T.StructType([T.StructField("shift", T.IntegerType()), T.StructField("lag", T.IntegerType()), T.StructField("r", T.DoubleType()), T.StructField("r0", T.DoubleType())]))
+SHIFT_GROUP = 32
+_SUMS = T.ArrayType(T.StructType([T.StructField("shift", T.IntegerType()), T.StructField("lag", T.IntegerType())] + [T.StructField(m, T.DoubleType()) for m in MOMENTS]))
 
 
-def lagged_corr_fft(a, b, max_lag, min_pairs):
-    """All lags of one (batch of) dense series by FFT moment sums; b may be 2-D (one row per shift)."""
-    n = a.shape[-1]
-    m = 1 << int(np.ceil(np.log2(2 * n)))
-    ma, mb = np.isfinite(a).astype(float), np.isfinite(b).astype(float)
-    x = np.where(ma > 0, a - (np.nansum(a) / max(ma.sum(), 1)), 0.0)
-    y = np.where(mb > 0, b - (np.nansum(b, -1, keepdims=True) / np.maximum(mb.sum(-1, keepdims=True), 1)), 0.0)
-    f = lambda v: np.fft.rfft(v, m)
-    idx = np.arange(-max_lag, max_lag + 1) % m
-    xc = lambda u, v: np.fft.irfft(np.conj(u) * v, m)[..., idx]
-    fma, fx, fxx, fmb, fy, fyy = f(ma), f(x), f(x * x), f(mb), f(y), f(y * y)
-    N = np.round(xc(fma, fmb))
-    sx, sy = xc(fx, fmb), xc(fma, fy)
-    with np.errstate(all="ignore"):
-        vx, vy = xc(fxx, fmb) - sx ** 2 / N, xc(fma, fyy) - sy ** 2 / N
-        r = np.clip((xc(fx, fy) - sx * sy / N) / np.sqrt(vx * vy), -1, 1)
-    r[(N < min_pairs) | ~(vx > 1e-9) | ~(vy > 1e-9)] = np.nan
-    return r
+def moment_sums(a: np.ndarray, b: np.ndarray, max_lag: int) -> list[np.ndarray]:
+    """MOMENTS of the pairs (a[t], b[s, t + lag]) for each row s of b and each lag, NaN meaning missing, by FFT."""
+    size = 1 << int(np.ceil(np.log2(a.shape[-1] + max_lag + 1)))
+    have_a, have_b = np.isfinite(a), np.isfinite(b)
+    x, y = np.where(have_a, a, 0.0), np.where(have_b, b, 0.0)
+    spectrum = lambda v: np.fft.rfft(v, size)
+    lags = np.arange(-max_lag, max_lag + 1) % size
+    meet = lambda u, v: np.fft.irfft(np.conj(u) * v, size)[..., lags]
+    fa, fx, fxx = spectrum(have_a.astype(float)), spectrum(x), spectrum(x * x)
+    fb, fy, fyy = spectrum(have_b.astype(float)), spectrum(y), spectrum(y * y)
+    return [np.round(meet(fa, fb)), meet(fx, fb), meet(fa, fy), meet(fxx, fb), meet(fa, fyy), meet(fx, fy)]
 
 
 def shift_null(df: DataFrame, keys, fps, max_lag, shifts: list[int], min_pairs=50, size=None) -> DataFrame:
-    """Same result as `shift_null_join`.  Series proven to fit a chunk are gathered per key and all
-    shifts and lags are taken by FFT; longer ones use the joins.  Input: keys, frame, a, b, mask."""
-    if not _whole(size):
-        return shift_null_join(df, keys, fps, max_lag, shifts, min_pairs, size)
-    ks = np.array([0, *shifts])
-
-    @F.pandas_udf(_PEAKS)
-    def kernel(n: pd.Series, f: pd.Series, a: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
-        res = []
-        for t, fr, av, bv, mv in zip(n, f, a, b, m):
-            A, B, M = np.full(t, np.nan), np.full(t, np.nan), np.zeros(t, bool)
-            A[fr], B[fr], M[fr] = np.asarray(av, float), np.asarray(bv, float), np.asarray(mv, bool)
-            rows = np.stack([np.roll(B, k) for k in ks])
-            r = lagged_corr_fft(np.where(M, A, np.nan), np.where(M[None], rows, np.nan), max_lag, min_pairs)
-            some = np.isfinite(r).any(1)
-            i = np.where(np.isfinite(r), np.abs(r), -1).argmax(1)
-            out = []
-            for s in range(len(ks)):
-                r0 = r[s, max_lag]
-                out.append({"shift": int(ks[s]), "lag": int(i[s] - max_lag) if some[s] else None, "r": float(r[s, i[s]]) if some[s] else None,
-                            "r0": float(r0) if np.isfinite(r0) else None})
-            res.append(out)
-        return pd.Series(res)
-
-    nn = lambda c: F.transform("_s", lambda s: F.coalesce(s[c], F.lit(float("nan"))))
-    g = df.groupBy(*keys).agg(F.collect_list(F.struct("frame", "a", "b", F.coalesce("mask", F.lit(False)).alias("mask"))).alias("_s"), (F.max("frame") + 1).alias("_t"))
-    g = g.select(*keys, F.explode(kernel("_t", F.transform("_s", lambda s: s["frame"]), nn("a"), nn("b"), F.transform("_s", lambda s: s["mask"]))).alias("_p"))
-    return g.select(*keys, F.col("_p.shift").alias("shift"), (F.col("_p.lag") / fps).alias("peak_lag_s"), F.col("_p.r").alias("peak_r"), F.col("_p.r0").alias("r_lag0"))
+    """Same result as `shift_null_join`, without copying rows for shifts and lags.  Input: keys, frame, a, b, mask.
+
+    Series are cut into chunks; a task holds one chunk of A with the mask around it, and those chunks of B that a group
+    of SHIFT_GROUP shifts rolls onto it.  It takes all shifts and lags of the two by FFT and emits moment sums for
+    each (shift, lag), which add up over chunks.  Both series are centred per key first.
+    """
+    size = size or CHUNK
+    span = max(size, 2 * max_lag + 1)
+    ks = [0, *map(int, shifts)]
+    stats = df.groupBy(*keys).agg((F.max("frame") + 1).alias("_t"), F.avg("a").alias("_ma"), F.avg("b").alias("_mb"))
+    d = df.join(stats, keys).select(*keys, "frame", "_t", (F.col("a") - F.col("_ma")).alias("a"), (F.col("b") - F.col("_mb")).alias("b"), F.coalesce("mask", F.lit(False)).alias("mask"))
+    d = staged(d, "shifts")
+    nan = lambda c: F.coalesce(c, F.lit(float("nan")))
+    left = halo(d.drop("b"), max_lag, max_lag, "frame", span).where("mask").groupBy(*keys, "_c", "_t").agg(F.collect_list(F.struct("frame", nan(F.when(F.col("_core"), F.col("a"))).alias("v"))).alias("_a"))
+    right = d.where(F.col("b").isNotNull()).groupBy(*keys, F.floor(F.col("frame") / span).alias("_k")).agg(F.collect_list(F.struct("frame", F.col("b").alias("v"))).alias("_b"))
+
+    groups = F.array(*[F.array(*[F.lit(k) for k in ks[i:i + SHIFT_GROUP]]) for i in range(0, len(ks), SHIFT_GROUP)])
+    first, last = F.greatest(F.lit(0), F.col("_c") * span - max_lag), F.least(F.col("_t"), (F.col("_c") + 1) * span + max_lag) - 1
+    task = left.select(*keys, "_c", "_t", first.alias("_u0"), last.alias("_u1"), F.posexplode(groups).alias("_g", "_ks"))
+    wraps = lambda k: F.floor((F.col("_u0") - k) / F.col("_t")) != F.floor((F.col("_u1") - k) / F.col("_t"))
+    hit = lambda k: F.concat(F.sequence(F.col("_u0") - k, F.col("_u1") - k, F.lit(span).cast("long")), F.array(F.col("_u1") - k), F.when(wraps(k), F.array(F.lit(0).cast("long"), F.col("_t").cast("long") - 1)).otherwise(F.array().cast("array<long>")))
+    need = F.array_distinct(F.flatten(F.transform("_ks", lambda k: F.transform(hit(k), lambda x: F.floor(F.pmod(x, F.col("_t")) / span)))))
+    task = task.select(*keys, "_c", "_t", "_u0", "_u1", "_g", "_ks", F.explode(need).alias("_k")).join(right, [*keys, "_k"])
+    task = task.groupBy(*keys, "_c", "_g", "_u0", "_u1", "_ks").agg(F.flatten(F.collect_list("_b")).alias("_b")).join(left, [*keys, "_c"])
+
+    @F.pandas_udf(_SUMS)
+    def kernel(t: pd.Series, u0: pd.Series, u1: pd.Series, ks: pd.Series, fa: pd.Series, va: pd.Series, fb: pd.Series, vb: pd.Series) -> pd.Series:
+        out = []
+        for n, lo, hi, k, f, v, g, w in zip(t, u0, u1, ks, fa, va, fb, vb):
+            a, seen = np.full(hi - lo + 1, np.nan), np.zeros(hi - lo + 1, bool)
+            f, g, k = np.asarray(f) - lo, np.asarray(g), np.asarray(k)
+            a[f], seen[f] = v, True
+            order = np.argsort(g)
+            g, w = g[order], np.asarray(w, float)[order]
+            source = (np.arange(lo, hi + 1)[None] - k[:, None]) % n
+            at = np.minimum(np.searchsorted(g, source), len(g) - 1)
+            b = np.where((g[at] == source) & seen[None], w[at], np.nan)
+            sums = moment_sums(a, b, max_lag)
+            s, lag = np.nonzero(sums[0])
+            out.append([{"shift": int(k[i]), "lag": int(j) - max_lag, **{m: float(v[i, j]) for m, v in zip(MOMENTS, sums)}} for i, j in zip(s, lag)])
+        return pd.Series(out)
+
+    part = lambda c, f: F.transform(c, lambda x: x[f])
+    sums = task.select(*keys, F.explode(kernel("_t", "_u0", "_u1", "_ks", part("_a", "frame"), part("_a", "v"), part("_b", "frame"), part("_b", "v"))).alias("p")).select(*keys, "p.*")
+    lc = sums.groupBy(*keys, "shift", "lag").agg(*[F.sum(m).alias(m) for m in MOMENTS]).select(*keys, "shift", "lag", "n", corr_of(min_pairs, 1e-9).alias("r"))
+    some = df.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(k) for k in ks])).alias("shift"))
+    return some.join(peak(lc, [*keys, "shift"], fps), [*keys, "shift"], "left")
 
 
 def xcorr_dropna(df: DataFrame, keys, max_lag: int, min_n: int, min_std=1e-6) -> DataFrame:

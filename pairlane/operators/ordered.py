@@ -6,16 +6,18 @@ halo of copied rows (`over_neighbours`); functions with unbounded memory (runnin
 value, island starts) get the state of all earlier chunks from one small row per chunk
 (`running`).  Both give exactly the result of the unchunked window.
 
-When a size check has shown that no series is longer than one chunk (`longest_series`), the same
-operators build the plain window instead (`layout(whole=True)`), which saves the second pass.
+`running` and `bucketed_row_number` read their input twice, rows and chunk sums, so they stage it first: a chain of them
+reads and computes each level once.  Inside `layout(whole=True)` the same operators build plain windows; that is for a
+caller who knows that every series is short, and for the tests, which compare both.
 """
 from __future__ import annotations
 
-import tempfile
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pairlane.sources.scratch import staged
+
 CHUNK = 1 << 16
 _LAYOUT = {"whole": False}
 
@@ -30,11 +32,6 @@ def layout(whole: bool):
         _LAYOUT["whole"] = old
 
 
-def longest_series(df: DataFrame, *key_sets: list[str]) -> int:
-    """Rows of the largest group under any of the key sets: one pruned scan each, partial counts first."""
-    return max(df.groupBy(*ks).count().agg(F.max("count")).first()[0] or 0 for ks in key_sets)
-
-
 def _whole(size) -> bool:
     return size is None and _LAYOUT["whole"]
 
@@ -80,7 +77,7 @@ def running(df: DataFrame, keys: list[str], spec: dict, order: str = "frame", si
         w = W.partitionBy(*keys).orderBy(F.col(order).desc() if reverse else F.col(order)).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
         return df.withColumns({n: (F.last(c, ignorenulls=True) if k == "last" else _SUMMARY[k](c)).over(w) for n, (k, c) in spec.items()})
     size = size or CHUNK
-    base = df.withColumn("_c", _order(order, size) if chunk is None else chunk)
+    base = staged(df.withColumn("_c", _order(order, size) if chunk is None else chunk), "running")      # read twice below
     o = F.col(order)
     aggs = []
     for name, (kind, col) in spec.items():
@@ -91,7 +88,7 @@ def running(df: DataFrame, keys: list[str], spec: dict, order: str = "frame", si
             aggs.append(_SUMMARY[kind](col).alias(f"_s_{name}"))
     c_ord = F.col("_c").desc() if reverse else F.col("_c")
     cw = W.partitionBy(*keys).orderBy(c_ord).rowsBetween(W.unboundedPreceding, -1)
-    summary = df.withColumn("_c", _order(order, size) if chunk is None else chunk).groupBy(*keys, "_c").agg(*aggs)
+    summary = base.groupBy(*keys, "_c").agg(*aggs)
     carry = summary.select(*keys, "_c", *[
         (F.last(f"_s_{n}", ignorenulls=True) if k == "last" else _SUMMARY[k](f"_s_{n}")).over(cw).alias(f"_k_{n}")
         for n, (k, _) in spec.items()])
@@ -117,8 +114,8 @@ def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column, order: l
     bucket are accumulated, so no task sorts more than one (key, bucket)."""
     if _whole(None):
         return df.withColumn(name, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("int"))
-    b = df.withColumn("_b", bucket)
-    n = df.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    b = staged(df.withColumn("_b", bucket), "numbered")                                                 # read twice below
+    n = b.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     before = n.select(*keys, "_b", F.coalesce(F.sum("_n").over(
         W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     w = W.partitionBy(*keys, "_b").orderBy(*order)
@@ -189,8 +186,5 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    """The table by way of the shared folder that spark.checkpoint.dir names."""
+    return staged(df, "cut")

@@ -151,3 +151,29 @@ def spectrum_udf(win: int):
     def kernel(s: pd.Series) -> pd.Series:
         return pd.Series([np.abs(np.fft.rfft(np.asarray(v, float) * w)).tolist() if v is not None and len(v) == win else None for v in s])
     return F.pandas_udf(kernel, "array<double>")
+
+
+def turn_phases(x: np.ndarray, angles: np.ndarray) -> np.ndarray:
+    """Columns of x with each frequency turned by its angle, the same for all columns, so every spectrum and cross-spectrum
+    stays; the mean and, for an even number of rows, the highest frequency keep their phase."""
+    spectrum = np.fft.rfft(x, axis=0)
+    free = slice(1, (len(x) + 1) // 2)
+    spectrum[free] *= np.exp(1j * angles[free])[:, None]
+    return np.fft.irfft(spectrum, len(x), axis=0)
+
+
+def redrawn_phases(df: DataFrame, keys: list[str], cols: list[str], min_rows: int, seed: int = 0) -> DataFrame:
+    """keys, n, var0, var1 (summed variances before and after) and cells (sign patterns about the medians that occur
+    after) of every group of at least `min_rows` rows (a piece of bounded length), its phases turned by angles from a
+    generator seeded by the keys."""
+    @F.pandas_udf("n long, var0 double, var1 double, cells long")
+    def kernel(number: pd.Series, values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for k, v in zip(number, values):
+            x = np.asarray(v, float).reshape(-1, len(cols))
+            y = turn_phases(x, np.random.default_rng([seed, int(k) & 0xFFFFFFFF]).uniform(0.0, 2 * np.pi, len(x) // 2 + 1))
+            cells = np.unique((y > np.median(y, axis=0)) @ (1 << np.arange(len(cols))))
+            rows.append((len(x), x.var(axis=0).sum(), y.var(axis=0).sum(), len(cells)))
+        return pd.DataFrame(rows, columns=["n", "var0", "var1", "cells"])
+    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame", F.array(*cols).alias("v")))).alias("s")).where(F.size("s") >= min_rows)
+    return g.select(*keys, kernel(F.xxhash64(*keys), F.flatten(F.transform("s", lambda x: x["v"]))).alias("r")).select(*keys, "r.*")

@@ -183,11 +183,14 @@ def _(spark, sf):
     return d.join(first, "h").select("doc_id", F.when(F.col("doc_id") > F.col("first"), F.concat(F.lit("duplicate_of:"), F.col("first").cast("string"))).alias("reason"))
 
 
-@query("dup_detect_frames", sql("duet", """s AS (SELECT clip, string_agg(coalesce(CAST(floor(ay / 26) AS INT)::VARCHAR, 'n'), ',' ORDER BY frame) AS sig FROM duet WHERE frame < 4 GROUP BY clip) SELECT clip, CASE WHEN clip > first THEN 'duplicate_of:' || first END AS reason FROM s JOIN (SELECT sig, min(clip) AS first FROM s GROUP BY sig) USING (sig)"""))
-def _(spark, sf):
-    """Duplicate series by the signature of their first frames (a bounded head per clip)."""
-    d = V.duet(spark, sf).where(F.col("frame") < 4)
-    sig = F.md5(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("frame", F.coalesce(F.floor(F.col("ay") / 26).cast("string"), F.lit("n")).alias("v")))), lambda s: s["v"])))
-    s = d.groupBy("clip").agg(sig.alias("h"))
-    first = s.groupBy("h").agg(F.min("clip").alias("first"))
-    return s.join(first, "h").select("clip", F.when(F.col("clip") > F.col("first"), F.concat(F.lit("duplicate_of:"), F.col("first").cast("string"))).alias("reason"))
+@query("dup_detect_frames", sql("duet", """s AS (SELECT clip, list({'f': frame, 'a': ax, 'b': ay, 'c': bx, 'd': "by"} ORDER BY frame) AS sig FROM duet GROUP BY clip) SELECT clip, CASE WHEN clip > first THEN 'duplicate_of:' || first END AS reason FROM s JOIN (SELECT sig, min(clip) AS first FROM s GROUP BY sig) USING (sig)"""))
+def _(spark, sf):
+    """Duplicate series by a signature of all their rows: sums of two hashes of each row, which merge in any order."""
+    return duplicate_series(V.duet(spark, sf), ["ax", "ay", "bx", "by"])
+
+
+def duplicate_series(frames, cols):
+    row = lambda seed: F.sum(F.xxhash64(F.lit(seed), "frame", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols]).cast("decimal(38,0)"))
+    s = frames.groupBy("clip").agg(row(1).alias("h1"), row(2).alias("h2"), F.count("*").alias("n"))
+    first = s.groupBy("h1", "h2", "n").agg(F.min("clip").alias("first"))
+    return s.join(first, ["h1", "h2", "n"]).select("clip", F.when(F.col("clip") > F.col("first"), F.concat(F.lit("duplicate_of:"), F.col("first").cast("string"))).alias("reason"))

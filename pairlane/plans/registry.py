@@ -1,26 +1,8 @@
 """Catalogue of runnable queries and of the SQL that checks them."""
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import SparkSession
-
-from pairlane.operators.ordered import CHUNK, layout, longest_series
-
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-_FITS: dict = {}
-
-
-def series_fit(spark: SparkSession, sf: str) -> bool:
-    """Whether every series of the derived tables is at most one chunk long; measured once per input."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FITS:
-        sizes = [longest_series(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_suppkey"]),
-                 longest_series(spark.read.parquet(f"{sf}/events.parquet"), ["user_id"], ["event_type"]),
-                 longest_series(spark.read.parquet(f"{sf}/embeddings.parquet"), ["label"])]
-        _FITS[key] = max(sizes) <= CHUNK
-    return _FITS[key]
 
 
 def query(name: str, sql: str | None = None):
@@ -28,12 +10,7 @@ def query(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-
-        @functools.wraps(fn)
-        def run(spark, sf):
-            with layout(whole=series_fit(spark, sf)):
-                return fn(spark, sf)
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
         return fn

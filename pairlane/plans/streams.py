@@ -24,7 +24,7 @@ def _(spark, sf):
     return e.select("user_id", F.unix_micros("t0").alias("t0_us"), F.unix_micros("t1").alias("t1_us"), "n")
 
 
-@query("stream_states", sql("sym", "SELECT e.event_id, e.user_id, coalesce(last_value(CASE WHEN e.value > 40 THEN false WHEN e.value < 10 THEN true END IGNORE NULLS) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id), false) AS \"on\" FROM events e"))
+@query("stream_states", sql("sym", "SELECT event_id, user_id, \"on\" FROM (SELECT e.event_id, e.user_id, e.ts, coalesce(last_value(CASE WHEN e.value > 40 THEN false WHEN e.value < 10 THEN true END IGNORE NULLS) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id), false) AS \"on\" FROM events e) WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"))
 def _(spark, sf):
     return T.run_to_files(T.states(T.events(spark, sf)), "states")
 

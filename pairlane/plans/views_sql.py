@@ -9,7 +9,7 @@ VIEWS = {
  CASE WHEN l_linenumber <> 7 THEN l_tax * 10 - 0.4::DOUBLE END AS m02, CASE WHEN l_linenumber <> 7 THEN (l_discount - 0.05) / 5 END AS m10,
  CASE WHEN l_linenumber <> 7 THEN 1 + (l_quantity - 25) / 2500 END AS m11, CASE WHEN l_linenumber <> 7 THEN l_discount * 10 - 0.5::DOUBLE END AS m12 FROM lineitem""",
     "track": """SELECT clip, frame, 'A' AS body, ax AS x, ay AS y FROM duet UNION ALL SELECT clip, frame, 'B', bx, "by" FROM duet""",
-    "hourly": """SELECT 0 AS clip, g.frame, a, b FROM (SELECT CAST(range AS INT) AS frame FROM range(720)) g LEFT JOIN (
+    "hourly": """SELECT 0 AS clip, g.frame, a, b FROM (SELECT unnest(range(lo, hi + 1)) AS frame FROM (SELECT CAST(min(floor((epoch(ts) - 1704067200) / 3600)) AS INT) AS lo, CAST(max(floor((epoch(ts) - 1704067200) / 3600)) AS INT) AS hi FROM events WHERE event_type IN ('click', 'view'))) g LEFT JOIN (
  SELECT CAST(floor((epoch(ts) - 1704067200) / 3600) AS INT) AS frame, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS b
  FROM events WHERE event_type IN ('click', 'view') GROUP BY 1) e USING (frame)""",
     "pair": """SELECT l_suppkey AS clip, CAST(floor((epoch(l_shipdate) - 788918400) / 604800) AS INT) AS frame,

@@ -64,7 +64,7 @@ VEL = """vel AS (SELECT clip, body, frame, (lead(x0) OVER w - lag(x0) OVER w) /
  vc AS (SELECT * FROM vw QUALIFY count(*) OVER (PARTITION BY clip, body, wid) = 40)"""
 
 
-@query("sparc", sql("duet track", VEL + f""", sw AS (SELECT clip, body, wid, row_number() OVER (PARTITION BY clip, body, wid ORDER BY frame) - 1 AS i, speed FROM vc WHERE wid % 4 = 0),
+@query("sparc", sql("duet track", VEL + f""", sw AS (SELECT clip, body, wid, row_number() OVER (PARTITION BY clip, body, wid ORDER BY frame) - 1 AS i, speed FROM vc),
  tw AS (SELECT k.range AS k, i.range AS i, cos(2 * pi() * k.range * i.range / 256) AS c, sin(2 * pi() * k.range * i.range / 256) AS s FROM range(154) k, range(40) i),
  sp_ AS (SELECT clip, body, wid, k, sqrt(power(sum(speed * c), 2) + power(sum(speed * s), 2)) AS m FROM sw JOIN tw USING (i) GROUP BY clip, body, wid, k),
  nm AS (SELECT *, m / max(m) OVER (PARTITION BY clip, body, wid) AS mm, k * 10 / 256.0::DOUBLE AS f FROM sp_),
@@ -72,9 +72,9 @@ VEL = """vel AS (SELECT clip, body, frame, (lead(x0) OVER w - lag(x0) OVER w) /
  ar AS (SELECT clip, body, wid, f1 - f0 AS span, f - lag(f) OVER w AS df, mm - lag(mm) OVER w AS dm FROM nm JOIN lim USING (clip, body, wid) WHERE f BETWEEN f0 AND f1 WINDOW w AS (PARTITION BY clip, body, wid ORDER BY f))
  SELECT clip, body, wid, {rr('-sum(sqrt(power(df / span, 2) + power(dm, 2)))', 5)} AS sparc FROM ar GROUP BY clip, body, wid"""))
 def _(spark, sf):
-    d = complete_windows(spark, sf, LEN).groupBy("clip", "body", "wid").agg(F.sort_array(F.collect_list(F.struct("frame", "speed"))).alias("s"))    # at most LEN rows
+    d = complete_windows(spark, sf).groupBy("clip", "body", "wid").agg(F.sort_array(F.collect_list(F.struct("frame", "speed"))).alias("s"))    # at most LEN rows
     d = d.where(F.size("s") == LEN).select("clip", "body", "wid", WN.sparc_udf(FPS, pad=2)(F.transform("s", lambda x: x["speed"])).alias("sparc"))
-    return d.select("clip", "body", (F.col("wid") * (LEN // STEP)).alias("wid"), r("sparc", 5).alias("sparc"))
+    return d.select("clip", "body", "wid", r("sparc", 5).alias("sparc"))
 
 
 @query("ldlj", sql("duet track", VEL + f""", g1 AS (SELECT *, row_number() OVER w - 1 AS i, CASE WHEN lag(vx) OVER w IS NULL THEN (lead(vx) OVER w - vx) * 10 WHEN lead(vx) OVER w IS NULL THEN (vx - lag(vx) OVER w) * 10 ELSE (lead(vx) OVER w - lag(vx) OVER w) * 5 END AS ax,
@@ -330,12 +330,12 @@ def _(spark, sf):
     return g.select("l_returnflag", f.alias("f"), o.alias("o"), r(f / (f + o)).alias("share_f"))
 
 
-@query("value_counts", f"SELECT event_type, n, {rr('n / sum(n) OVER ()')} AS share FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) ORDER BY n DESC, event_type LIMIT 3")
+@query("value_counts", f"SELECT event_type, n, {rr('n / sum(n) OVER ()')} AS share FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def _(spark, sf):
-    """Top-n report: counts, shares of the total, first three."""
+    """Counts of every value and their shares of the total."""
     c = V.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    c = c.groupBy().agg(F.sum("n").alias("t"), F.collect_list(F.struct("event_type", "n")).alias("l")).select("t", F.explode("l").alias("l"))     # one row per type
-    return c.select("l.event_type", "l.n", r(F.col("l.n") / F.col("t")).alias("share")).orderBy(F.desc("n"), "event_type").limit(3)
+    total = V.table(spark, sf, "events").count()
+    return c.select("event_type", "n", r(F.col("n") / F.lit(total)).alias("share"))
 
 
 @query("mode_label", "SELECT l_suppkey, arg_min(l_returnflag, {'n': -n, 'v': l_returnflag}) AS mode, max(n) AS n FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")

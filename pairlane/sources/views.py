@@ -37,13 +37,14 @@ def long_track(duet_df: DataFrame) -> DataFrame:
 
 
 def hourly_long(spark, sf) -> DataFrame:
-    """Hourly means of click (a) and view (b) values; hours without events are NULL rows."""
+    """Hourly means of click (a) and view (b) values; hours without events, from the first to the last with
+    one, are NULL rows."""
     ev = table(spark, sf, "events")
     f = F.floor((F.unix_timestamp("ts") - EPOCH) / 3600).cast("int")
     g = ev.where(F.col("event_type").isin("click", "view")).groupBy(f.alias("frame")).agg(
         F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("a"),
         F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("b"))
-    grid = spark.range(720).select(F.col("id").cast("int").alias("frame"))
+    grid = g.agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")).where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias("frame"))
     return grid.join(g, "frame", "left").select(F.lit(0).alias("clip"), "frame", "a", "b")
 
 

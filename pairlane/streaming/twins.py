@@ -6,6 +6,7 @@ everything available and writes to files, with checkpoint and output in the shar
 """
 from __future__ import annotations
 
+import itertools
 import pickle
 
 import pandas as pd
@@ -45,35 +46,52 @@ def episodes(ev: DataFrame, gap="2 hours", delay="10 minutes") -> DataFrame:
     return g.select("user_id", "t0", "t1", "n")
 
 
-def states(ev: DataFrame, on_below=10.0, off_above=40.0) -> DataFrame:
-    """Hysteresis per user kept in the state store; rows of a micro-batch are taken in time order."""
+def states(ev: DataFrame, on_below=10.0, off_above=40.0, delay="10 minutes") -> DataFrame:
+    """Hysteresis per user kept in the state store.
+
+    Rows wait in the state until the watermark has passed them and are then taken in (ts, event_id) order, whatever
+    micro-batch they came in; rows later than the watermark are dropped and counted by the query's progress
+    (numRowsDroppedByWatermark).  At the end of the input the last `delay` stays unreleased.
+    """
     def step(key, batches, state):
-        on = state.get[0] if state.exists else False
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for v in pdf["value"]:
+        on, held = pickle.loads(state.get[0]) if state.exists else (False, [])
+        new = [] if state.hasTimedOut else [row for pdf in batches for row in zip(pdf["us"].tolist(), pdf["event_id"].tolist(), pdf["value"].tolist())]
+        held = sorted(held + new, key=lambda r: r[:2])
+        passed = state.getCurrentWatermarkMs()
+        ready = [r for r in held if r[0] <= 1000 * passed]
+        held, out = held[len(ready):], []
+        for _, event, v in ready:
             on = (v < on_below) if not on else not (v > off_above)
-            out.append(bool(on))
-        state.update((bool(on),))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": key[0], "on": out})
-    return ev.select("event_id", "ts", "user_id", "value").groupBy("user_id").applyInPandasWithState(
-        step, "event_id long, user_id long, on boolean", "on boolean", "append", "NoTimeout")
+            out.append((event, key[0], bool(on)))
+        state.update((pickle.dumps((on, held)),))
+        if held:
+            state.setTimeoutTimestamp(max(passed + 1, held[0][0] // 1000 + 1))
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "on"])
+    rows = ev.select("event_id", "ts", "user_id", "value", F.unix_micros("ts").alias("us")).withWatermark("ts", delay)
+    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, on boolean", "s binary", "append", "EventTimeTimeout")
 
 
 def two_slots(det: DataFrame, max_dist=60.0, fps=1.0) -> DataFrame:
-    """The two-identity tracker with its state in the state store: clip, frame, track_a, track_b."""
+    """The two-identity tracker with its state in the state store: clip, frame, track_a, track_b, n_late.
+
+    A frame is closed, and tracked, when a later frame of its clip arrives; until then its rows wait in the state, so a frame
+    that is split over micro-batches is tracked once and whole.  Rows of a frame already closed are counted in n_late.
+    """
     def step(key, batches, state):
-        tr, last = pickle.loads(state.get[0]) if state.exists else (TwoSlots(max_dist, 1 / fps), None)
-        pdf = pd.concat(list(batches)).sort_values(["frame", "track_id"])
-        out = []
-        for f, rows in pdf.groupby("frame", sort=True):
+        tr, last, held, late = pickle.loads(state.get[0]) if state.exists else (TwoSlots(max_dist, 1 / fps), None, [], 0)
+        for pdf in batches:
+            held += [dict(zip(pdf.columns, row)) for row in zip(*(pdf[c].tolist() for c in pdf.columns))]
+        late += sum(last is not None and r["frame"] <= last for r in held)
+        held = sorted((r for r in held if last is None or r["frame"] > last), key=lambda r: (r["frame"], r["track_id"]))
+        out, newest = [], held[-1]["frame"] if held else None
+        for f, rows in itertools.groupby([r for r in held if r["frame"] < newest], key=lambda r: r["frame"]):
             tr.skip(f - last - 1 if last is not None else 0)
-            last = int(f)
-            a, b = tr.step(rows.to_dict("records"))
-            out.append((key[0], int(f), None if a is None else a["track_id"], None if b is None else b["track_id"]))
-        state.update((pickle.dumps((tr, last)),))
-        yield pd.DataFrame(out, columns=["clip", "frame", "track_a", "track_b"]).astype({"track_a": "Int64", "track_b": "Int64"})
-    return det.groupBy("clip").applyInPandasWithState(step, "clip string, frame int, track_a long, track_b long", "s binary", "append", "NoTimeout")
+            last = f
+            a, b = tr.step(list(rows))
+            out.append((key[0], f, None if a is None else a["track_id"], None if b is None else b["track_id"], late))
+        state.update((pickle.dumps((tr, last, [r for r in held if r["frame"] == newest], late)),))
+        yield pd.DataFrame(out, columns=["clip", "frame", "track_a", "track_b", "n_late"]).astype({"track_a": "Int64", "track_b": "Int64", "frame": "int32", "n_late": "int64"})
+    return det.groupBy("clip").applyInPandasWithState(step, "clip string, frame int, track_a long, track_b long, n_late long", "s binary", "append", "NoTimeout")
 
 
 def frame_nodes(ev: DataFrame, delay="10 minutes") -> DataFrame:

@@ -54,8 +54,10 @@ def test_shift_null_join_equals_fft_and_p_is_sane(spark):
     mask = np.arange(300) % 50 > 8
     d, sh = table(spark, a, b, mask), L.shift_table(12, 30, 270)
     j = {r["shift"]: r["peak_r"] for r in L.shift_null_join(d, ["clip"], 1.0, 5, sh, 50, size=64).collect()}
-    with layout(True):
-        f = {r["shift"]: r["peak_r"] for r in L.shift_null(d, ["clip"], 1.0, 5, sh, 50).collect()}
+    f = {r["shift"]: r["peak_r"] for r in L.shift_null(d, ["clip"], 1.0, 5, sh, 50).collect()}
+    for size in (37, 64, 299):
+        cut = {r["shift"]: r["peak_r"] for r in L.shift_null(d, ["clip"], 1.0, 5, sh, 50, size=size).collect()}
+        assert cut.keys() == f.keys() and all(abs(cut[k] - f[k]) < 1e-8 for k in f)
     assert j.keys() == f.keys() and all(abs(j[k] - f[k]) < 1e-8 for k in j)
     A = np.where(mask, a, np.nan)
     k = sh[3]
