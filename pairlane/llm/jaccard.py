@@ -9,6 +9,7 @@ from .common import WordHash, chunks, components, hashes, mix, shingle_set, stag
 
 BUCKETS = 1 << 16
 BLOCK = 256
+SKETCH = ["s0", "s1", "s2", "s3"]
 _WORDS = WordHash()
 
 
@@ -40,8 +41,8 @@ def order_key(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (hash of the set), p (hash of the prefix), s (parity sketch), prefix (the first
-    shingles in the global order).  Keeps every row; null text is empty.
+    """doc_id, n (set size), h1, h2 (hash of the set), p (hash of the prefix), s0 .. s3 (256 parity bits),
+    prefix (the first shingles in the global order).  Keeps every row; null text is empty.
 
     Of n shingles at most `slack` = n - ceil(threshold * n) can be missing from a linked set, so two linked sets share the
     first l of their common shingles within their first slack + l.  With l half the slack (1 at least), a linked
@@ -64,12 +65,12 @@ def prefixes(docs: DataFrame, k: int, threshold: int) -> DataFrame:
                 keys = np.sort(order_key(s, order))
                 slack = n - -(-threshold * n // 100)
                 pre = keys[:slack + max(1, (slack + 1) // 2)]
-                parity = np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63))) if n else 0
+                parity = np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64).tolist()
                 whole = mix(s)
-                rows.append((d, n, signed(s.sum() if n else 0), signed(whole.sum() if n else 0), signed(mix(pre + np.arange(len(pre), dtype=np.uint64)).sum() if n else 0), signed(parity), pre.astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "p", "s", "prefix"])
+                rows.append((d, n, signed(s.sum() if n else 0), signed(whole.sum() if n else 0), signed(mix(pre + np.arange(len(pre), dtype=np.uint64)).sum() if n else 0), *parity, pre.astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "p", *SKETCH, "prefix"])
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n long, h1 long, h2 long, p long, s long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n long, h1 long, h2 long, p long, " + "".join(f"{c} long, " for c in SKETCH) + "prefix array<long>")
 
 
 class _Rules:
@@ -81,10 +82,11 @@ class _Rules:
     def sizes(self, a: str, b: str) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.t
 
-    def parity(self, na: str, nb: str, sa: str, sb: str) -> Column:
-        """Every element of the symmetric difference flips one bit, so more differing bits rule a pair out; an
-        unknown sketch rules out nothing."""
-        return F.coalesce(F.bit_count(F.col(sa).bitwiseXOR(F.col(sb))) * (100 + self.t) <= (F.col(na) + F.col(nb)) * (100 - self.t), F.lit(True))
+    def parity(self, na: str, nb: str, a: str, b: str) -> Column:
+        """Every element of the symmetric difference flips one of 256 parity bits, so more differing bits rule a pair out.
+        `a` and `b` end the names of the two sketches' columns; without a sketch nothing is ruled out."""
+        flips = sum((F.bit_count(F.col(c + a).bitwiseXOR(F.col(c + b))) for c in SKETCH), F.lit(0))
+        return F.coalesce(flips * (100 + self.t) <= (F.col(na) + F.col(nb)) * (100 - self.t), F.lit(True))
 
     def positions(self, na: str, nb: str, ia: str, ib: str) -> Column:
         """A shared element at places ia and ib bounds the overlap from both sides of it."""
@@ -203,9 +205,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     rules = _Rules(threshold)
     rows = stage(prefixes(docs, k, threshold), "prefixes")
     full = rows.where("n > 0")
-    classes = full.where("doc_id IS NOT NULL").groupBy("h1", "h2", "n", "p", "s").agg(F.min("doc_id").alias("rep"))
+    classes = full.where("doc_id IS NOT NULL").groupBy("h1", "h2", "n", "p", *SKETCH).agg(F.min("doc_id").alias("rep"))
     leaders = classes.groupBy("n", "p").agg(F.min("rep").alias("gid"))
-    classes = stage(classes.join(leaders, ["n", "p"]).select("h1", "h2", "n", "s", "rep", "gid"), "classes")
+    classes = stage(classes.join(leaders, ["n", "p"]).select("h1", "h2", "n", *SKETCH, "rep", "gid"), "classes")
     heads = classes.where("rep = gid").select(F.col("gid").alias("doc_id"), "n", "h1", "h2").distinct()
 
     posts = full.join(heads, ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("i", "tok"))
@@ -227,19 +229,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     posts = posts.drop("hub").join(cluster.select(F.col("id").alias("gid"), F.col("comp").alias("cl")), "gid", "left").withColumn("cl", F.coalesce("cl", "gid"))
     posts = stage(posts, "postings")
     mixed = posts.groupBy("tok").agg(F.min("cl").alias("x"), F.max("cl").alias("y")).where("x <> y").select("tok")
-    posts = posts.join(mixed, "tok", "left_semi")
-    left = posts.select("tok", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "i", "cl")))
-    right = posts.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "i", "cl")))
-    met = left.join(right, "tok").where((F.col("gid_a") < F.col("gid_b")) & (F.col("cl_a") != F.col("cl_b")) & rules.sizes("n_a", "n_b") & rules.positions("n_a", "n_b", "i_a", "i_b"))
+    alone = F.count("*") == 1                              # a leader's sketch speaks for its group only if it is alone
+    sketches = classes.groupBy("gid", "n").agg(*(F.when(alone, F.min(c)).alias(c) for c in SKETCH))
+    posts = posts.join(mixed, "tok", "left_semi").join(sketches, ["gid", "n"])
+    left = posts.select("tok", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "i", "cl", *SKETCH)))
+    right = posts.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "i", "cl", *SKETCH)))
+    met = left.join(right, "tok").where((F.col("gid_a") < F.col("gid_b")) & (F.col("cl_a") != F.col("cl_b")) & rules.sizes("n_a", "n_b") & rules.positions("n_a", "n_b", "i_a", "i_b") & rules.parity("n_a", "n_b", "_a", "_b"))
     met = met.groupBy(F.col("gid_a").alias("ga"), F.col("gid_b").alias("gb"), "n_a", "n_b").agg(F.count("*").alias("c")).where(F.col("c") >= rules.shared("n_a", "n_b"))
-    member = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
-    pairs = met.select("ga", "gb").join(member("a"), "ga").join(member("b"), "gb").where(rules.parity("na", "nb", "sa", "sb"))
+    member = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in SKETCH))
+    pairs = met.select("ga", "gb").join(member("a"), "ga").join(member("b"), "gb").where(rules.parity("n_a", "n_b", "_a", "_b"))
     pairs = stage(pairs.select("a", "b").distinct(), "pairs")
     final = components(links.union(verified(pairs, sets_of(ends_of(pairs), docs, k), threshold)))
 
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("component_id"))
     named = named.dropDuplicates(["h1", "h2", "n"])
-    out = rows.drop("s", "p", "prefix").join(named, ["h1", "h2", "n"], "left")
+    out = rows.drop(*SKETCH, "p", "prefix").join(named, ["h1", "h2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -115,7 +115,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return np.append(w, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 10_000, max_unlabelled: int = 40_000, members: int = MEMBERS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unlabelled: int = 24_000, members: int = MEMBERS) -> np.ndarray:
     """Weights of the mean of `members` linear scorers, each learnt in its own task from its own order of the sample.
 
     Learns from a documented bounded sample outside the held-out fold: at most `max_positive` rows labelled toxic and
