@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unl
     """Weights of the mean of `members` linear scorers, each learnt in its own task from its own order of the sample.
 
     Learns from a documented bounded sample outside the held-out fold: at most `max_positive` rows labelled toxic and
-    at most `max_unlabelled` other rows, taken in the order of a hash of their id.  The class prior is the toxic share
+    at most `max_unlabelled` rows of any kind, as the risk asks for, taken in the order of a hash of their id.  The class prior is the toxic share
     among the labelled rows of that fold.  Without positives every weight is zero.
     """
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unl
     place = F.xxhash64("doc_id", F.lit(17))
     fold = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     pos = y.where("toxic = 1").select("doc_id", F.lit(1).alias("y")).orderBy(place, "doc_id").limit(max_positive)
-    unl = fold.select("doc_id").join(y.where("toxic = 1"), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("y")).distinct().orderBy(place, "doc_id").limit(max_unlabelled)
+    unl = fold.select("doc_id", F.lit(0).alias("y")).distinct().orderBy(place, "doc_id").limit(max_unlabelled)
     sample = stage(pos.union(unl), "sample")
 
     def extract(frames):
