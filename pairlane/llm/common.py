@@ -101,23 +101,25 @@ def chunks(texts, chars: int = 4_000_000):
         yield held
 
 
-def components(edges: DataFrame, max_rounds: int = 40, rows_a_file: int = 200_000) -> DataFrame:
+def components(edges: DataFrame, rows_a_file: int = 200_000) -> DataFrame:
     """Connected components of edges (a, b): id, comp = the smallest id reachable.
 
-    Each round joins every node to the smallest label among its neighbours and then follows that label's own
-    label, so the rounds grow with the logarithm of a path; labels are staged, in files of about `rows_a_file` rows, and
-    no group is gathered.
+    Each round hooks every label as a whole to the smallest label that its members or their neighbours have, and then lets each
+    node follow its new label's own new label.  An old root thus learns what its members met, and nothing walks back
+    hop by hop.  Rounds go on until no label moves, which only one label a component allows; labels are staged, in
+    files of about `rows_a_file` rows, and no group is gathered.
     """
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     files = max(1, -(-both.count() // rows_a_file))
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp"))
     labels = stage(labels.coalesce(files), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        moved = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("to"))
-        jump = labels.select(F.col("id").alias("to"), F.col("comp").alias("via"))
-        moved = stage(moved.join(jump, "to").select("id", "old", F.least("to", "via").alias("comp")).coalesce(files), "labels")
+        hooks = labels.join(near, "id").groupBy("comp").agg(F.min(F.least("comp", "m")).alias("hook"))
+        hooks = stage(hooks.coalesce(files), "hooks")
+        jump = hooks.join(labels.select(F.col("id").alias("hook"), F.col("comp").alias("of")), "hook")
+        jump = jump.join(hooks.select(F.col("comp").alias("of"), F.col("hook").alias("via")), "of").select("comp", F.least("hook", "via").alias("to"))
+        moved = stage(labels.join(jump, "comp").select("id", F.col("comp").alias("old"), F.col("to").alias("comp")).coalesce(files), "labels")
         labels = moved.select("id", "comp")
         if moved.where("old <> comp").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

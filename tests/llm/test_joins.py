@@ -4,6 +4,7 @@ import random
 import pytest
 
 from pairlane.llm import decontaminate, jaccard, substrings
+from pairlane.llm.common import components
 
 
 def _corpus(seed, n=60, vocab=30, length=60):
@@ -66,6 +67,18 @@ def test_a_chain_of_links_is_one_component(spark):
     assert {r.component_id for r in jaccard.jaccard_components(df, 3, 90).collect()} == {0}
 
 
+@pytest.mark.parametrize("order", ["shuffled", "smallest last"])
+def test_components_of_long_paths(spark, order):
+    ids = list(range(400))
+    if order == "shuffled":
+        random.Random(7).shuffle(ids)
+    else:
+        ids = ids[1:] + ids[:1]
+    paths = [ids, [1000 + i for i in ids[:300]]]
+    edges = spark.createDataFrame([(a, b) for p in paths for a, b in zip(p, p[1:])], "a long, b long")
+    assert {r.id: r.comp for r in components(edges).collect()} == {i: min(p) for p in paths for i in p}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_contamination_equals_brute_force(spark, seed):
     rng = random.Random(seed)
