@@ -19,15 +19,36 @@ VENDOR = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "credential", "private_key", "bearer")
 PLACEHOLDER = ("example", "changeme", "xxxx", "your_", "test", "dummy", "sample", "placeholder")
 ASSIGNED = re.compile(r"([A-Za-z_\-]{2,30})[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"']?$|\b(bearer)\s$", re.I)
+JWT = re.compile(r"eyJ[A-Za-z0-9_\-]{5,}(?:\.{1,2}[A-Za-z0-9_\-]+){1,4}")
+#: A credential's name and its sign; the value, seen ahead, is quoted, or runs to a space, bracket or separator.
+ASSIGNMENT = re.compile(rf"(?:(?:{'|'.join(NAMES)})[A-Za-z_\-]{{0,28}}[\"']?\s{{0,3}}(?:=>|=|:)\s{{0,3}}|\bbearer\s)"
+                        r"(?=\"((?:\\.|[^\"\\\n])+)\"|'((?:\\.|[^'\\\n])+)'|[\"']?([^\s\"'<>()\[\]{},;&]+))", re.I)
+ASSIGNED_CHARS = 6
+PROSE = re.compile(r"[A-Za-z]?[a-z]*(?:[\s\-'/.,:!?]+[A-Za-z]?[a-z]*)*")
 LEFT, DICTIONARY_WORDS, PIECE = 48, 20_000, 4
 FEATURES = 22
 
 
 def candidates(text: str | None) -> list[tuple[int, str]]:
-    """(start, value) of each run of 12 or more key characters with a digit in it."""
+    """(start, value) of each run of 12 or more key characters with a digit in it, each published key format, each whole
+    web token with its dots, and each value of 6 or more characters assigned to a credential's name; what overlaps is one."""
     if not text:
         return []
-    return [(m.start(), m[0]) for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0])]
+    spans = [m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0])]
+    spans += [m.span() for form in (VENDOR, JWT) for m in form.finditer(text)]
+    for m in ASSIGNMENT.finditer(text):
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 3:                               # without quotes the sentence's signs are not the value's
+            end = start + len(m[3].rstrip(".:?"))
+        if end - start >= ASSIGNED_CHARS:
+            spans.append((start, end))
+    merged: list[list[int]] = []
+    for start, end in sorted(spans):
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    return [(start, text[start:end]) for start, end in merged]
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> Counter:
@@ -78,6 +99,12 @@ def assigned_name(left: str) -> str:
     return (m[1] or m[2] or "").lower().lstrip("-_") if m else ""
 
 
+def credential(name: str) -> bool:
+    """Whether an assigned name is a credential's; an author is none."""
+    name = re.sub(r"author(?!i[sz])", "", name)
+    return any(k in name for k in NAMES)
+
+
 def neighbours(text: str, start: int, value: str) -> tuple[str, str]:
     """The words next to a value on both sides, lower-cased, or nothing."""
     left, right = WORD.findall(text[max(0, start - LEFT):start]), WORD.search(text[start + len(value):start + len(value) + LEFT])
@@ -96,20 +123,26 @@ def describe(text: str, start: int, value: str, path: str, language: Language, r
     return [n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("o") / n,
             sum(a != b for a, b in zip(kinds, kinds[1:])) / (n - 1), -sum(c / n * math.log2(c / n) for c in counts.values()), len(counts) / n,
             float(all(c in "0123456789abcdef" for c in lowered)), language.transitions(value), language.coverage(value),
-            float(bool(name)), float(any(k in name for k in NAMES)), rates.get("<" + before, -1.0), rates.get(">" + after, -1.0),
+            float(bool(name)), float(credential(name)), rates.get("<" + before, -1.0), rates.get(">" + after, -1.0),
             float(left[-1:] in "\"'" and left != ""), float(right[:1] in "\"'" and right != ""), float("/" in value or left[-1:] in ("/", "\\")), float("://" in left), float("@" in left[-1:] + right[:1] or "." in right[:1]),
             float(any(p in lowered for p in PLACEHOLDER)), float(any(p in path.lower() for p in ("test", "example", "doc", "sample", "fixture", "mock")))]
 
 
 def rule_labels(text: str, start: int, value: str) -> int:
-    """Label of a finding by rule, where nobody has labelled any: 1 for a published key format, or at least 12 mixed characters
-    assigned to a credential's name; 0 for placeholders, numbers and everything that is assigned to no such name."""
+    """Label of a finding by rule, where nobody has labelled any: 1 for a published key format or web token, or mixed
+    characters assigned to a credential's name; 0 for placeholders, numbers and everything that is assigned to no such name.
+    Plain words count only if quoted and assigned to a password or secret, and then only one word."""
     if any(p in value.lower() for p in PLACEHOLDER):
         return 0
-    if VENDOR.fullmatch(value):
+    if VENDOR.fullmatch(value) or JWT.fullmatch(value):
         return 1
-    name = assigned_name(text[max(0, start - LEFT):start])
-    return int(any(k in name for k in NAMES) and not value.isdigit() and len(set(value)) >= 6)
+    left = text[max(0, start - LEFT):start]
+    name = assigned_name(left)
+    if not credential(name) or value.isdigit() or len(set(value)) < min(6, len(value) // 2):
+        return 0
+    if PROSE.fullmatch(value):
+        return int(left[-1:] in "\"'" and not any(c.isspace() for c in value) and any(k in name for k in ("pass", "pwd", "secret")))
+    return 1
 
 
 class Model:
