@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import stage
 
-#: Three lanes of 21 bits in each 64-bit sum, 21 sums from each hash of a unit, two hashes: 126 lanes.
+#: Three lanes of 21 bits in each 64-bit number, 21 numbers from each hash of a unit, two hashes: 126 lanes.
 SUMS, SEEDS, LANE_BITS = 21, (0, 1), 21
 LANES = 3 * SUMS * len(SEEDS)
 _MASK = (1 << LANE_BITS) - 1
@@ -20,26 +20,34 @@ def units(text: str) -> str:
     return f"flatten(transform(filter(transform(split({text}, '\\n'), p -> {words}), w -> size(w) > 0), w -> concat(array(xxhash64(concat_ws(' ', w))), {runs})))"
 
 
+#: While units are summed, lanes j and j + 32 of a hash share a number, so that no lane carries into another below 2^31 units,
+#: which is more than an array of one text's units holds.
+WIDE = 32
+
+
 def lanes(h: str, seed: int) -> list[Column]:
-    """What one unit adds to each sum: three bits of its hash, each at the foot of a lane."""
+    """What one unit adds to each wide sum: bits j and j + 32 of its hash, each at the foot of a lane."""
     x = F.col(h) if seed == 0 else F.when(F.col(h).isNotNull(), F.xxhash64(h, F.lit(seed)))
-    return [F.shiftrightunsigned(x, 3 * i).bitwiseAND(F.lit(1))
-            + F.shiftleft(F.shiftrightunsigned(x, 3 * i + 1).bitwiseAND(F.lit(1)), LANE_BITS)
-            + F.shiftleft(F.shiftrightunsigned(x, 3 * i + 2).bitwiseAND(F.lit(1)), 2 * LANE_BITS) for i in range(SUMS)]
+    return [F.shiftrightunsigned(x, j).bitwiseAND(F.lit(1 + (1 << WIDE if j + WIDE < 3 * SUMS else 0))) for j in range(WIDE)]
 
 
 def vectors(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, copies, n_units and the sums of every distinct key of `texts` (rows with one key have one text).
 
-    Lane sums are counts modulo 2^21 (a text of fewer units never wraps), so vectors of paragraphs can be added and
-    subtracted (`combine`).  Repeated rows of a key are counted by a marker unit and divided out.
+    Lanes are counts modulo 2^21, each by itself, so vectors of paragraphs can be added and subtracted (`combine`).
+    Repeated rows of a key are counted and collapsed before any unit is made.
     """
+    once = texts.groupBy(*keys).agg(F.first(text).alias("_t"), F.count("*").alias("copies"))
+    return _summed(once, [*keys, "copies"], "_t")
+
+
+def _summed(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, n_units and the sums of each row of `texts`, whose keys are distinct; a marker unit keeps rows without units."""
     exploded = texts.select(*keys, F.explode(F.expr(f"concat(array(CAST(NULL AS BIGINT)), {units(f'coalesce({text}, {chr(39)}{chr(39)})')})")).alias("h"))
-    sums = [F.coalesce(F.sum(c), F.lit(0).cast('long')).alias(f"s{seed}_{i}") for seed in SEEDS for i, c in enumerate(lanes("h", seed))]
-    got = exploded.groupBy(*keys).agg(F.count("h").alias("n_units"), (F.count("*") - F.count("h")).alias("_m"), *sums)
-    copies = F.when(F.col("_m") == 1, F.lit(None)).otherwise(F.col("_m"))
-    once = lambda c: F.when(copies.isNull(), F.col(c)).otherwise(_divided(c))
-    return got.select(*keys, F.col("_m").alias("copies"), F.when(copies.isNull(), F.col("n_units")).otherwise(F.expr("n_units div _m")).alias("n_units"), *(once(c).alias(c) for c in SUM_NAMES))
+    sums = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(f"w{seed}_{j}") for seed in SEEDS for j, c in enumerate(lanes("h", seed))]
+    got = exploded.groupBy(*keys).agg(F.count("h").alias("n_units"), *sums)
+    lane = lambda seed, n: F.shiftrightunsigned(f"w{seed}_{n % WIDE}", n // WIDE * WIDE).bitwiseAND(F.lit(_MASK))
+    return got.select(*keys, "n_units", *(_packed(lambda j: lane(seed, 3 * i + j)).alias(f"s{seed}_{i}") for seed in SEEDS for i in range(SUMS)))
 
 
 def _lane(c: str, j: int) -> Column:
@@ -50,10 +58,6 @@ def _packed(lane) -> Column:
     return lane(0) + F.shiftleft(lane(1), LANE_BITS) + F.shiftleft(lane(2), 2 * LANE_BITS)
 
 
-def _divided(c: str) -> Column:
-    return _packed(lambda j: (_lane(c, j) / F.col("_m")).cast("long"))
-
-
 def combine(a: str, b: str, sign: int = 1) -> list[Column]:
     """Sums of prefixed columns a_*, b_* added (or, with sign -1, removed) lane by lane modulo 2^21."""
     return [_packed(lambda j, c=c: (_lane(f"{a}{c}", j) + sign * _lane(f"{b}{c}", j)).bitwiseAND(F.lit(_MASK))).alias(c) for c in SUM_NAMES]
@@ -68,11 +72,13 @@ def likeness(a: str, b: str) -> Column:
     """Share of units in common, 2 * common / (units of both), estimated from two vectors.
 
     With lanes read as sums of signs (+1 or -1 by a unit's bit), the mean square of their differences is the size of the
-    multisets' symmetric difference in expectation, with a relative error of sqrt(2 / 126).  Equal vectors give
-    1, and two texts without units are alike.
+    multisets' symmetric difference in expectation, with a relative error of sqrt(2 / 126).  Differences are taken modulo
+    2^21, nearest to none.  Equal vectors give 1, and two texts without units are alike.
     """
     na, nb = F.col(f"{a}n_units"), F.col(f"{b}n_units")
-    diff = sum(((_lane(f"{a}{c}", j) - _lane(f"{b}{c}", j)) * 2 - (na - nb)) * ((_lane(f"{a}{c}", j) - _lane(f"{b}{c}", j)) * 2 - (na - nb)) for c in SUM_NAMES for j in range(3))
+    half = 1 << LANE_BITS
+    apart = lambda c, j: ((_lane(f"{a}{c}", j) - _lane(f"{b}{c}", j)) * 2 - (na - nb) + half).bitwiseAND(F.lit(2 * half - 1)) - half
+    diff = sum(apart(c, j) * apart(c, j) for c in SUM_NAMES for j in range(3))
     value = F.lit(1.0) - diff / F.lit(float(LANES)) / (na + nb)
     return F.when(na + nb == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
@@ -88,8 +94,9 @@ def _range_number(cuts: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, text, place (hash of id and text), next_id, next_place, next_text: each row with its follower in ascending
-    (doc_id, place), nulls first, and the first row after the last; a lone row follows itself.
+    """doc_id, text, place (hash of id and text), next_id, next_place, next_text, copies: each row with its follower in
+    ascending (doc_id, place), nulls first, and the first row after the last; a lone row follows itself.  Equal rows with equal
+    followers are one row, and `copies` tells how many.
 
     Rows are cut into ranges by quantiles of the id, and each range also gets a copy of the first row of the next
     range in use, so that one exchange carries the texts and no window spans the table.
@@ -106,7 +113,13 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     to = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map(F.lit(0), F.lit(0))
     both = rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts.withColumns({"_r": to[F.col("_r")], "_ghost": F.lit(1)}))
     order = W.partitionBy("_r").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "place")
-    return both.select("*", *(F.lead(c).over(order).alias(f"next_{n}") for c, n in (("doc_id", "id"), ("place", "place"), ("text", "text")))).where("_ghost = 0").drop("_r", "_ghost")
+    both = both.select("*", *(F.lead(c).over(order).alias(f"next_{n}") for c, n in (("doc_id", "id"), ("place", "place"), ("text", "text"))))
+    # of a run of equal rows all but perhaps the last are followed by themselves; the run is sorted already
+    run = W.partitionBy("_r", "_ghost", "doc_id", "place")
+    own = F.col("next_id").eqNullSafe(F.col("doc_id")) & F.col("next_place").eqNullSafe(F.col("place"))
+    both = both.withColumn("_own", own.cast("long")).withColumns({"_n": F.row_number().over(run.orderBy("place")), "_k": F.count("*").over(run), "_same": F.sum("_own").over(run)})
+    kept = both.where("_ghost = 0 AND (_n = 1 OR _n = _k AND _own = 0)")
+    return kept.withColumn("copies", F.when(F.col("_n") == 1, F.greatest("_same", F.lit(1).cast("long"))).otherwise(F.lit(1).cast("long"))).drop("_r", "_ghost", "_own", "_n", "_k", "_same")
 
 
 def edited(text: str, follower: str) -> Column:
@@ -125,11 +138,11 @@ def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFram
     """
     parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_next(docs, parts).withColumns({"n_chars": F.char_length("text").cast("long"), "_e": edited("text", "next_text")})
-    rows = rows.select("doc_id", "place", "next_id", "next_place", "n_chars", F.sha2(F.col("_e").cast("binary"), 256).alias("edited_sha256"), "text", "_e")
+    rows = rows.select("doc_id", "place", "next_id", "next_place", "copies", "n_chars", F.sha2(F.col("_e").cast("binary"), 256).alias("edited_sha256"), "text", "_e")
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("_e").alias("t"))))
-    both = rows.select("doc_id", "place", "next_id", "next_place", "n_chars", "edited_sha256", kinds.alias("x")).select("*", "x.kind", "x.t").drop("x")
-    key = ["doc_id", "place", "next_id", "next_place", "n_chars", "edited_sha256", "kind"]
-    prints = stage(vectors(both, key, "t"), "vectors")
+    both = rows.select("doc_id", "place", "next_id", "next_place", "copies", "n_chars", "edited_sha256", kinds.alias("x")).select("*", "x.kind", "x.t").drop("x")
+    key = ["doc_id", "place", "next_id", "next_place", "copies", "n_chars", "edited_sha256", "kind"]
+    prints = stage(_summed(both, key, "t"), "vectors")
 
     def side(kind: int, prefix: str) -> DataFrame:
         return prints.where(F.col("kind") == kind).select(*(F.col(c).alias(f"{prefix}{c}") for c in prints.columns if c != "kind"))

@@ -101,3 +101,30 @@ def test_repeated_null_and_lone_rows(spark):
     lone = fp.fingerprint_documents(df.where("doc_id = 2"), parts=3).collect()
     assert len(lone) == 1 and lone[0].near_next == 1.0
     assert fp.fingerprint_documents(df.limit(0), parts=3).count() == 0
+
+
+def test_lanes_wrap_each_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(fp, "LANE_BITS", 4)
+    monkeypatch.setattr(fp, "_MASK", 15)
+    lane = lambda r: [getattr(r, c) >> 4 * j & 15 for c in fp.SUM_NAMES for j in range(3)]
+    long = " ".join(f"w{i}" for i in range(200))
+    df = spark.createDataFrame([(1, long)] + [(2, "a b c\nd e")] * 40 + [(3, long)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in fp.vectors(df, ["doc_id"]).collect()}
+    for i, t in ((1, long), (2, "a b c\nd e"), (3, long)):
+        n, counts = _lanes(t)
+        order = [counts[s * 63 + 3 * i + j] % 16 for s in fp.SEEDS for i in range(fp.SUMS) for j in range(3)]
+        assert (rows[i].n_units, lane(rows[i])) == (n, order)
+    assert [rows[i].copies for i in (1, 2, 3)] == [1, 40, 1]
+    edit = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)) + "\nx y"), (2, " ".join(f"w{i}" for i in range(30)))], "doc_id long, text string")
+    v = fp.vectors(edit, ["doc_id"])
+    side = lambda i, p: v.where(F.col("doc_id") == i).select(*(F.col(c).alias(p + c) for c in ["n_units", *fp.SUM_NAMES]))
+    assert side(1, "a_").crossJoin(side(2, "b_")).select(fp.likeness("a_", "b_")).first()[0] > 0.85
+
+
+def test_many_equal_rows_are_summed_once(spark):
+    rows = [(1, "a b")] * 50 + [(2, "c d")] + [(None, "e")] * 7
+    for df in (spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(1, "a b")] * 9, "doc_id long, text string")):
+        nexts = fp.with_next(df, 3).collect()
+        assert sum(r.copies for r in nexts) == df.count() and len({(r.doc_id, r.next_id) for r in nexts}) == len(nexts) <= 5
+        got = fp.fingerprint_documents(df, parts=3).collect()
+        assert len(got) == df.count() and len({r.fingerprint for r in got if r.doc_id == 1}) == 1
