@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 CACHE_ENTRIES = 1 << 19
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @functools.lru_cache(maxsize=1)
@@ -29,10 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: lineage ends here and lost executors cost nothing.
+
+    The job's shuffle files go as soon as it has ended, as its output stands for them from then on.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("llm-"):
+                jvm = df.sparkSession._jvm
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage_dropping(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """Stage `df`, then delete the staged tables that it was made from."""
+    out = stage(df, name)
+    drop_staged(*used)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import decontaminate, fingerprints, jaccard, packing, pages, secret_scan, sharding, substrings, token_counts, toxicity
+from . import decontaminate, fingerprints, jaccard, packing, pages, prefix_trie, secret_scan, sharding, substrings, token_counts, toxicity
 from .common import table
 from .queries_sql import ORACLES
 
@@ -88,4 +88,9 @@ def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_file("byte_bpe_50k.tiktoken"), token_pattern(), ["lang", "source", "text"], body="text")
 
 
+@query
+def op11_prefix_trie(spark, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 __all__ = ["QUERIES", "ORACLES"]

@@ -61,3 +61,23 @@ n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1)
 SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC = ("xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), "
+        "lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)))")
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, strlen(coalesce(text, '')) AS size, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(g ORDER BY turn NULLS FIRST, g) AS gs, list(size ORDER BY turn NULLS FIRST, g) AS sizes, {_CRC.format(text='conv_id::VARCHAR')} % 9 AS h FROM t GROUP BY 1),
+r AS (SELECT c.conv_id, coalesce(b.gs[1:c.h], []) || c.gs[c.h + 1:] AS gs, coalesce(b.sizes[1:c.h], []) || c.sizes[c.h + 1:] AS sizes
+      FROM o c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 5),
+m AS (SELECT conv_id, d, gs[1:d] AS node, len(gs) = d AS ends, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size FROM r, unnest(generate_series(0, len(gs))) AS u(d)),
+n AS (SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+k AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+s AS (SELECT n.node[1:a] AS node, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (k.node IS NULL) AS n_leaves
+      FROM n LEFT JOIN k USING (node), unnest(generate_series(0, depth)) AS u(a) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN n p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+"""
