@@ -81,3 +81,16 @@ s AS (SELECT n.node[1:a] AS node, sum(own)::BIGINT AS saved_tokens, count(*) FIL
 SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
 FROM n JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN n p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
 """
+
+ORACLES["op13_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 400)) AS h FROM d, unnest(generate_series(1, n - 199)) AS u(i)),
+rep AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY 1 HAVING count(*) > 1)),
+step AS (SELECT doc_id, i, i - lag(i, 1, i - 201) OVER (PARTITION BY doc_id ORDER BY i) > 200 AS opens FROM rep),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT doc_id, i, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM step) GROUP BY doc_id, s),
+g AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN g.a IS NULL THEN x ELSE array_to_string(list_transform(range(len(a) + 1), lambda k:
+              substr(x, 2 * (CASE WHEN k = 0 THEN 1 ELSE b[k] END) - 1, 2 * ((CASE WHEN k = len(a) THEN n + 1 ELSE a[k + 1] END) - (CASE WHEN k = 0 THEN 1 ELSE b[k] END)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
