@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import decontaminate, fingerprints, jaccard, packing, pages, prefix_trie, secret_scan, sharding, substrings, suffix_dedup, token_counts, toxicity
+from . import decontaminate, fingerprints, jaccard, packing, pages, prefix_trie, secret_scan, sharding, spelling, substrings, suffix_dedup, token_counts, toxicity
 from .common import table
 from .queries_sql import ORACLES
 
@@ -93,6 +93,11 @@ def op11_prefix_trie(spark, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+@query
+def op12_spelling_variants(spark, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op13_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), width=200)

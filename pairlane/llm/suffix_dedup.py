@@ -49,15 +49,15 @@ def gram_bytes(width: int) -> int:
     return min(width, max(GRAM, width - 254))
 
 
-def places(text: bytes, width: int):
+def places(text: bytes, width: int, cut: int = SLICE):
     """Gram hash, place and windows (first, number) of the anchors of all windows of `width` bytes, slice by slice.
 
     A window's anchor is its gram of smallest hash (the last of equals), so equal windows have the same anchor at the
     same distance, and each window belongs to exactly one row."""
     gram = gram_bytes(width)
     span = width - gram + 1
-    for start in range(0, max(len(text) - width + 1, 0), SLICE):
-        data = np.frombuffer(text, np.uint8, min(len(text) - start, SLICE + width - 1), start)
+    for start in range(0, max(len(text) - width + 1, 0), cut):
+        data = np.frombuffer(text, np.uint8, min(len(text) - start, cut + width - 1), start)
         up, down = _GRAMS.to(len(data))
         p = prefix_hashes(data, up)
         g = mix((p[gram:] - p[:-gram]) * down[:len(data) - gram + 1])
@@ -225,9 +225,11 @@ def repeated_windows(docs: DataFrame, width: int) -> tuple[DataFrame, list[DataF
     suffixes are sorted.  A gram with more than CROWD contexts is parted first (`_split`), down to single windows if need be,
     which are counted by their bytes.  Second: staged tables that the first reads.
     """
+    slice_bytes = SLICE
+
     def grams(frames):
         for pdf in frames:
-            parts = [g for t in pdf.text for g, *_ in places(_text(t), width)]
+            parts = [g for t in pdf.text for g, *_ in places(_text(t), width, slice_bytes)]
             g, n = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_counts=True)
             yield pd.DataFrame({"g": g, "c": n})
 
@@ -236,7 +238,7 @@ def repeated_windows(docs: DataFrame, width: int) -> tuple[DataFrame, list[DataF
             out = []
             for d, t in zip(pdf.doc_id, pdf.text):
                 raw = _text(t)
-                for g, at, first, n in places(raw, width):
+                for g, at, first, n in places(raw, width, slice_bytes):
                     k = np.fromiter((xxhash.xxh3_64_intdigest(raw[f:f + c + width - 1]) for f, c in zip(first.tolist(), n.tolist())), np.uint64, len(g)).view(np.int64)
                     out.append(pd.DataFrame({"g": g, "k": k, "doc_id": d, "place": (first << 16) | (n << 8) | (at - first)}))
             if out:
