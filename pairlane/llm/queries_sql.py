@@ -94,3 +94,21 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
               substr(x, 2 * (CASE WHEN k = 0 THEN 1 ELSE b[k] END) - 1, 2 * ((CASE WHEN k = len(a) THEN n + 1 ELSE a[k + 1] END) - (CASE WHEN k = 0 THEN 1 ELSE b[k] END)))), '') END)) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+_RUN_BYTES = ("flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0] "
+              "ELSE [195::BIGINT, 0, 0, 0, 0, 0, 0, 0, ord(x) - 64, 0, 0, 0, 0, 0, 0, 0] END))")
+_RUN_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, " + _RUN_BYTES + "), lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)))"
+
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all({_FOLD.format(text='text')}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS w FROM documents),
+o AS (SELECT w, count(*) AS n, {_RUN_CRC.format(text="(doc_id || ':' || w)")} AS h FROM r GROUP BY doc_id, w),
+t AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM o),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM t WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+d AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS x FROM v, unnest(generate_series(1, length(word))) AS u(i)),
+p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.x = b.x AND a.word <> b.word
+      UNION SELECT word, x FROM d WHERE x IN (SELECT word FROM v) UNION SELECT x, word FROM d WHERE x IN (SELECT word FROM v)),
+f AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS best, max(n) AS most FROM p JOIN v ON v.word = b GROUP BY 1),
+g AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN best END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM v LEFT JOIN f USING (word)),
+s AS (SELECT word, word AS at FROM g UNION ALL SELECT s.word, g.form FROM s JOIN g ON g.word = s.at WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, s.at AS root, g.n, g.n_near, g.form_n FROM g JOIN s USING (word) JOIN g e ON e.word = s.at WHERE e.form IS NULL
+"""
