@@ -222,8 +222,8 @@ def repeated_windows(docs: DataFrame, width: int) -> tuple[DataFrame, list[DataF
     `docs` has unique keys doc_id.  Count the anchor grams of all windows; keep the places of repeated grams as (gram, context hash,
     document, place), no texts; collapse equal contexts to one with a count, whose windows all repeat if it is above one.  Only where a gram has
     different contexts are bytes needed: each such context is cut once out of one document that has it, goes to the shard of its gram, and there its
-    suffixes are sorted.  A gram with more than CROWD contexts is parted first (`_split`), down to single windows if need be,
-    which are counted by their bytes.  Second: staged tables that the first reads.
+    suffixes are sorted.  A gram with more than CROWD contexts is parted first (`_split`); parts that are equal then become one, and all windows
+    of theirs repeat.  Single windows of one route are equal, so the parting ends.  Second: staged tables that the first reads.
     """
     slice_bytes = SLICE
 
@@ -265,23 +265,22 @@ def repeated_windows(docs: DataFrame, width: int) -> tuple[DataFrame, list[DataF
             yield pd.DataFrame(out, columns=[*_PIECE_COLUMNS, "crowded"])
 
     pieces = stage(text.join(wanted, "doc_id").select("text", "wanted").mapInPandas(cut, _PIECE + ", crowded boolean"), "pieces")
-    calm, crowded, used, last = [pieces.where("NOT crowded").drop("crowded")], pieces.where("crowded").drop("crowded"), [pieces], []
+    calm, crowded, used, whole = [pieces.where("NOT crowded").drop("crowded")], pieces.where("crowded").drop("crowded"), [pieces], []
     while not crowded.isEmpty():
         parted = stage(crowded.mapInPandas(_split(width), _PIECE), "parted")
-        used.append(parted)
-        crowds = parted.groupBy("r").agg(F.count("*").alias("n")).where(f"n > {CROWD}").select("r")
-        calm.append(parted.join(crowds, "r", "left_anti").select(_PIECE_COLUMNS))
-        crowded = stage(parted.join(crowds, "r", "left_semi").select(_PIECE_COLUMNS), "crowded")
-        used.append(crowded)
-        last.append(crowded.where("lo = hi"))
-        crowded = crowded.where("lo < hi")
+        merged = stage(parted.groupBy("r", "piece").agg(F.count("*").alias("c"), F.min(F.struct(*(c for c in _PIECE_COLUMNS if c not in ("r", "piece")))).alias("x")), "merged")
+        whole.append(parted.where("solo").join(merged.where("c > 1").select("r", "piece"), ["r", "piece"], "left_semi"))
+        rest = merged.select("r", "piece", "c", "x.*").withColumn("solo", F.col("solo") & (F.col("c") == 1)).select(_PIECE_COLUMNS)
+        crowds = rest.groupBy("r").agg(F.count("*").alias("n")).where(f"n > {CROWD}").select("r")
+        calm.append(rest.join(crowds, "r", "left_anti").select(_PIECE_COLUMNS))
+        crowded = stage(rest.join(crowds, "r", "left_semi").select(_PIECE_COLUMNS), "crowded")
+        used += [parted, merged, crowded]
     shards = calm[0]
     for c in calm[1:]:
         shards = shards.unionByName(c)
     bits = shards.repartition("r").sortWithinPartitions("r").mapInPandas(_sort_shards(width), _BITS)
-    for single in last:
-        often = single.groupBy("piece").agg(F.count("*").alias("c")).where("c > 1").select("piece")
-        bits = bits.unionByName(single.where("solo").join(often, "piece", "left_semi").select("g", "k", "skip", "n", F.lit(b"\x80").alias("bits")))
+    for found in whole:
+        bits = bits.unionByName(found.select("g", "k", "skip", "n", F.lit(None).cast("binary").alias("bits")))
     bits = stage_dropping(bits, "bits", *used)
     all_of = contexts.where("c > 1").select("g", "k", F.lit(None).cast("short").alias("skip"), F.lit(None).cast("short").alias("n"), F.lit(None).cast("binary").alias("bits"))
     first, n = F.shiftrightunsigned("place", 16), F.shiftrightunsigned("place", 8).bitwiseAND(F.lit(255))
