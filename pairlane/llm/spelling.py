@@ -14,7 +14,7 @@ from .common import stage, stage_dropping
 #: A run of letters A-Z, a-z and U+00C0 to U+00FF in UTF-8 bytes whose A-Z are folded.
 RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 #: One run in so many is typed with a code point missing; distinct words a task counts before it hands them on; runs looked at at once.
-TYPO, HELD, BATCH = 97, 400_000, 1_000_000
+TYPO, HELD, BATCH = 97, 100_000, 200_000
 MIN_LENGTH, MIN_COUNT = 5, 3
 
 
