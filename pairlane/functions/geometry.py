@@ -5,6 +5,7 @@ function takes masked arrays, so missing points propagate as NULL.  Image y grow
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 from pairlane.constants import (ANGLE_TOLERANCE, CONF, LANK, LEAN_WEIGHT, LHIP, LIMBS, LKN, LSH, LWR, NOSE, RANK, REGIONS, RHIP,
@@ -202,6 +203,17 @@ def angular_distance(a: Column, b: Column, mirror: bool = False) -> Column:
     return F.when(tot >= 0.7 * sum(w), acc / tot)
 
 
+def angular_distances(a, b, mirror: bool = False):
+    """`angular_distance` of arrays of rows of nine angles each, NaN for none."""
+    w = np.array([x[3] for x in LIMBS] + [LEAN_WEIGHT], float)
+    order, sign = ([4, 5, 6, 7, 0, 1, 2, 3, 8], -1.0) if mirror else (list(range(9)), 1.0)
+    gap = np.maximum(np.abs((a - sign * b[:, order] + 180.0) % 360.0 - 180.0) - ANGLE_TOLERANCE, 0.0)
+    has = np.isfinite(gap)
+    total = has @ w
+    with np.errstate(all="ignore"):
+        return np.where(total >= 0.7 * w.sum(), np.where(has, gap, 0.0) @ w / total, np.nan)
+
+
 def posture_similarity(za: list[Column], zb: list[Column], min_feats: int) -> Column:
     """Minus the mean absolute difference over features present on both sides."""
     d = [F.abs(x - y) for x, y in zip(za, zb)]

@@ -1,16 +1,21 @@
 """Correlation, shift nulls and tests."""
+import functools
+
 from pyspark.sql import functions as F
 
 from pairlane.functions import geometry as G
 from pairlane.functions.mathx import probit, probit_sql
 from pairlane.operators import inference as I
 from pairlane.operators import lags as L
+from pairlane.operators import rolls as R
 from pairlane.operators import series as S
 from pairlane.operators import windows as WN
 from pairlane.operators.ordered import average_ranks, over_neighbours, quantiles
+from pairlane.operators.pseudo import pseudo_similarity
 from pairlane.operators.steps import Step, apply_steps, dist, rolling
 from pairlane.operators.windows import window_rows
 from pairlane.sources import views as V
+from pairlane.sources.scratch import staged
 
 from .geometry import ANG, angd_sql, pairs
 from .joins import PSEUDO, pseudo
@@ -162,7 +167,8 @@ def _(spark, sf):
 
 @query("pseudo_pairs", sql("pair", PSEUDO + f" SELECT ca AS clip_a, count(*) AS n, {rr('max(r)')} AS max_abs_r, {rr('avg(r0)')} AS mean_r0 FROM pr WHERE ca <> cb GROUP BY ca"))
 def _(spark, sf):
-    return pseudo(spark, sf).where(F.col("clip_a") != F.col("clip_b")).groupBy("clip_a").agg(F.count("*").alias("n"), r(F.max("abs_r")).alias("max_abs_r"), r(F.avg("r0")).alias("mean_r0"))
+    """Each clip's A against B of the clips of other groups."""
+    return pseudo(spark, sf).where("pairs_a > 0").select(F.col("clip").alias("clip_a"), F.col("pairs_a").alias("n"), r("max_abs_r_a").alias("max_abs_r"), r("mean_r0_a").alias("mean_r0"))
 
 
 @query("handoff_test", sql("pair", "mp AS (SELECT *, true AS mask FROM pair), sh(k) AS (VALUES " + ", ".join(f"({k})" for k in [0, *SHIFTS]) + f"), tt AS (SELECT clip, max(frame) + 1 AS t FROM pair GROUP BY clip), rb AS (SELECT p.clip, k, ((frame + k) % t + t) % t AS frame, b FROM pair p JOIN tt USING (clip), sh WHERE b IS NOT NULL), c AS (SELECT clip, k, corr(a, rb.b) AS r, count(*) AS n FROM pair JOIN rb USING (clip, frame) WHERE a IS NOT NULL GROUP BY 1, 2), m AS (SELECT clip, avg(r) AS mu, count(r) AS nn FROM c WHERE k <> 0 AND n >= 30 GROUP BY clip) SELECT o.clip, {rr('any_value(o.r)')} AS r0, {rr('any_value(mu)')} AS null_mean, {rr('(count(*) FILTER (abs(p.r - mu) >= abs(o.r - mu)) + 1) / (any_value(nn) + 1)')} AS p_two, {rr('(count(*) FILTER (p.r <= o.r) + 1) / (any_value(nn) + 1)')} AS p_less, {rr('(count(*) FILTER (p.r >= o.r) + 1) / (any_value(nn) + 1)')} AS p_greater FROM c o JOIN c p ON o.clip = p.clip AND o.k = 0 AND p.k <> 0 AND p.n >= 30 JOIN m ON m.clip = o.clip GROUP BY o.clip"))
@@ -182,38 +188,78 @@ ZD = """q AS (SELECT clip, """ + ", ".join(f"quantile_cont({c}, 0.5) AS m{i}, (q
  z AS (SELECT clip, frame, present_a AND present_b AS both_, """ + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN greatest(-3, least(3, ({c} - m{i}) / s{i})) END AS z{i}" for i, c in enumerate(["ax", "ay", "bx", '"by"'])) + " FROM duet JOIN q USING (clip))"
 
 
-def sim_sql(shifts, min_feats=1):
-    return ZD + ", sh(k) AS (VALUES " + ", ".join(f"({k})" for k in [0, *shifts]) + f"""), tt AS (SELECT clip, max(frame) + 1 AS t FROM duet GROUP BY clip), rb AS (SELECT z.clip, k, ((frame + k) % t + t) % t AS frame, z2, z3 FROM z JOIN tt USING (clip), sh),
- sm AS (SELECT z.clip, k, z.frame, z.both_, CASE WHEN (CASE WHEN z0 - rb.z2 IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN z1 - rb.z3 IS NOT NULL THEN 1 ELSE 0 END) >= {min_feats} THEN -(coalesce(abs(z0 - rb.z2), 0) + coalesce(abs(z1 - rb.z3), 0)) / ((CASE WHEN z0 - rb.z2 IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN z1 - rb.z3 IS NOT NULL THEN 1 ELSE 0 END)) END AS s FROM z JOIN rb ON z.clip = rb.clip AND z.frame = rb.frame),
- mk_ AS (SELECT clip, frame FROM sm WHERE k = 0 AND both_ AND s IS NOT NULL), ms AS (SELECT sm.clip, k, avg(s) AS s, count(*) AS n FROM sm JOIN mk_ USING (clip, frame) GROUP BY 1, 2)"""
+#: Frame masks of the similarity nulls, by bits: all, contact, apart; both low, not both low.  Distances in units of the table.
+NEAR, FAR, LOW, MIN_FRAMES = 12.0, 40.0, 25.0, 30
+SIM_MASKS, GRID_MASKS = ["all", "contact", "apart"], ["all", "apart", "floor_state", "not_floor"]
+SIM_SETS, GRID_SETS = {"shift": R.Spread(200, 60)}, {"shift": R.Spread(200, 60), "local": R.Fixed(L.shift_table(200, 12, 212))}
+GAP = "sqrt(power(ax - bx, 2) + power(ay - {by}, 2))"
+
+
+def spread_sql(name, spread, t="t"):
+    return f"SELECT DISTINCT clip, '{name}' AS nul, {spread.margin} + (({t} - {2 * spread.margin}) * (2 * i.range + 1)) // {2 * spread.n} AS k FROM tt, range({spread.n}) i WHERE {t} > {2 * spread.margin}"
+
+
+def sim_sql(sets, masks):
+    cond = {"all": "true", "contact": f"coalesce({GAP.format(by='d.by')} < {NEAR}, false)", "apart": f"coalesce({GAP.format(by='d.by')} > {FAR}, false)",
+            "floor_state": f"coalesce(ay < {LOW} AND d.by < {LOW}, false)", "not_floor": f"NOT coalesce(ay < {LOW} AND d.by < {LOW}, false)"}
+    shifts = [spread_sql(n, s) if isinstance(s, R.Spread) else f"SELECT clip, '{n}', k.k FROM tt, (VALUES {', '.join(f'({k})' for k in s.shifts)}) k(k)" for n, s in sets.items()]
+    term = lambda i, j: f"coalesce(abs(m.z{i} - rb.z{j}), 0)"
+    n = "((CASE WHEN m.z0 - rb.z2 IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN m.z1 - rb.z3 IS NOT NULL THEN 1 ELSE 0 END))"
+    return ZD + f""", tt AS (SELECT clip, max(frame) + 1 AS t FROM duet GROUP BY clip), sh AS (SELECT clip, 'observed' AS nul, 0 AS k FROM tt UNION ALL {' UNION ALL '.join(shifts)}),
+ mk_ AS (SELECT z.clip, z.frame, t, z0, z1, unnest([{', '.join(f"CASE WHEN {cond[m]} THEN '{m}' END" for m in masks)}]) AS frames FROM z JOIN duet d USING (clip, frame) JOIN tt USING (clip) WHERE both_ AND (z0 - z2 IS NOT NULL OR z1 - z3 IS NOT NULL)),
+ sm AS (SELECT m.clip, m.frames, nul, k, CASE WHEN {n} >= 1 THEN -({term(0, 2)} + {term(1, 3)}) / {n} END AS s FROM mk_ m JOIN sh USING (clip) JOIN z rb ON rb.clip = m.clip AND rb.frame = ((m.frame - k) % t + t) % t WHERE m.frames IS NOT NULL),
+ ms AS (SELECT clip, frames, nul, k, avg(s) AS s, count(*) AS n FROM sm GROUP BY ALL)"""
 
 
-def similarity(spark, sf, shifts, min_feats=1):
-    """Mean posture similarity over the observed mask for every shift: clip, shift, s, n."""
-    z = S.robust_z(V.duet(spark, sf).select("clip", "frame", "present_a", "present_b", "ax", "ay", "bx", "by"), C, ["ax", "ay", "bx", "by"])
+def posture_rows(spark, sf, masks):
+    """Robust-z positions of both bodies with the masks as bits: clip, frame, a, b, mask."""
+    d = V.duet(spark, sf).select("clip", "frame", "present_a", "present_b", "ax", "ay", "bx", "by")
+    z = S.robust_z(d, C, ["ax", "ay", "bx", "by"])
     za, zb = [F.col("z_ax"), F.col("z_ay")], [F.col("z_bx"), F.col("z_by")]
-    mask = F.col("present_a") & F.col("present_b") & G.posture_similarity(za, zb, min_feats).isNotNull()
-    return L.rolled_similarity(z.select("clip", "frame", F.array(*za).alias("a"), F.array(*zb).alias("b"), mask.alias("mask")), C, shifts, min_feats)
+    seen = F.col("present_a") & F.col("present_b") & G.posture_similarity(za, zb, 1).isNotNull()
+    gap, low = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)), F.coalesce((F.col("ay") < LOW) & (F.col("by") < LOW), F.lit(False))
+    cond = {"all": F.lit(True), "contact": gap < NEAR, "apart": gap > FAR, "floor_state": low, "not_floor": ~low}
+    bits = sum((F.when(F.coalesce(seen & cond[m], F.lit(False)), 1 << j).otherwise(0) for j, m in enumerate(masks)), F.lit(0))
+    nan = lambda cs: F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in cs])
+    return z.select("clip", "frame", nan(za).alias("a"), nan(zb).alias("b"), bits.alias("mask"))
 
 
-def excess(s):
-    o = s.where(F.col("shift") == 0).select("clip", F.col("s").alias("o"), F.col("n").alias("n"))
-    n = s.where(F.col("shift") != 0).select("clip", F.col("s").alias("v"))
-    return n.join(o, "clip").groupBy("clip").agg(F.first("n").alias("n_frames"), r(F.first("o")).alias("s_obs"), r(F.first("o") - F.avg("v")).alias("excess"), r((F.first("o") - F.avg("v")) / F.stddev_pop("v"), 4).alias("z"), r(F.avg(F.when(F.col("v") >= F.col("o"), 1).otherwise(0))).alias("p"))
+def excess(rows, sets, masks):
+    e = R.null_excess(R.rolled_similarity(rows, C, sets, len(masks)), [*C, "mask"]).where(f"n >= {MIN_FRAMES}")
+    return e.withColumn("frames", F.get(F.array(*[F.lit(m) for m in masks]), F.col("mask")))
 
 
-EX = f" SELECT o.clip, any_value(o.n) AS n_frames, {rr('any_value(o.s)')} AS s_obs, {rr('any_value(o.s) - avg(p.s)')} AS excess, {rr('(any_value(o.s) - avg(p.s)) / stddev_pop(p.s)', 4)} AS z, {rr('avg(CASE WHEN p.s >= o.s THEN 1 ELSE 0 END)')} AS p FROM ms o JOIN ms p ON o.clip = p.clip AND o.k = 0 AND p.k <> 0 GROUP BY o.clip"
-SIM, SIML = L.shift_table(12, 60, 480), L.shift_table(12, 12, 36)
+EX = f"""ex AS (SELECT o.clip, o.frames, p.nul, any_value(o.n) AS n_frames, any_value(o.s) AS s_obs, any_value(o.s) - avg(p.s) AS excess, (any_value(o.s) - avg(p.s)) / nullif(stddev_pop(p.s), 0) AS z, avg(CASE WHEN p.s >= o.s THEN 1 ELSE 0 END) AS p
+ FROM ms o JOIN ms p ON o.clip = p.clip AND o.frames = p.frames AND o.nul = 'observed' AND p.nul <> 'observed' WHERE o.n >= {MIN_FRAMES} GROUP BY ALL)"""
+PS = """g AS (SELECT s_suppkey AS clip, s_nationkey AS grp FROM supplier),
+ m0 AS (SELECT clip, frame, z0, z1, {flags} FROM mk_ WHERE frames IS NOT NULL GROUP BY ALL),
+ lw AS MATERIALIZED (SELECT m0.*, g2.clip AS other, off.range AS q, ((m0.frame - (ot.t * (2 * off.range + 1)) // 10) % ot.t + ot.t) % ot.t AS src FROM m0 JOIN g g1 ON g1.clip = m0.clip JOIN g g2 ON g2.grp <> g1.grp JOIN tt ot ON ot.clip = g2.clip, range(5) off WHERE m0.frame < ot.t),
+ pv AS (SELECT m0.* EXCLUDE (z0, z1), {sim} AS s FROM lw m0 JOIN z rb ON rb.clip = m0.other AND rb.frame = m0.src),
+ pw AS (SELECT clip, other, q, {masks} FROM pv GROUP BY clip, other, q),
+ pp AS (SELECT clip, other, q, unnest([{names}]) AS frames, unnest([{means}]) AS s, unnest([{counts}]) AS n FROM pw),
+ ps AS (SELECT pp.clip, pp.frames, count(*) AS n_pseudo, avg(pp.s) AS pseudo_mean, avg(CASE WHEN pp.s >= ex.s_obs THEN 1 ELSE 0 END) AS p_pseudo FROM pp JOIN ex USING (clip, frames) WHERE pp.n >= {least} GROUP BY ALL)"""
+_N2 = "((CASE WHEN m0.z0 - rb.z2 IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN m0.z1 - rb.z3 IS NOT NULL THEN 1 ELSE 0 END))"
+_S2 = f"CASE WHEN {_N2} >= 1 THEN -(coalesce(abs(m0.z0 - rb.z2), 0) + coalesce(abs(m0.z1 - rb.z3), 0)) / {_N2} END"
+PS = PS.format(flags=", ".join(f"bool_or(frames = '{m}') AS f_{m}" for m in SIM_MASKS), sim=_S2, masks=", ".join(f"avg(s) FILTER (f_{m}) AS s_{m}, count(s) FILTER (f_{m}) AS n_{m}" for m in SIM_MASKS), least=MIN_FRAMES,
+               names=", ".join(f"'{m}'" for m in SIM_MASKS), means=", ".join(f"s_{m}" for m in SIM_MASKS), counts=", ".join(f"n_{m}" for m in SIM_MASKS))
 
 
-@query("similarity_excess", sql("duet", sim_sql(SIM) + EX))
+@query("similarity_excess", sql("duet", sim_sql(SIM_SETS, SIM_MASKS) + f", {EX}, {PS} SELECT clip, frames, n_frames, {rr('s_obs')} AS s_obs, {rr('excess')} AS excess, {rr('z', 4)} AS z, {rr('p')} AS p, coalesce(n_pseudo, 0) AS n_pseudo, {rr('s_obs - pseudo_mean')} AS excess_pseudo, {rr('p_pseudo')} AS p_pseudo FROM ex LEFT JOIN ps USING (clip, frames)"))
 def _(spark, sf):
-    return excess(similarity(spark, sf, SIM))
+    """Similarity of partners against 200 shifts of B and against strangers' B at five offsets, over all, contact and apart frames."""
+    rows = staged(posture_rows(spark, sf, SIM_MASKS), "posture")
+    e = staged(excess(rows, SIM_SETS, SIM_MASKS), "excess")
+    grp = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("clip"), F.col("s_nationkey").alias("grp"))
+    ps = pseudo_similarity(rows, grp, e.select("clip", "mask", F.col("s_obs").alias("true")), len(SIM_MASKS), 5, MIN_FRAMES)
+    return e.join(ps, ["clip", "mask"], "left").select("clip", "frames", F.col("n").alias("n_frames"), r("s_obs").alias("s_obs"), r("excess").alias("excess"), r("z", 4).alias("z"), r("p").alias("p"),
+                                                       F.coalesce("n_pseudo", F.lit(0)).alias("n_pseudo"), r(F.col("s_obs") - F.col("pseudo_mean")).alias("excess_pseudo"), r("p_pseudo").alias("p_pseudo"))
 
 
-@query("local_null_excess", sql("duet", sim_sql(SIML) + EX))
+@query("local_null_excess", sql("duet", sim_sql(GRID_SETS, GRID_MASKS) + f", {EX} SELECT clip, frames, nul AS \"null\", n_frames, {rr('s_obs')} AS s_obs, {rr('excess')} AS excess, {rr('z', 4)} AS z, {rr('p')} AS p FROM ex"))
 def _(spark, sf):
-    return excess(similarity(spark, sf, SIML))
+    """Controls grid: frame masks by far and by near shifts, which keep the phase and break the moment."""
+    e = excess(posture_rows(spark, sf, GRID_MASKS), GRID_SETS, GRID_MASKS)
+    return e.select("clip", "frames", F.col("set").alias("null"), F.col("n").alias("n_frames"), r("s_obs").alias("s_obs"), r("excess").alias("excess"), r("z", 4).alias("z"), r("p").alias("p"))
 
 
 @query("posture_similarity", sql("duet", ZD + f" SELECT clip, frame, {rr('CASE WHEN z0 - z2 IS NOT NULL AND z1 - z3 IS NOT NULL THEN -(abs(z0 - z2) + abs(z1 - z3)) / 2 END')} AS s FROM z"))
@@ -253,43 +299,58 @@ def _(spark, sf):
     return n.join(o, "clip").groupBy("clip").agg(F.first("n").alias("n"), r(F.first("o"), 5).alias("r"), r(F.avg("r"), 5).alias("null_mean"), r(F.avg(F.when(F.col("r") >= F.col("o"), 1).otherwise(0))).alias("p"))
 
 
-SEGK = [0, 5, 8, 11]
-SEGQ = ANG + ", tt AS (SELECT clip, max(frame) + 1 AS t FROM ga GROUP BY clip), sl(k, l) AS (VALUES " + ", ".join(f"({k}, {l})" for k in SEGK for l in range(-2, 3)) + f"""), dd AS (SELECT x.clip, x.frame, k, l, {{S}} AS d FROM ga x JOIN tt USING (clip), sl, ga y WHERE y.clip = x.clip AND y.frame = ((x.frame - k - l) % t + t) % t), bl AS (SELECT clip, k, frame, min(d) AS d FROM dd GROUP BY 1, 2, 3)"""
+LAGS = range(-2, 3)
+SEG_SETS = {"null": R.Spread(100, 5), "pool_far": R.Spread(20, 2)}
+SEGQ = ANG + ", tt AS (SELECT clip, max(frame) + 1 AS t FROM ga GROUP BY clip), sh AS ({shifts}), dd AS (SELECT x.clip, x.frame, nul, k, {S} AS d FROM ga x JOIN tt USING (clip) JOIN sh USING (clip), (VALUES " + ", ".join(f"({l})" for l in LAGS) + """) sl(l), ga y WHERE y.clip = x.clip AND y.frame = ((x.frame - k - l) % t + t) % t), bl AS (SELECT clip, nul, k, frame, min(d) AS d FROM dd GROUP BY ALL)"""
 
 
-def seg_sql(mirror):
+def seg_sql(mirror, shifts="SELECT clip, 'observed' AS nul, 0 AS k FROM tt"):
     e = angd_sql([4, 5, 6, 7, 0, 1, 2, 3, 8] if mirror else list(range(9)), -1 if mirror else 1)
-    return SEGQ.replace("{S}", e.replace("ga[", "x.ga[").replace("gb[", "y.gb["))
+    return SEGQ.replace("{shifts}", shifts).replace("{S}", e.replace("ga[", "x.ga[").replace("gb[", "y.gb["))
 
 
-def best_lag(spark, sf, shifts, mirror=False, reach=2):
-    """Smallest posture distance over +-reach rows of B (circular) for every shift: clip, shift, frame, d."""
+def limb_rows(spark, sf):
+    """Limb angles of both bodies for `rolls`: clip, frame, a, b, mask."""
+    nan = lambda m: F.transform(G.limb_angles(F.col(m)), lambda x: F.coalesce(x, F.lit(float("nan"))))
+    return pairs(spark, sf).select("clip", "frame", nan("ma").alias("a"), nan("mb").alias("b"), F.lit(1).alias("mask"))
+
+
+def best_lag(spark, sf, mirror=False):
+    """Smallest posture distance over +-2 rows of B (circular): clip, frame, d."""
     g = pairs(spark, sf).select("clip", "frame", G.limb_angles(F.col("ma")).alias("ga"), G.limb_angles(F.col("mb")).alias("gb"))
-    t = g.groupBy("clip").agg((F.max("frame") + 1).alias("t"))
-    k = F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), F.lit(l).alias("l")) for s in shifts for l in range(-reach, reach + 1)]))
-    b = g.join(t, "clip").select("clip", "frame", "gb", "t", k.alias("s"))
-    b = b.select("clip", "s.shift", F.pmod(F.col("frame") + F.col("s.shift") + F.col("s.l"), F.col("t")).cast("int").alias("frame"), "gb")
+    b = g.join(g.groupBy("clip").agg((F.max("frame") + 1).alias("t")), "clip")
+    b = b.select("clip", F.explode(F.array(*[F.pmod(F.col("frame") + l, F.col("t")).cast("int") for l in LAGS])).alias("frame"), "gb")
     d = g.select("clip", "frame", "ga").join(b, ["clip", "frame"])
-    return d.groupBy("clip", "shift", "frame").agg(F.min(G.angular_distance(F.col("ga"), F.col("gb"), mirror)).alias("d"))
+    return d.groupBy("clip", "frame").agg(F.min(G.angular_distance(F.col("ga"), F.col("gb"), mirror)).alias("d"))
 
 
-@query("best_lag", sql("posep", seg_sql(False) + f" SELECT clip, CAST(frame AS INT) AS frame, {rr('d')} AS d FROM bl WHERE k = 0 AND d IS NOT NULL"))
+@query("best_lag", sql("posep", seg_sql(False) + f" SELECT clip, CAST(frame AS INT) AS frame, {rr('d')} AS d FROM bl WHERE d IS NOT NULL"))
 def _(spark, sf):
-    return best_lag(spark, sf, [0]).where(F.col("d").isNotNull()).select("clip", "frame", r("d").alias("d"))
+    return best_lag(spark, sf).where(F.col("d").isNotNull()).select("clip", "frame", r("d").alias("d"))
+
+
+def segment_sql(mode):
+    shifts = "SELECT clip, 'observed' AS nul, 0 AS k FROM tt UNION ALL " + " UNION ALL ".join(spread_sql(n, s) for n, s in SEG_SETS.items())
+    return f"""SELECT * FROM (WITH {seg_sql(mode == 'mirror', shifts).lstrip(', ')}, mk_ AS (SELECT clip, frame FROM bl WHERE nul = 'observed' AND d IS NOT NULL), fr AS (SELECT bl.* FROM bl JOIN mk_ USING (clip, frame)),
+ ms AS (SELECT clip, nul, k, avg(d) AS d, count(*) AS n FROM fr GROUP BY ALL), q AS (SELECT clip, quantile_cont(d, 0.5) FILTER (nul = 'observed') AS md, quantile_cont(d, 0.1) FILTER (nul = 'observed') AS p10, quantile_cont(d, 0.5) FILTER (nul = 'pool_far') AS far FROM fr GROUP BY clip)
+ SELECT o.clip, '{mode}' AS mode, any_value(o.n) AS n, {rr('any_value(o.d)')} AS mean_deg, {rr('avg(p.d) - any_value(o.d)')} AS excess_deg, {rr('avg(CASE WHEN p.d <= o.d THEN 1 ELSE 0 END)')} AS p, {rr('CASE WHEN any_value(far) > any_value(p10) THEN 100 * (any_value(far) - any_value(md)) / (any_value(far) - any_value(p10)) END', 4)} AS score
+ FROM ms o JOIN ms p ON o.clip = p.clip AND o.nul = 'observed' AND p.nul = 'null' AND p.d IS NOT NULL JOIN q ON q.clip = o.clip GROUP BY o.clip)"""
 
 
-@query("segment_excess", sql("posep", seg_sql(True) + f""", mk_ AS (SELECT clip, frame FROM bl WHERE k = 0 AND d IS NOT NULL), ms AS (SELECT bl.clip, k, avg(d) AS d, quantile_cont(d, 0.5) AS md, quantile_cont(d, 0.1) AS p10, count(*) AS n FROM bl JOIN mk_ USING (clip, frame) GROUP BY 1, 2)
- SELECT o.clip, any_value(o.n) AS n, {rr('any_value(o.d)')} AS mean_deg, {rr('avg(p.d) - any_value(o.d)')} AS excess_deg, {rr('avg(CASE WHEN p.d <= o.d THEN 1 ELSE 0 END)')} AS p, {rr('100 * (avg(p.md) - any_value(o.md)) / (avg(p.md) - any_value(o.p10))', 4)} AS score FROM ms o JOIN ms p ON o.clip = p.clip AND o.k = 0 AND p.k <> 0 AND p.d IS NOT NULL GROUP BY 1"""))
+@query("segment_excess", sql("posep", "SELECT 1")[:-len("SELECT 1")] + " " + " UNION ALL ".join(segment_sql(m) for m in ("same-side", "mirror")))
 def _(spark, sf):
-    b = best_lag(spark, sf, SEGK, True)
-    m = b.where((F.col("shift") == 0) & F.col("d").isNotNull()).select("clip", "frame")
-    b = b.join(m, ["clip", "frame"], "left_semi")
-    q = quantiles(b, ["clip", "shift"], "d", {"md": 0.5, "p10": 0.1}).drop("n")
-    s = b.groupBy("clip", "shift").agg(F.avg("d").alias("d"), F.count("*").alias("n")).join(q, ["clip", "shift"])
-    o = s.where(F.col("shift") == 0).select("clip", F.col("d").alias("od"), F.col("md").alias("omd"), F.col("p10").alias("op"), "n")
-    j = s.where(F.col("shift") != 0).drop("n").join(o, "clip")
-    return j.groupBy("clip").agg(F.first("n").alias("n"), r(F.first("od")).alias("mean_deg"), r(F.avg("d") - F.first("od")).alias("excess_deg"), r(F.avg(F.when(F.col("d") <= F.col("od"), 1).otherwise(0))).alias("p"),
-                                 r(100 * (F.avg("md") - F.first("omd")) / (F.avg("md") - F.first("op")), 4).alias("score"))
+    """Limb-angle distance of partners, same-side and mirrored, against 100 shifts, and a score from 0 (distance at other times) to 100 (the clip's 10th percentile)."""
+    rows, out = staged(limb_rows(spark, sf), "limbs"), None
+    for mode in ("same-side", "mirror"):
+        means, q = R.rolled_distances(rows, C, SEG_SETS, functools.partial(G.angular_distances, mirror=mode == "mirror"), (0.0, 180.0), {"md": 0.5, "p10": 0.1}, reach=2)
+        o = means.where("set = 'observed'").select("clip", F.col("d").alias("o"), "n")
+        null = means.where("set = 'null' AND d IS NOT NULL").select("clip", "d").join(o, "clip").groupBy("clip").agg(F.first("n").alias("n"), F.first("o").alias("o"), F.avg("d").alias("mean"), F.avg(F.when(F.col("d") <= F.col("o"), 1).otherwise(0)).alias("p"))
+        mine, far = q.where("pool = 'observed'").drop("pool"), q.where("pool = 'pool_far'").select("clip", F.col("md").alias("far"))
+        part = null.join(mine, "clip", "left").join(far, "clip", "left").select(
+            "clip", F.lit(mode).alias("mode"), "n", r("o").alias("mean_deg"), r(F.col("mean") - F.col("o")).alias("excess_deg"), r("p").alias("p"),
+            r(F.when(F.col("far") > F.col("p10"), 100 * (F.col("far") - F.col("md")) / (F.col("far") - F.col("p10"))), 4).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("lead_index", sql("pair", lc_sql("pair", 6, 50) + f" SELECT clip, {rr('avg(r) FILTER (lag BETWEEN 1 AND 3) - avg(r) FILTER (lag BETWEEN -3 AND -1)')} AS lead_index FROM lc GROUP BY clip"))

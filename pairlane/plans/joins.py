@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from pairlane.operators import joins as J
+from pairlane.operators.pseudo import pseudo_ranks
 from pairlane.operators import lags as L
 from pairlane.operators.ordered import over_neighbours
 from pairlane.sources import views as V
@@ -88,34 +89,24 @@ PSEUDO = """g AS (SELECT s_suppkey AS clip, s_nationkey AS grp FROM supplier), p
  pr AS (SELECT ca, cb, max(abs(r)) AS r, max(CASE WHEN lag = 0 THEN r END) AS r0 FROM (SELECT ca, cb, lag, CASE WHEN n >= 20 THEN (sxy - sx*sy/n) / sqrt((sxx - sx*sx/n) * (syy - sy*sy/n)) END AS r FROM pj) GROUP BY 1, 2)"""
 
 
-def pseudo(spark, sf):
+def pseudo(spark, sf, probs=()):
     grp = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("clip"), F.col("s_nationkey").alias("grp"))
-    return J.pseudo_pairs(V.pair(spark, sf), grp, 2, 20)
-
-
-def pseudo_rank(pp, col):
-    """Share of pseudo-pairs at least as strong as the true pair of each clip, in both directions."""
-    true = pp.where(F.col("clip_a") == F.col("clip_b")).select(F.col("clip_a").alias("clip"), F.col(col).alias("true_r"))
-    nul = pp.where((F.col("clip_a") != F.col("clip_b")) & F.col(col).isNotNull()).select(F.explode(F.array("clip_a", "clip_b")).alias("clip"), F.col(col).alias("v"))
-    return true, nul
+    return pseudo_ranks(V.pair(spark, sf), grp, 2, 20, list(probs))
 
 
 @query("pseudo_pair_join", sql("pair", PSEUDO + f""", t AS (SELECT ca AS clip, r AS tr FROM pr WHERE ca = cb), u AS (SELECT ca AS clip, r FROM pr WHERE ca <> cb UNION ALL SELECT cb, r FROM pr WHERE ca <> cb)
  SELECT clip, {rr('any_value(tr)')} AS true_abs_r, {rr('quantile_cont(r, 0.5)')} AS pseudo_median, {rr('quantile_cont(r, 0.95)')} AS pseudo_95, {rr('(count(*) FILTER (r >= tr) + 1) / (count(*) + 1)')} AS p_pseudo, count(*) AS n_pseudo FROM u JOIN t USING (clip) WHERE r IS NOT NULL GROUP BY clip"""))
 def _(spark, sf):
-    from pairlane.operators.ordered import quantiles
-    true, nul = pseudo_rank(pseudo(spark, sf), "abs_r")
-    c = nul.join(true, "clip").groupBy("clip").agg(F.first("true_r").alias("t"), F.count("*").alias("n_pseudo"), F.count_if(F.col("v") >= F.col("true_r")).alias("k"))
-    q = quantiles(nul, ["clip"], "v", {"m": 0.5, "q": 0.95})
-    return c.join(q.drop("n"), "clip").select("clip", r("t").alias("true_abs_r"), r("m").alias("pseudo_median"), r("q").alias("pseudo_95"),
-                                             r((F.col("k") + 1) / (F.col("n_pseudo") + 1)).alias("p_pseudo"), "n_pseudo")
+    """Where each clip's own |r| stands among those of its A and B with strangers."""
+    p = pseudo(spark, sf, (0.5, 0.95)).where("n_pseudo > 0")
+    return p.select("clip", r("true_abs_r").alias("true_abs_r"), r(F.get("quantiles", F.lit(0))).alias("pseudo_median"), r(F.get("quantiles", F.lit(1))).alias("pseudo_95"),
+                    r((F.col("n_as_strong") + 1) / (F.col("n_pseudo") + 1)).alias("p_pseudo"), "n_pseudo")
 
 
 @query("pseudo_pair_full", sql("pair", PSEUDO + f""", t AS (SELECT ca AS clip, r0 AS tr FROM pr WHERE ca = cb), u AS (SELECT ca AS clip, r0 FROM pr WHERE ca <> cb UNION ALL SELECT cb, r0 FROM pr WHERE ca <> cb)
  SELECT clip, {rr('any_value(tr)')} AS true_r0, {rr('avg(r0)')} AS pseudo_mean, {rr('stddev_pop(r0)')} AS pseudo_sd, count(r0) AS n_pseudo FROM u JOIN t USING (clip) WHERE r0 IS NOT NULL GROUP BY clip"""))
 def _(spark, sf):
-    true, nul = pseudo_rank(pseudo(spark, sf), "r0")
-    return nul.join(true, "clip").groupBy("clip").agg(r(F.first("true_r")).alias("true_r0"), r(F.avg("v")).alias("pseudo_mean"), r(F.stddev_pop("v")).alias("pseudo_sd"), F.count("*").alias("n_pseudo"))
+    return pseudo(spark, sf).where("n_r0 > 0").select("clip", r("true_r0").alias("true_r0"), r("mean_r0").alias("pseudo_mean"), r("sd_r0").alias("pseudo_sd"), F.col("n_r0").alias("n_pseudo"))
 
 
 @query("spread_exclusion", sql("det", """k AS (SELECT * FROM det WHERE track_id % 10 <> 0), e AS (SELECT * FROM det WHERE track_id % 10 = 0)
