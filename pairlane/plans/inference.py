@@ -171,17 +171,42 @@ def _(spark, sf):
     return pseudo(spark, sf).where("pairs_a > 0").select(F.col("clip").alias("clip_a"), F.col("pairs_a").alias("n"), r("max_abs_r_a").alias("max_abs_r"), r("mean_r0_a").alias("mean_r0"))
 
 
-@query("handoff_test", sql("pair", "mp AS (SELECT *, true AS mask FROM pair), sh(k) AS (VALUES " + ", ".join(f"({k})" for k in [0, *SHIFTS]) + f"), tt AS (SELECT clip, max(frame) + 1 AS t FROM pair GROUP BY clip), rb AS (SELECT p.clip, k, ((frame + k) % t + t) % t AS frame, b FROM pair p JOIN tt USING (clip), sh WHERE b IS NOT NULL), c AS (SELECT clip, k, corr(a, rb.b) AS r, count(*) AS n FROM pair JOIN rb USING (clip, frame) WHERE a IS NOT NULL GROUP BY 1, 2), m AS (SELECT clip, avg(r) AS mu, count(r) AS nn FROM c WHERE k <> 0 AND n >= 30 GROUP BY clip) SELECT o.clip, {rr('any_value(o.r)')} AS r0, {rr('any_value(mu)')} AS null_mean, {rr('(count(*) FILTER (abs(p.r - mu) >= abs(o.r - mu)) + 1) / (any_value(nn) + 1)')} AS p_two, {rr('(count(*) FILTER (p.r <= o.r) + 1) / (any_value(nn) + 1)')} AS p_less, {rr('(count(*) FILTER (p.r >= o.r) + 1) / (any_value(nn) + 1)')} AS p_greater FROM c o JOIN c p ON o.clip = p.clip AND o.k = 0 AND p.k <> 0 AND p.n >= 30 JOIN m ON m.clip = o.clip GROUP BY o.clip"))
+#: Hand-off: lags, window, step and threshold of the windowed r; sides of the tests.
+HAND_LAG, HAND_WIN, HAND_STEP, HAND_THR = 3, 8, 2, 0.5
+HAND_SETS, SIDES = {"shift": R.Spread(200, 60)}, {"r0": "two", "rmin": "less", "frac_neg": "greater", "frac_pos": "greater"}
+
+
+def spread_sql(name, spread, t="t"):
+    return f"SELECT DISTINCT clip, '{name}' AS nul, {spread.margin} + (({t} - {2 * spread.margin}) * (2 * i.range + 1)) // {2 * spread.n} AS k FROM tt, range({spread.n}) i WHERE {t} > {2 * spread.margin}"
+
+
+def hand_sql():
+    lags, w = range(-HAND_LAG, HAND_LAG + 1), HAND_WIN
+    move = lambda l: f"lead(b, {l}) OVER s" if l >= 0 else f"lag(b, {-l}) OVER s"
+    beyond = {"two": "abs(p.{c} - m_{c}) >= abs(o.{c} - m_{c})", "less": "p.{c} <= o.{c}", "greater": "p.{c} >= o.{c}"}
+    ok = "any_value(o.n) >= 60 AND count(p.{c}) >= 20 AND any_value(o.{c}) IS NOT NULL"
+    tests = ", ".join(x for c, side in SIDES.items() for x in (
+        rr(f"any_value(o.{c})") + f" AS {c}", rr(f"CASE WHEN {ok.format(c=c)} THEN any_value(m_{c}) END") + f" AS {c}_null_mean",
+        rr(f"CASE WHEN {ok.format(c=c)} THEN (count(*) FILTER ({beyond[side].format(c=c)}) + 1) / (count(p.{c}) + 1) END") + f" AS {c}_p"))
+    return f"""tt AS (SELECT clip, max(frame) + 1 AS t FROM duet GROUP BY clip), sh AS (SELECT clip, 'observed' AS nul, 0 AS k FROM tt UNION ALL {spread_sql('shift', HAND_SETS['shift'])}),
+ mm AS (SELECT clip, frame, ax - avg(ax) OVER c AS a, bx - avg(bx) OVER c AS b, m00 IS NOT NULL AS mask FROM duet WINDOW c AS (PARTITION BY clip)),
+ rb AS (SELECT x.clip, nul, k, x.frame, t, CASE WHEN x.mask THEN x.a END AS a, CASE WHEN x.mask THEN y.b END AS b FROM mm x JOIN tt USING (clip) JOIN sh USING (clip) JOIN mm y ON y.clip = x.clip AND y.frame = ((x.frame - k) % t + t) % t),
+ wd AS (SELECT *, {', '.join(f'{move(l)} AS b{l + HAND_LAG}' for l in lags)}, count(a + b) OVER n AS wn, sum(a) OVER n AS sa, sum(b) OVER n AS sb, sum(a * a) OVER n AS saa, sum(b * b) OVER n AS sbb, sum(a * b) OVER n AS sab FROM rb
+   WINDOW s AS (PARTITION BY clip, nul, k ORDER BY frame), n AS (PARTITION BY clip, nul, k ORDER BY frame ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)),
+ wr AS (SELECT *, CASE WHEN frame % {HAND_STEP} = 0 AND frame + {w} <= t AND wn = {w} AND sqrt(greatest((saa - sa * sa / {w}) * (sbb - sb * sb / {w}), 0)) > 1e-12 THEN (sab - sa * sb / {w}) / sqrt((saa - sa * sa / {w}) * (sbb - sb * sb / {w})) END AS r FROM wd),
+ st AS (SELECT clip, nul, k, count(a + b{HAND_LAG}) AS n, CASE WHEN count(a + b{HAND_LAG}) >= 30 THEN corr(a, b{HAND_LAG}) END AS r0, least({', '.join(f'CASE WHEN count(a + b{i}) >= 30 THEN corr(a, b{i}) END' for i in range(len(lags)))}) AS rmin,
+   count(r) AS n_win, count(*) FILTER (r < -{HAND_THR}) / nullif(count(r), 0) AS frac_neg, count(*) FILTER (r > {HAND_THR}) / nullif(count(r), 0) AS frac_pos FROM wr GROUP BY ALL),
+ mu AS (SELECT clip, {', '.join(f'avg({c}) AS m_{c}' for c in SIDES)} FROM st WHERE nul <> 'observed' GROUP BY clip)
+ SELECT o.clip, any_value(o.n) AS n_frames, any_value(o.n_win) AS n_win, {tests} FROM st o JOIN st p ON o.clip = p.clip AND o.nul = 'observed' AND p.nul <> 'observed' JOIN mu ON mu.clip = o.clip GROUP BY o.clip"""
+
+
+@query("handoff_test", sql("duet", hand_sql()))
 def _(spark, sf):
-    """Lag-0 correlation against rolled copies with two-sided, lower and upper p."""
-    p = L.rolled(masked_pair(spark, sf), C, F.array(*[F.lit(k) for k in [0, *SHIFTS]]))
-    c = p.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("clip", "shift").agg(*L.moments()).select("clip", "shift", L.corr_of(30).alias("r")).where(F.col("r").isNotNull())
-    o = c.where(F.col("shift") == 0).select("clip", F.col("r").alias("o"))
-    n = c.where(F.col("shift") != 0)
-    m = n.groupBy("clip").agg(F.avg("r").alias("mu"))
-    j = n.join(o, "clip").join(m, "clip")
-    pv = lambda cond: r((F.count_if(cond) + 1) / (F.count("*") + 1))
-    return j.groupBy("clip").agg(r(F.first("o")).alias("r0"), r(F.first("mu")).alias("null_mean"), pv(F.abs(F.col("r") - F.col("mu")) >= F.abs(F.col("o") - F.col("mu"))).alias("p_two"), pv(F.col("r") <= F.col("o")).alias("p_less"), pv(F.col("r") >= F.col("o")).alias("p_greater"))
+    """Lag-0 r, smallest r over the lags and shares of windows with opposed or joint movement against 200 shifts of B under a fixed mask."""
+    d = V.duet(spark, sf).select("clip", "frame", F.col("ax").alias("a"), F.col("bx").alias("b"), F.col("m00").isNotNull().alias("mask"))
+    s = R.rolled_windows(d, C, HAND_SETS, HAND_LAG, HAND_WIN, HAND_STEP, HAND_THR, 30)
+    t = R.null_tests(staged(s, "handoff"), C, SIDES)
+    return t.select("clip", "n_frames", "n_win", *[r(c).alias(c) for c in t.columns[3:]])
 
 
 ZD = """q AS (SELECT clip, """ + ", ".join(f"quantile_cont({c}, 0.5) AS m{i}, (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.35::DOUBLE AS s{i}" for i, c in enumerate(["ax", "ay", "bx", '"by"'])) + """ FROM duet GROUP BY clip),
@@ -195,10 +220,6 @@ SIM_SETS, GRID_SETS = {"shift": R.Spread(200, 60)}, {"shift": R.Spread(200, 60),
 GAP = "sqrt(power(ax - bx, 2) + power(ay - {by}, 2))"
 
 
-def spread_sql(name, spread, t="t"):
-    return f"SELECT DISTINCT clip, '{name}' AS nul, {spread.margin} + (({t} - {2 * spread.margin}) * (2 * i.range + 1)) // {2 * spread.n} AS k FROM tt, range({spread.n}) i WHERE {t} > {2 * spread.margin}"
-
-
 def sim_sql(sets, masks):
     cond = {"all": "true", "contact": f"coalesce({GAP.format(by='d.by')} < {NEAR}, false)", "apart": f"coalesce({GAP.format(by='d.by')} > {FAR}, false)",
             "floor_state": f"coalesce(ay < {LOW} AND d.by < {LOW}, false)", "not_floor": f"NOT coalesce(ay < {LOW} AND d.by < {LOW}, false)"}
