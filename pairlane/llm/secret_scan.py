@@ -24,7 +24,7 @@ JWT = re.compile(r"eyJ[A-Za-z0-9_\-]{5,}(?:\.{1,2}[A-Za-z0-9_\-]+){1,4}")
 ASSIGNMENT = re.compile(rf"(?:(?:{'|'.join(NAMES)})[A-Za-z_\-]{{0,28}}[\"']?\s{{0,3}}(?:=>|=|:)\s{{0,3}}|\bbearer\s)"
                         r"(?=\"((?:\\.|[^\"\\\n])+)\"|'((?:\\.|[^'\\\n])+)'|[\"']?([^\s\"'<>()\[\]{},;&]+))", re.I)
 ASSIGNED_CHARS = 6
-PROSE = re.compile(r"[A-Za-z]?[a-z]*(?:[\s\-'/.,:!?]+[A-Za-z]?[a-z]*)*")
+SIGNS, PROSE_WORD = re.compile(r"[\s\-'/.,:!?]+"), re.compile(r"[A-Za-z]?[a-z]*")
 LEFT, DICTIONARY_WORDS, PIECE = 48, 20_000, 4
 FEATURES = 22
 
@@ -128,6 +128,11 @@ def describe(text: str, start: int, value: str, path: str, language: Language, r
             float(any(p in lowered for p in PLACEHOLDER)), float(any(p in path.lower() for p in ("test", "example", "doc", "sample", "fixture", "mock")))]
 
 
+def prose(value: str) -> bool:
+    """Whether a value is words with no capital but the first letter, parted by spaces and common signs; linear in its length."""
+    return all(PROSE_WORD.fullmatch(w) for w in SIGNS.split(value))
+
+
 def rule_labels(text: str, start: int, value: str) -> int:
     """Label of a finding by rule, where nobody has labelled any: 1 for a published key format or web token, or mixed
     characters assigned to a credential's name; 0 for placeholders, numbers and everything that is assigned to no such name.
@@ -140,7 +145,7 @@ def rule_labels(text: str, start: int, value: str) -> int:
     name = assigned_name(left)
     if not credential(name) or value.isdigit() or len(set(value)) < min(6, len(value) // 2):
         return 0
-    if PROSE.fullmatch(value):
+    if prose(value):
         return int(left[-1:] in "\"'" and not any(c.isspace() for c in value) and any(k in name for k in ("pass", "pwd", "secret")))
     return 1
 

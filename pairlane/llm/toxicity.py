@@ -67,56 +67,46 @@ class _Rows:
         return np.bincount(self.ids, g[self.row], DIMS), float(g.sum())
 
 
-def lean(positive: list[np.ndarray], unlabelled: list[np.ndarray], weight: float = 3.0, least: float = 1.0) -> np.ndarray:
-    """How much each feature leans to the positives: the log ratio of its count among them to the count its share of
-    the unlabelled would give, both raised by `weight` to mistrust small counts; 0 below `least` or in under 3 texts."""
-    count = lambda rows: np.bincount(np.concatenate(rows), minlength=DIMS) if rows else np.zeros(DIMS)
-    p, u = count(positive), count(unlabelled)
-    r = np.log((p + weight) / (u * len(positive) / max(1, len(unlabelled)) + weight))
+def lean(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int, weight: float = 3.0, least: float = 1.0) -> np.ndarray:
+    """How much each feature leans to the positives, from its counts of texts among them (p) and the unlabelled (u): the log ratio of p, less
+    its standard error, to what the share of the unlabelled would give, both raised by `weight` to mistrust small counts; 0 below `least` or in under 3 texts.
+    Rare words that stand by toxic ones by chance thus stay out, many of which would add up in a long text."""
+    r = np.log((p - np.sqrt(p) + weight) / (u * positives / max(1, unlabelled) + weight))
     return np.where((r >= least) & (p >= 3), r, 0.0)
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int = 40, batches: int = 8, rate: float = 0.3, l2: float = 1e-3) -> np.ndarray:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, start: np.ndarray, steps: int = 40, rate: float = 0.3, l2: float = 1e-3) -> np.ndarray:
     """Weights and bias (last) of a linear scorer that minimises the non-negative PU risk
 
         prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 
-    with the logistic loss and Adagrad steps.  Where the second part is negative, a step climbs it instead, which
-    keeps the scorer from fitting the unlabelled positives as negatives.  Only features that lean to the positives
-    (`lean`) have weights; these begin at the lean and are drawn to it by `l2`.
+    with the logistic loss and Adagrad steps over the whole sample.  Where the second part is negative, a step climbs it instead, which
+    keeps the scorer from fitting the unlabelled positives as negatives; parts of the sample would be negative by chance
+    half of the time and pull true positives down.  Rows hold only features with a start above 0 (`lean`); weights begin there and are drawn to it by `l2`.
     """
-    rng = np.random.default_rng(seed)
-    w, b = np.zeros(DIMS), float(np.log(prior / (1 - prior)))
+    w, b = start.astype(float), float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
-        return np.append(w, b)
-    start = lean(positive, unlabelled)
-    used = start > 0
-    w, gw, gb = start.copy(), np.full(DIMS, 1e-8), 1e-8
-    positive, unlabelled = ([x[used[x]] for x in rows] for rows in (positive, unlabelled))
-    for _ in range(epochs):
-        pos, unl = np.array_split(rng.permutation(len(positive)), batches), np.array_split(rng.permutation(len(unlabelled)), batches)
-        for ip, iu in zip(pos, unl):
-            if not len(ip) or not len(iu):
-                continue
-            p, u = _Rows([positive[i] for i in ip]), _Rows([unlabelled[i] for i in iu])
-            sp, su = _sigmoid(p.dot(w, b)), _sigmoid(u.dot(w, b))
-            negative = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
-            dp, du = prior * -sp / p.n, su / u.n            # of the negative part
-            if negative >= 0:
-                dp = dp + prior * (sp - 1) / p.n             # and of the positive part
-            else:
-                dp, du = -dp, -du
-            (a, ab), (c, cb) = p.grad(dp), u.grad(du)
-            g, h = (a + c + l2 * (w - start)) * used, ab + cb
-            gw += g * g
-            gb += h * h
-            w -= rate * g / np.sqrt(gw)
-            b -= rate * h / gb ** 0.5
+        return np.append(np.zeros(DIMS), b)
+    p, u, used, gw, gb = _Rows(positive), _Rows(unlabelled), start > 0, np.full(DIMS, 1e-8), 1e-8
+    for _ in range(steps):
+        sp, su = _sigmoid(p.dot(w, b)), _sigmoid(u.dot(w, b))
+        negative = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
+        dp, du = prior * -sp / p.n, su / u.n                # of the negative part
+        if negative >= 0:
+            dp = dp + prior * (sp - 1) / p.n                 # and of the positive part
+        else:
+            dp, du = -dp, -du
+        (a, ab), (c, cb) = p.grad(dp), u.grad(du)
+        g, h = (a + c + l2 * (w - start)) * used, ab + cb
+        gw += g * g
+        gb += h * h
+        w = w - rate * g / np.sqrt(gw)
+        b -= rate * h / gb ** 0.5
     return np.append(w, b)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unlabelled: int = 24_000, members: int = MEMBERS) -> np.ndarray:
-    """Weights of the mean of `members` linear scorers, each learnt in its own task from its own order of the sample.
+    """Weights of the mean of `members` linear scorers, each learnt in its own task without its own part of the sample.
 
     Learns from a documented bounded sample outside the held-out fold: at most `max_positive` rows labelled toxic and
     at most `max_unlabelled` rows of any kind, as the risk asks for, taken in the order of a hash of their id.  The class prior is the toxic share
@@ -137,16 +127,37 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unl
             yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "x": [features(t, cache).astype("<i4").tobytes() for t in pdf.text]})
 
     rows = fold.select("doc_id", "text").join(sample, "doc_id").mapInPandas(extract, "doc_id long, y int, x binary")
-    rows = stage(rows, "features").withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+    rows = stage(rows, "features")
+
+    def count(frames):
+        seen = np.zeros((2, DIMS), np.int64)
+        for pdf in frames:
+            for v, y in zip(pdf.x, pdf.y):
+                seen[y, np.frombuffer(v, "<i4")] += 1
+        f = np.flatnonzero(seen.any(0))
+        yield pd.DataFrame({"f": f, "p": seen[1, f], "u": seen[0, f]})
+
+    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    seen = rows.select("y", "x").mapInPandas(count, "f int, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p >= 3").collect()      # DIMS rows at most
+    p, u = np.zeros(DIMS), np.zeros(DIMS)
+    for r in seen:
+        p[r.f], u[r.f] = r.p, r.u
+    start = lean(p, u, sizes.get(1, 0), sizes.get(0, 0))
+
+    def keep(frames):
+        for pdf in frames:
+            x = (np.frombuffer(v, "<i4") for v in pdf.x)
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "x": [v[start[v] > 0].tobytes() for v in x]})
 
     def fit(key, pdf):
         pdf = pdf.sort_values(["doc_id", "x"])
-        x = [np.frombuffer(v, "<i4") for v in pdf.x]
-        pick = lambda k: [v for v, t in zip(x, pdf.y) if t == k]
-        w = fit_nnpu(pick(1), pick(0), prior, int(key[0]))
-        return pd.DataFrame({"w": [w.astype("<f4").tobytes()]})
+        pick = lambda k: [np.frombuffer(v, "<i4") for v, t in zip(pdf.x, pdf.y) if t == k]
+        return pd.DataFrame({"w": [fit_nnpu(pick(1), pick(0), prior, start).astype("<f4").tobytes()]})
 
-    got = [np.frombuffer(r.w, "<f4") for r in rows.groupBy("member").applyInPandas(fit, "w binary").collect()]
+    part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(members))
+    parts = F.filter(F.sequence(F.lit(0), F.lit(members - 1)), lambda m: (m != part) | F.lit(members == 1))
+    kept = rows.mapInPandas(keep, "doc_id long, y int, x binary").withColumn("member", F.explode(parts))
+    got = [np.frombuffer(r.w, "<f4") for r in kept.groupBy("member").applyInPandas(fit, "w binary").collect()]
     return np.mean(got, axis=0) if got else np.zeros(DIMS + 1, np.float32)
 
 
