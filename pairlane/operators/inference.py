@@ -144,7 +144,8 @@ def max_side_moments(n: pd.Series) -> pd.DataFrame:
 def fit_camera_rounds(df: DataFrame, rounds: int = 8) -> DataFrame:
     """Which of two image tracks belongs to which of two 3-D bodies, frame by frame.  Alternates a
     projective camera per clip (smallest eigenvector of the 12 x 12 normal matrix, summed by Spark) with
-    the cheaper of the two assignments.  Input: clip, frame, l (x, y, z), f (x, y, z), p (x, y), q (x, y)."""
+    the cheaper of the two assignments.  Input: clip, frame, l (x, y, z), f (x, y, z), p (x, y), q (x, y).  `converged` says whether
+    the last round changed no assignment of the clip; rounds end early when it changed none at all."""
     from .ordered import cut_lineage
     idx = [(i, j) for i in range(12) for j in range(i, 12)]
 
@@ -177,9 +178,9 @@ def fit_camera_rounds(df: DataFrame, rounds: int = 8) -> DataFrame:
         l, f, p, q = (F.col(c) for c in "lfpq")
         e = cur.join(cam, "clip").select("clip", "frame", "l", "f", "p", "q", "lead", (err(l, p) + err(f, q)).alias("a"), (err(l, q) + err(f, p)).alias("b"))
         nxt = cut_lineage(e.withColumn("new", F.coalesce(F.col("a") <= F.col("b"), F.lit(True))))
-        done = nxt.where(F.col("new") != F.col("lead")).limit(1).count() == 0
-        out = nxt.select("clip", "frame", F.col("new").alias("lead"), (F.least("a", "b") / 2).alias("res"), (F.greatest("a", "b") / 2).alias("res_other"))
-        if done:
+        still = nxt.groupBy("clip").agg(F.bool_and(F.col("new") == F.col("lead")).alias("converged"))
+        out = nxt.join(still, "clip").select("clip", "frame", F.col("new").alias("lead"), (F.least("a", "b") / 2).alias("res"), (F.greatest("a", "b") / 2).alias("res_other"), "converged")
+        if nxt.where(F.col("new") != F.col("lead")).isEmpty():
             return out
         cur = nxt.select("clip", "frame", "l", "f", "p", "q", F.col("new").alias("lead"))
     return out

@@ -50,8 +50,9 @@ def peak(lc: DataFrame, keys: list[str], fps: float) -> DataFrame:
 
 
 def shift_table(n: int, lo: int, hi: int) -> list[int]:
-    """n circular shifts spread evenly over [lo, hi), alternating sign."""
-    return [(-1) ** i * (lo + int((hi - lo) * (i + 0.5) / n)) for i in range(n)]
+    """n circular shifts spread evenly over [lo, hi), alternating sign; all distinct, so fewer where the range holds fewer."""
+    n = min(n, 2 * (hi - lo))
+    return list(dict.fromkeys((-1) ** i * (lo + int((hi - lo) * (i + 0.5) / n)) for i in range(n)))
 
 
 def rolled(df: DataFrame, keys, shifts: Column, keep=("a", "mask")) -> DataFrame:
@@ -86,12 +87,40 @@ def null_summary(peaks: DataFrame, keys, min_null=10) -> DataFrame:
                     F.when(ok, (F.abs("r_obs") - F.col("_m")) / (F.col("_s") + 1e-12)).alias("z"), F.when(ok, F.col("null_95")).alias("null_95"))
 
 
-SHIFT_GROUP = 32
-_SUMS = T.ArrayType(T.StructType([T.StructField("shift", T.IntegerType()), T.StructField("lag", T.IntegerType())] + [T.StructField(m, T.DoubleType()) for m in MOMENTS]))
+SHIFT_GROUP, FEW_LAGS = 32, 8
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out over all shuffle partitions by `keys`: few bytes, but much work each, which size alone would gather in a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def batched(parts, rows: int = 100_000):
+    """The frames of `parts` joined to ones of about `rows` rows, as each costs a fixed time to hand over."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += len(p)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
 
 
 def moment_sums(a: np.ndarray, b: np.ndarray, max_lag: int) -> list[np.ndarray]:
-    """MOMENTS of the pairs (a[t], b[s, t + lag]) for each row s of b and each lag, NaN meaning missing, by FFT."""
+    """MOMENTS of the pairs (a[t], b[s, t + lag]) for each row s of b and each lag, NaN meaning missing: by products where lags are few, else by FFT."""
+    if max_lag <= FEW_LAGS:
+        n, have_a = a.shape[-1], np.isfinite(a)
+        x = np.where(have_a, a, 0.0)
+        left = np.stack([have_a.astype(float), x, x * x], axis=-1)
+        wide = np.pad(b, [(0, 0), (max_lag, max_lag)], constant_values=np.nan)
+        have = np.isfinite(wide)
+        y, have = np.where(have, wide, 0.0), have.astype(float)
+        at = lambda v, k: v[:, max_lag + k:max_lag + k + n]
+        rows = [(at(have, k) @ left, at(y, k) @ left[:, :2], at(y * y, k) @ left[:, 0]) for k in range(-max_lag, max_lag + 1)]
+        pick = lambda f: np.stack([f(*r) for r in rows], axis=-1)
+        return [np.round(pick(lambda h, y, z: h[:, 0])), pick(lambda h, y, z: h[:, 1]), pick(lambda h, y, z: y[:, 0]), pick(lambda h, y, z: h[:, 2]), pick(lambda h, y, z: z), pick(lambda h, y, z: y[:, 1])]
     size = 1 << int(np.ceil(np.log2(a.shape[-1] + max_lag + 1)))
     have_a, have_b = np.isfinite(a), np.isfinite(b)
     x, y = np.where(have_a, a, 0.0), np.where(have_b, b, 0.0)
@@ -129,25 +158,26 @@ def shift_null(df: DataFrame, keys, fps, max_lag, shifts: list[int], min_pairs=5
     task = task.select(*keys, "_c", "_t", "_u0", "_u1", "_g", "_ks", F.explode(need).alias("_k")).join(right, [*keys, "_k"])
     task = task.groupBy(*keys, "_c", "_g", "_u0", "_u1", "_ks").agg(F.flatten(F.collect_list("_b")).alias("_b")).join(left, [*keys, "_c"])
 
-    @F.pandas_udf(_SUMS)
-    def kernel(t: pd.Series, u0: pd.Series, u1: pd.Series, ks: pd.Series, fa: pd.Series, va: pd.Series, fb: pd.Series, vb: pd.Series) -> pd.Series:
-        out = []
-        for n, lo, hi, k, f, v, g, w in zip(t, u0, u1, ks, fa, va, fb, vb):
-            a, seen = np.full(hi - lo + 1, np.nan), np.zeros(hi - lo + 1, bool)
-            f, g, k = np.asarray(f) - lo, np.asarray(g), np.asarray(k)
-            a[f], seen[f] = v, True
-            order = np.argsort(g)
-            g, w = g[order], np.asarray(w, float)[order]
-            source = (np.arange(lo, hi + 1)[None] - k[:, None]) % n
-            at = np.minimum(np.searchsorted(g, source), len(g) - 1)
-            b = np.where((g[at] == source) & seen[None], w[at], np.nan)
-            sums = moment_sums(a, b, max_lag)
-            s, lag = np.nonzero(sums[0])
-            out.append([{"shift": int(k[i]), "lag": int(j) - max_lag, **{m: float(v[i, j]) for m, v in zip(MOMENTS, sums)}} for i, j in zip(s, lag)])
-        return pd.Series(out)
-
-    part = lambda c, f: F.transform(c, lambda x: x[f])
-    sums = task.select(*keys, F.explode(kernel("_t", "_u0", "_u1", "_ks", part("_a", "frame"), part("_a", "v"), part("_b", "frame"), part("_b", "v"))).alias("p")).select(*keys, "p.*")
+    part = lambda c, f: F.col(f"{c}.{f}")
+    task = task.select(*keys, "_t", "_u0", "_u1", "_ks", part("_a", "frame").alias("_fa"), part("_a", "v").alias("_va"), part("_b", "frame").alias("_fb"), part("_b", "v").alias("_vb"))
+
+    def kernel(frames):
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                lo, hi, k = int(row["_u0"]), int(row["_u1"]), np.asarray(row["_ks"])
+                a, seen, f, g = np.full(hi - lo + 1, np.nan), np.zeros(hi - lo + 1, bool), np.asarray(row["_fa"]) - lo, np.asarray(row["_fb"])
+                a[f], seen[f] = row["_va"], True
+                order = np.argsort(g)
+                g, w = g[order], np.asarray(row["_vb"], float)[order]
+                source = (np.arange(lo, hi + 1)[None] - k[:, None]) % int(row["_t"])
+                at = np.minimum(np.searchsorted(g, source), len(g) - 1)
+                sums = moment_sums(a, np.where((g[at] == source) & seen[None], w[at], np.nan), max_lag)
+                s, lag = np.nonzero(sums[0])
+                yield pd.DataFrame({**{c: [row[c]] * len(s) for c in keys}, "shift": k[s], "lag": lag - max_lag, **{m: v[s, lag] for m, v in zip(MOMENTS, sums)}})
+
+    task = spread_out(task, *keys, "_u0", "_ks")
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys) + ", shift int, lag int, " + ", ".join(f"{m} double" for m in MOMENTS)
+    sums = task.mapInPandas(lambda frames: batched(kernel(frames)), schema)
     lc = sums.groupBy(*keys, "shift", "lag").agg(*[F.sum(m).alias(m) for m in MOMENTS]).select(*keys, "shift", "lag", "n", corr_of(min_pairs, 1e-9).alias("r"))
     some = df.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(k) for k in ks])).alias("shift"))
     return some.join(peak(lc, [*keys, "shift"], fps), [*keys, "shift"], "left")

@@ -25,8 +25,9 @@ from .views_sql import with_views as sql
 from .windows import LEN, WIN_SQL, frames
 
 C = ["clip"]
-SHIFTS = L.shift_table(20, 20, 300)          # weeks
-LOCAL = L.shift_table(20, 6, 20)
+SHIFTS = L.shift_table(500, 20, 300)         # weeks
+LOCAL = L.shift_table(500, 6, 20)            # every shift of the range, both ways
+CIRC, STATE_SHIFTS = L.shift_table(200, 10, 120), L.shift_table(100, 6, 34)
 
 
 def lc_sql(src, max_lag, min_n, keys="clip"):
@@ -84,7 +85,8 @@ def null_sql(src, shifts, max_lag, min_n, keys="clip"):
     return (f"sh(k) AS (VALUES {ks}), tt AS (SELECT {keys}, max(frame) + 1 AS t FROM {src} GROUP BY {keys}), "
             f"rb AS (SELECT {pre('s')}, k, ((s.frame + k) % t + t) % t AS frame, b FROM {src} s JOIN tt ON {on('s', 'tt')}, sh WHERE b IS NOT NULL), "
             f"ra AS (SELECT {keys}, frame, a FROM {src} WHERE mask AND a IS NOT NULL), rm AS (SELECT {pre('rb')}, k, rb.frame, rb.b FROM rb JOIN {src} m ON {on('rb', 'm')} AND rb.frame = m.frame AND m.mask), "
-            f"lm AS (SELECT {pre('x')}, y.k, y.frame - x.frame AS lag, count(*) AS n, sum(x.a) AS sx, sum(y.b) AS sy, sum(x.a*x.a) AS sxx, sum(y.b*y.b) AS syy, sum(x.a*y.b) AS sxy FROM ra x JOIN rm y ON {on('x', 'y')} AND y.frame BETWEEN x.frame - {max_lag} AND x.frame + {max_lag} GROUP BY ALL), "
+            f"yl AS (SELECT rm.*, l.range - {max_lag} AS lag, frame - (l.range - {max_lag}) AS at FROM rm, range({2 * max_lag + 1}) l), "
+            f"lm AS (SELECT {pre('x')}, y.k, y.lag, count(*) AS n, sum(x.a) AS sx, sum(y.b) AS sy, sum(x.a*x.a) AS sxx, sum(y.b*y.b) AS syy, sum(x.a*y.b) AS sxy FROM yl y JOIN ra x ON {on('x', 'y')} AND x.frame = y.at GROUP BY ALL), "
             f"lc AS (SELECT {keys}, k, lag, CASE WHEN n >= {min_n} THEN (sxy - sx*sy/n) / sqrt((sxx - sx*sx/n) * (syy - sy*sy/n)) END AS r FROM lm), "
             f"pk AS (SELECT {keys}, k, arg_min(r, {{'m': -abs(r), 'l': lag}}) FILTER (r IS NOT NULL) AS r, arg_min(lag, {{'m': -abs(r), 'l': lag}}) FILTER (r IS NOT NULL) AS lag FROM lc GROUP BY ALL), "
             f"ns AS (SELECT {pre('o')}, any_value(o.r) AS r_obs, any_value(o.lag) AS lag_obs, count(*) AS n_null, CASE WHEN count(*) >= 10 THEN (count(*) FILTER (abs(p.r) >= abs(o.r)) + 1) / (count(*) + 1) END AS p, CASE WHEN count(*) >= 10 THEN (any_value(abs(o.r)) - avg(abs(p.r))) / (stddev_pop(abs(p.r)) + 1e-12::DOUBLE) END AS z, CASE WHEN count(*) >= 10 THEN quantile_cont(abs(p.r), 0.95) END AS null_95 "
@@ -107,13 +109,13 @@ def _(spark, sf):
     return ns_out(L.null_summary(L.shift_null(masked_pair(spark, sf), C, 1.0, 3, SHIFTS), C), C)
 
 
-@query("surrogate_circ", sql("pair", "mp AS (SELECT clip, CAST(row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS INT) AS frame, a, b, true AS mask FROM pair WHERE a IS NOT NULL AND b IS NOT NULL), " + null_sql("mp", L.shift_table(20, 10, 120), 3, 30) + f" SELECT clip, {NS_COLS} FROM ns"))
+@query("surrogate_circ", sql("pair", "mp AS (SELECT clip, CAST(row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS INT) AS frame, a, b, true AS mask FROM pair WHERE a IS NOT NULL AND b IS NOT NULL), " + null_sql("mp", CIRC, 3, 30) + f" SELECT clip, {NS_COLS} FROM ns"))
 def _(spark, sf):
     """Circular shifts of the gap-dropped series."""
     from pairlane.operators.ordered import running
     d = V.pair(spark, sf).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     d = running(d, C, {"_i": ("sum", F.lit(1))}).select("clip", (F.col("_i") - 1).cast("int").alias("frame"), "a", "b", F.lit(True).alias("mask"))
-    return ns_out(L.null_summary(L.shift_null(d, C, 1.0, 3, L.shift_table(20, 10, 120), 30), C), C)
+    return ns_out(L.null_summary(L.shift_null(d, C, 1.0, 3, CIRC, 30), C), C)
 
 
 BAT = """t0 AS (SELECT *, a - avg(a) OVER w AS la, b - avg(b) OVER w AS lb, abs(a - b) AS dd FROM pair WINDOW w AS (PARTITION BY clip ORDER BY frame RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
@@ -153,7 +155,7 @@ def _(spark, sf):
 
 
 @query("coupling_by_state", sql("pair", "mp AS (SELECT clip, CASE WHEN a > b THEN 'up' ELSE 'down' END AS state, frame, a, b, true AS mask FROM pair WHERE a IS NOT NULL AND b IS NOT NULL), mr AS (SELECT clip, state, CAST(row_number() OVER (PARTITION BY clip, state ORDER BY frame) - 1 AS INT) AS frame, a, b, mask FROM mp), "
-             + null_sql("mr", L.shift_table(12, 6, 34), 2, 30, "clip, state") + f", n AS (SELECT clip, state, count(*) AS n_frames FROM mr GROUP BY 1, 2) SELECT n.clip, n.state, n_frames, {NS_COLS} FROM ns JOIN n USING (clip, state) WHERE n_frames >= 40"))
+             + null_sql("mr", STATE_SHIFTS, 2, 30, "clip, state") + f", n AS (SELECT clip, state, count(*) AS n_frames FROM mr GROUP BY 1, 2) SELECT n.clip, n.state, n_frames, {NS_COLS} FROM ns JOIN n USING (clip, state) WHERE n_frames >= 40"))
 def _(spark, sf):
     """Coupling and null restricted to each state, frames dropped jointly."""
     from pairlane.operators.ordered import running
@@ -161,7 +163,7 @@ def _(spark, sf):
     d = V.pair(spark, sf).where(F.col("a").isNotNull() & F.col("b").isNotNull()).withColumn("state", F.when(F.col("a") > F.col("b"), "up").otherwise("down"))
     d = running(d, k, {"_i": ("sum", F.lit(1))}).select(*k, (F.col("_i") - 1).cast("int").alias("frame"), "a", "b", F.lit(True).alias("mask"))
     n = d.groupBy(*k).agg(F.count("*").alias("n_frames")).where(F.col("n_frames") >= 40)
-    s = L.null_summary(L.shift_null(d, k, 1.0, 2, L.shift_table(12, 6, 34), 30), k)
+    s = L.null_summary(L.shift_null(d, k, 1.0, 2, STATE_SHIFTS, 30), k)
     return ns_out(s, k).join(n, k)
 
 
@@ -597,4 +599,4 @@ def _(spark, sf):
     pick = lambda c, i: F.struct(F.get(c, F.lit(i))["x"].alias("x"), F.get(c, F.lit(i))["y"].alias("y"), F.get(c, F.lit(i))["z"].alias("z"))
     img = lambda c, i, j: F.struct((F.get(c, F.lit(i))["x"] + 0.1 * F.get(c, F.lit(j))["z"]).alias("x"), (F.get(c, F.lit(i))["y"] - 0.1 * F.get(c, F.lit(j))["x"]).alias("y"))
     d = m.select("clip", "frame", pick("a", 13).alias("l"), pick("b", 13).alias("f"), img("a", 13, 13).alias("p"), img("b", 13, 13).alias("q"))
-    return I.fit_camera_rounds(d, 4).select("clip", "frame", "lead", r("res", 4).alias("res"), r("res_other", 4).alias("res_other"))
+    return I.fit_camera_rounds(d).select("clip", "frame", "lead", r("res", 4).alias("res"), r("res_other", 4).alias("res_other"), "converged")

@@ -65,15 +65,15 @@ VEL = """vel AS (SELECT clip, body, frame, (lead(x0) OVER w - lag(x0) OVER w) /
 
 
 @query("sparc", sql("duet track", VEL + f""", sw AS (SELECT clip, body, wid, row_number() OVER (PARTITION BY clip, body, wid ORDER BY frame) - 1 AS i, speed FROM vc),
- tw AS (SELECT k.range AS k, i.range AS i, cos(2 * pi() * k.range * i.range / 256) AS c, sin(2 * pi() * k.range * i.range / 256) AS s FROM range(154) k, range(40) i),
+ tw AS (SELECT k.range AS k, i.range AS i, cos(2 * pi() * k.range * i.range / 1024) AS c, sin(2 * pi() * k.range * i.range / 1024) AS s FROM range(615) k, range(40) i),
  sp_ AS (SELECT clip, body, wid, k, sqrt(power(sum(speed * c), 2) + power(sum(speed * s), 2)) AS m FROM sw JOIN tw USING (i) GROUP BY clip, body, wid, k),
- nm AS (SELECT *, m / max(m) OVER (PARTITION BY clip, body, wid) AS mm, k * 10 / 256.0::DOUBLE AS f FROM sp_),
+ nm AS (SELECT *, m / max(m) OVER (PARTITION BY clip, body, wid) AS mm, k * 10 / 1024.0::DOUBLE AS f FROM sp_),
  lim AS (SELECT clip, body, wid, min(f) FILTER (mm >= 0.05) AS f0, max(f) FILTER (mm >= 0.05) AS f1 FROM nm GROUP BY clip, body, wid),
  ar AS (SELECT clip, body, wid, f1 - f0 AS span, f - lag(f) OVER w AS df, mm - lag(mm) OVER w AS dm FROM nm JOIN lim USING (clip, body, wid) WHERE f BETWEEN f0 AND f1 WINDOW w AS (PARTITION BY clip, body, wid ORDER BY f))
  SELECT clip, body, wid, {rr('-sum(sqrt(power(df / span, 2) + power(dm, 2)))', 5)} AS sparc FROM ar GROUP BY clip, body, wid"""))
 def _(spark, sf):
     d = complete_windows(spark, sf).groupBy("clip", "body", "wid").agg(F.sort_array(F.collect_list(F.struct("frame", "speed"))).alias("s"))    # at most LEN rows
-    d = d.where(F.size("s") == LEN).select("clip", "body", "wid", WN.sparc_udf(FPS, pad=2)(F.transform("s", lambda x: x["speed"])).alias("sparc"))
+    d = d.where(F.size("s") == LEN).select("clip", "body", "wid", WN.sparc_udf(FPS)(F.transform("s", lambda x: x["speed"])).alias("sparc"))
     return d.select("clip", "body", "wid", r("sparc", 5).alias("sparc"))
 
 

@@ -46,7 +46,7 @@ def _(spark, sf):
 def worded(spark, sf, k=6):
     d = imputed(spark, sf)
     z = WD.zscore(d, COLS, WD.zscore_fit(d, COLS))
-    fit = WD.fit_words(z, COLS, k, n_init=3)
+    fit = WD.fit_words(z, COLS, k)
     return WD.apply_words(z, COLS, fit), fit
 
 
@@ -71,7 +71,7 @@ def _(spark, sf):
     med = WD.medians(a, COLS)
     da = WD.impute(a, COLS, med)
     fit = WD.zscore_fit(da, COLS)
-    voc = WD.fit_words(WD.zscore(da, COLS, fit), COLS, 6, n_init=3)
+    voc = WD.fit_words(WD.zscore(da, COLS, fit), COLS, 6)
     b = WD.zscore(WD.impute(f.where(F.col("body") == "B"), COLS, med), COLS, fit)
     return WD.apply_words(b, COLS, voc).groupBy("clip", "word").agg(F.count("*").alias("n"))
 
