@@ -8,18 +8,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import CACHE_ENTRIES, stage
+from .common import stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 DIMS = 1 << 18
 MEMBERS = 3
+#: Words whose features a worker remembers.
+HELD_WORDS = 1 << 16
 
 
 class WordFeatures(dict):
     """Feature numbers of a raw word: each of its letter runs, lower-cased, whole and by first 4, 5 and 6 letters."""
 
     def __missing__(self, raw: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= HELD_WORDS:
             self.clear()
         names = set()
         for w in LETTERS.findall(raw.lower()):
@@ -122,9 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unl
     sample = stage(pos.union(unl), "sample")
 
     def extract(frames):
-        cache = WordFeatures()
         for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "x": [features(t, cache).astype("<i4").tobytes() for t in pdf.text]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "x": [features(t, _WORDS).astype("<i4").tobytes() for t in pdf.text]})
 
     rows = fold.select("doc_id", "text").join(sample, "doc_id").mapInPandas(extract, "doc_id long, y int, x binary")
     rows = stage(rows, "features")
