@@ -24,19 +24,22 @@ def _(spark, sf):
     return e.select("user_id", F.unix_micros("t0").alias("t0_us"), F.unix_micros("t1").alias("t1_us"), "n")
 
 
-@query("stream_states", sql("sym", "SELECT event_id, user_id, \"on\" FROM (SELECT e.event_id, e.user_id, e.ts, coalesce(last_value(CASE WHEN e.value > 40 THEN false WHEN e.value < 10 THEN true END IGNORE NULLS) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id), false) AS \"on\" FROM events e) WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"))
+@query("stream_states", sql("sym", "SELECT event_id, user_id, \"on\" FROM (SELECT e.event_id, e.user_id, e.ts, coalesce(last_value(CASE WHEN e.value > 40 THEN false WHEN e.value < 10 THEN true END IGNORE NULLS) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id), false) AS \"on\" FROM events e)"))
 def _(spark, sf):
-    return T.run_to_files(T.states(T.events(spark, sf)), "states")
+    """The state after every event; a closing row releases the last ten minutes."""
+    ev, end = T.with_closing_row(T.events(spark, sf), V.table(spark, sf, "events"))
+    return T.run_to_files(T.states(ev).where("user_id IS NOT NULL"), "states", end=end)
 
 
 @query("stream_two_slot_assign")
 def _(spark, sf):
-    """Detections written as files, read as a stream, tracked with state."""
+    """Detections written as files, read as a stream, tracked with state; closing rows, written last, end every clip."""
     from pairlane.sources.scratch import scratch
     p = scratch(spark, "det")
     d = V.detections(spark, sf).select("clip", "frame", "track_id", "cx", "cy", "x1", "y1", "x2", "y2")
     d.write.parquet(p)
-    return T.run_to_files(T.two_slots(spark.readStream.schema(d.schema).parquet(p)), "slots")
+    end = lambda: T.closing_frames(spark.read.schema(d.schema).parquet(p)).write.mode("append").parquet(p)
+    return T.run_to_files(T.two_slots(spark.readStream.schema(d.schema).parquet(p)), "slots", end=end)
 
 
 @query("stream_graph_metrics", "WITH " + WM + """, n AS (SELECT event_type AS clip, CAST(floor((epoch(ts) - 1704067200) / 3600) AS INT) AS frame, user_id AS id, avg(value) AS x, avg(CAST(json_extract(props, '$.k') AS DOUBLE)) AS y FROM events, wm WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= w GROUP BY 1, 2, 3),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import pickle
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,12 +25,36 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_files(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def with_closing_row(ev: DataFrame, table: DataFrame, delay="10 minutes") -> tuple[DataFrame, Callable]:
+    """The event stream of a bounded table with a second file source behind it, and the `end` for `run_to_files` that writes one row there.
+
+    The row's time lies `delay` and a second past the table's last, so the watermark passes every event and states and windows
+    release their tails.  It names no user or event, so results drop it by `user_id IS NOT NULL`.
+    """
+    path = scratch(ev.sparkSession, "closing")
+    last = table.agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).where("ts IS NOT NULL").select((F.col("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 SECOND")).alias("ts"))
+    row = last.select(*[F.col("ts") if c == "ts" else F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in ev.columns])
+    row.limit(0).write.parquet(path)                       # the source must exist before its row does
+    return ev.union(ev.sparkSession.readStream.schema(ev.schema).parquet(path)), lambda: row.write.mode("append").parquet(path)
+
+
+def closing_frames(det: DataFrame) -> DataFrame:
+    """One row a clip, in the frame after its last and without track or box, that closes the clip's last frame in a stream."""
+    end = det.groupBy("clip").agg((F.max("frame") + 1).cast(det.schema["frame"].dataType).alias("frame"))
+    return end.select(*[F.col(c) if c in ("clip", "frame") else F.lit(None).cast(det.schema[c].dataType).alias(c) for c in det.columns])
+
+
+def run_to_files(df: DataFrame, name: str, mode: str = "append", end: Callable | None = None) -> DataFrame:
+    """Run a stream over all that is there and read its output back.  `end` is called when everything has been read; it writes closing
+    rows to a source of the stream, which then goes on from its checkpoint and meets them last, whatever the micro-batches were."""
     spark = df.sparkSession
     out = scratch(spark, name)
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state")
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+    for before in (None, end) if end else (None,):
+        if before:
+            before()
+        q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state")
+             .outputMode(mode).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -51,7 +76,7 @@ def states(ev: DataFrame, on_below=10.0, off_above=40.0, delay="10 minutes") ->
 
     Rows wait in the state until the watermark has passed them and are then taken in (ts, event_id) order, whatever
     micro-batch they came in; rows later than the watermark are dropped and counted by the query's progress
-    (numRowsDroppedByWatermark).  At the end of the input the last `delay` stays unreleased.
+    (numRowsDroppedByWatermark).  At the end of the input the last `delay` stays unreleased; `with_closing_row` ends a bounded input.
     """
     def step(key, batches, state):
         on, held = pickle.loads(state.get[0]) if state.exists else (False, [])
@@ -76,6 +101,7 @@ def two_slots(det: DataFrame, max_dist=60.0, fps=1.0) -> DataFrame:
 
     A frame is closed, and tracked, when a later frame of its clip arrives; until then its rows wait in the state, so a frame
     that is split over micro-batches is tracked once and whole.  Rows of a frame already closed are counted in n_late.
+    A bounded input ends with `closing_frames`, which are held and never tracked.
     """
     def step(key, batches, state):
         tr, last, held, late = pickle.loads(state.get[0]) if state.exists else (TwoSlots(max_dist, 1 / fps), None, [], 0)
