@@ -17,24 +17,36 @@ def proximity_edges(det: DataFrame, edge_bl: float, min_conf: float = 0.3) -> Da
     return grid_join(side("a"), side("b"), ["clip", "frame"], F.col("radius")).where(F.col("id_a") < F.col("id_b")).select("clip", "frame", "id_a", "id_b", "d")
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataFrame:
-    """Connected components inside each key group: keys, id, comp (smallest id).  Labels move to the
-    smallest neighbour label and then jump along their own label, so rounds grow with the logarithm of
-    the path length; groups are never gathered in one task."""
+def _onward(moves: DataFrame, keys: list[str]) -> DataFrame:
+    """Each move (comp to _to) followed by the move of the label that it leads to."""
+    then = moves.select(*keys, F.col("comp").alias("_to"), F.col("_to").alias("_on"))
+    return moves.join(then, [*keys, "_to"], "left").select(*keys, "comp", F.coalesce("_on", "_to").alias("_to"))
+
+
+def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Connected components inside each key group: keys, id, comp (smallest id).
+
+    Each round every label moves as a whole to the smallest label that one of its members or their neighbours has, and all
+    moves are followed to their end.  Labels with a smaller neighbour thus vanish, so labels halve in two rounds and
+    rounds, like the steps that follow the moves, grow with the logarithm of a path.  Rounds end when nothing moves;
+    groups are never gathered in one task.
+    """
     both = edges.select(*keys, F.col("id_a").alias("id"), F.col("id_b").alias("nb")).unionByName(edges.select(*keys, F.col("id_b").alias("id"), F.col("id_a").alias("nb")))
     both = cut_lineage(both)
     # only nodes with an edge take part in the rounds
-    lab = cut_lineage(both.select(*keys, "id").distinct().withColumn("comp", F.col("id")))
-    for _ in range(max_rounds):
-        best = both.join(lab.withColumnRenamed("id", "nb"), [*keys, "nb"]).groupBy(*keys, "id").agg(F.min("comp").alias("_m"))
-        nxt = lab.join(best, [*keys, "id"], "left").select(*keys, "id", F.col("comp").alias("_old"), F.least("comp", "_m").alias("comp"))
-        hop = nxt.select(*keys, F.col("id").alias("comp"), F.col("comp").alias("_j"))
-        nxt = cut_lineage(nxt.join(hop, [*keys, "comp"]).select(*keys, "id", "_old", F.least("comp", "_j").alias("comp")))
-        changed = nxt.where(F.col("_old") != F.col("comp")).limit(1).count()
-        lab = nxt.drop("_old")
-        if not changed:
+    lab = cut_lineage(both.groupBy(*keys, "id").agg(F.min("nb").alias("_m")).select(*keys, "id", F.least("id", "_m").alias("comp")))
+    while True:
+        near = both.join(lab.withColumnRenamed("id", "nb"), [*keys, "nb"]).groupBy(*keys, "id").agg(F.min("comp").alias("_m"))
+        moves = cut_lineage(lab.join(near, [*keys, "id"]).groupBy(*keys, "comp").agg(F.min(F.least("comp", "_m")).alias("_to")))
+        if moves.where("_to <> comp").isEmpty():
             return nodes.select(*keys, "id").join(lab, [*keys, "id"], "left").withColumn("comp", F.coalesce("comp", "id"))
-    raise RuntimeError("components did not converge")
+        while True:
+            ends = cut_lineage(_onward(_onward(moves, keys), keys))
+            settled = ends.join(moves, [*keys, "comp", "_to"], "left_anti").isEmpty()
+            moves = ends
+            if settled:
+                break
+        lab = cut_lineage(lab.join(moves, [*keys, "comp"]).select(*keys, "id", F.col("_to").alias("comp")))
 
 
 def frame_metrics(nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> DataFrame:

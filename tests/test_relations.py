@@ -107,6 +107,16 @@ def test_range_and_grid_joins(spark):
     assert got == {(i, j) for i in range(30) for j in range(30) if np.hypot(*(xy[i] - xy[30 + j])) < 4}
 
 
+def test_components_of_long_paths(spark):
+    """Shuffled ids, ascending ids, and the smallest id at the far end; two groups use the same ids."""
+    g = np.random.default_rng(11)
+    paths = {0: g.permutation(120), 1: np.arange(120), 2: np.r_[np.arange(1, 100), 0]}
+    edges = spark.createDataFrame([(f, int(x), int(y)) for f, p in paths.items() for x, y in zip(p[:-1], p[1:])], "frame int, id_a long, id_b long")
+    nodes = spark.createDataFrame([(f, int(x)) for f, p in paths.items() for x in p] + [(3, 5)], "frame int, id long")
+    got = {(r.frame, r.id): r.comp for r in GR.components(nodes, edges, ["frame"]).collect()}
+    assert got == {(f, int(x)): 0 for f, p in paths.items() for x in p} | {(3, 5): 5}
+
+
 def test_components_and_metrics(spark):
     e = [(0, 1), (1, 2), (2, 3), (5, 6)]
     nodes = spark.createDataFrame([(0, 0, i) for i in range(8)], "clip int, frame int, id long")
