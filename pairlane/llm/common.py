@@ -128,12 +128,18 @@ def chunks(texts, chars: int = 4_000_000):
         yield held
 
 
+def _followed(moves: DataFrame) -> DataFrame:
+    """Each move (comp to hook) followed by the move of the label that it leads to."""
+    then = moves.select(F.col("comp").alias("hook"), F.col("hook").alias("on"))
+    return moves.join(then, "hook", "left").select("comp", F.coalesce("on", "hook").alias("hook"))
+
+
 def components(edges: DataFrame, rows_a_file: int = 200_000) -> DataFrame:
     """Connected components of edges (a, b): id, comp = the smallest id reachable.
 
-    Each round hooks every label as a whole to the smallest label that its members or their neighbours have, and then lets each
-    node follow its new label's own new label.  An old root thus learns what its members met, and nothing walks back
-    hop by hop.  Rounds go on until no label moves, which only one label a component allows; labels are staged, in
+    Each round hooks every label as a whole to the smallest label that its members or their neighbours have, and follows all
+    hooks to their end.  Every label with a smaller neighbour vanishes, so labels halve in two rounds, and rounds and
+    following steps grow with the logarithm of a path.  Rounds go on until no label moves; labels are staged, in
     files of about `rows_a_file` rows, and no group is gathered.
     """
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -144,9 +150,15 @@ def components(edges: DataFrame, rows_a_file: int = 200_000) -> DataFrame:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
         hooks = labels.join(near, "id").groupBy("comp").agg(F.min(F.least("comp", "m")).alias("hook"))
         hooks = stage(hooks.coalesce(files), "hooks")
-        jump = hooks.join(labels.select(F.col("id").alias("hook"), F.col("comp").alias("of")), "hook")
-        jump = jump.join(hooks.select(F.col("comp").alias("of"), F.col("hook").alias("via")), "of").select("comp", F.least("hook", "via").alias("to"))
-        moved = stage(labels.join(jump, "comp").select("id", F.col("comp").alias("old"), F.col("to").alias("comp")).coalesce(files), "labels")
-        labels = moved.select("id", "comp")
-        if moved.where("old <> comp").isEmpty():
+        if hooks.where("hook <> comp").isEmpty():
+            drop_staged(both, hooks)
             return labels
+        while True:
+            ends = stage(_followed(_followed(hooks)).coalesce(files), "hooks")
+            settled = ends.join(hooks, ["comp", "hook"], "left_anti").isEmpty()
+            drop_staged(hooks)
+            hooks = ends
+            if settled:
+                break
+        moved = labels.join(hooks, "comp").select("id", F.col("hook").alias("comp"))
+        labels = stage_dropping(moved.coalesce(files), "labels", labels, hooks)
