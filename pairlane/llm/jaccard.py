@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WordHash, chunks, components, hashes, mix, shingle_set, stage, words_of
+from .common import WordHash, chunks, components, drop_staged, hashes, mix, shingle_set, stage, stage_dropping, words_of
 
 BUCKETS = 1 << 16
 BLOCK = 256
@@ -213,6 +213,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     posts = full.join(heads, ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("i", "tok"))
     shared = posts.groupBy("tok").agg(F.count("*").alias("c"), F.min("gid").alias("hub")).where("c > 1").select("tok", "hub")
     posts = stage(posts.join(shared, "tok"), "postings")
+    # the end needs no prefixes: they are the bulk of the rows
+    rows = stage_dropping(rows.select("doc_id", "n", "h1", "h2"), "ids", rows)
 
     hubs = posts.where("gid = hub").select("tok", F.col("gid").alias("hid"), F.col("n").alias("hn"), F.col("i").alias("hi"))
     star = posts.join(hubs, "tok").where((F.col("gid") > F.col("hid")) & rules.sizes("n", "hn") & rules.positions("n", "hn", "i", "hi"))
@@ -224,26 +226,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     comp, cluster = components(links), components(star)
 
     members = cluster.select(F.col("comp").alias("cluster"), F.col("id").alias("doc_id")).join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    links = links.union(block_links(members, sets, threshold))
+    links = stage_dropping(links.union(block_links(members, sets, threshold)), "links", links, sets, star)
 
-    posts = posts.drop("hub").join(cluster.select(F.col("id").alias("gid"), F.col("comp").alias("cl")), "gid", "left").withColumn("cl", F.coalesce("cl", "gid"))
-    posts = stage(posts, "postings")
+    posts = stage_dropping(posts.drop("hub").join(cluster.select(F.col("id").alias("gid"), F.col("comp").alias("cl")), "gid", "left").withColumn("cl", F.coalesce("cl", "gid")), "postings", posts)
     mixed = posts.groupBy("tok").agg(F.min("cl").alias("x"), F.max("cl").alias("y")).where("x <> y").select("tok")
     alone = F.count("*") == 1                              # a leader's sketch speaks for its group only if it is alone
     sketches = classes.groupBy("gid", "n").agg(*(F.when(alone, F.min(c)).alias(c) for c in SKETCH))
-    posts = posts.join(mixed, "tok", "left_semi").join(sketches, ["gid", "n"])
-    left = posts.select("tok", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "i", "cl", *SKETCH)))
-    right = posts.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "i", "cl", *SKETCH)))
+    sketched = posts.join(mixed, "tok", "left_semi").join(sketches, ["gid", "n"])
+    left = sketched.select("tok", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "i", "cl", *SKETCH)))
+    right = sketched.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "i", "cl", *SKETCH)))
     met = left.join(right, "tok").where((F.col("gid_a") < F.col("gid_b")) & (F.col("cl_a") != F.col("cl_b")) & rules.sizes("n_a", "n_b") & rules.positions("n_a", "n_b", "i_a", "i_b") & rules.parity("n_a", "n_b", "_a", "_b"))
     met = met.groupBy(F.col("gid_a").alias("ga"), F.col("gid_b").alias("gb"), "n_a", "n_b").agg(F.count("*").alias("c")).where(F.col("c") >= rules.shared("n_a", "n_b"))
     member = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in SKETCH))
     pairs = met.select("ga", "gb").join(member("a"), "ga").join(member("b"), "gb").where(rules.parity("n_a", "n_b", "_a", "_b"))
-    pairs = stage(pairs.select("a", "b").distinct(), "pairs")
-    final = components(links.union(verified(pairs, sets_of(ends_of(pairs), docs, k), threshold)))
+    pairs = stage_dropping(pairs.select("a", "b").distinct(), "pairs", posts)
+    sets = sets_of(ends_of(pairs), docs, k)
+    final = components(links.union(verified(pairs, sets, threshold)))
+    drop_staged(links, pairs, sets)
 
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("component_id"))
     named = named.dropDuplicates(["h1", "h2", "n"])
-    out = rows.drop(*SKETCH, "p", "prefix").join(named, ["h1", "h2", "n"], "left")
+    out = rows.join(named, ["h1", "h2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
