@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlane.operators import lags
+from pairlane.operators import inference, lags, rolls
 
 
 def shuffled_bytes(spark):
@@ -40,3 +40,47 @@ def test_shift_summary_sends_no_row_for_a_shift(spark):
     before = shuffled_bytes(spark)
     assert lags.shift_summary(d, ["clip"], 1.0, 3, lags.shift_table(500, 5, 255), 30).count() == 60
     assert shuffled_bytes(spark) - before < 100 * d.count()
+
+
+def bodies(spark, clips, seed=1):
+    g, rows = np.random.default_rng(seed), []
+    for c in range(clips):
+        for t in range(int(g.integers(90, 140))):
+            v = [float("nan") if g.random() < 0.1 else float(x) for x in g.normal(size=4)]
+            rows.append((c, t, None if g.random() < 0.05 else v[:2], None if g.random() < 0.05 else v[2:], int(g.integers(0, 4))))
+    return spark.createDataFrame(rows, "clip long, frame int, a array<double>, b array<double>, mask int").repartition(3)
+
+
+def alike(got, want, keys):
+    got, want = ({tuple(r[k] for k in keys): r.asDict() for r in x.collect()} for x in (got, want))
+    assert got.keys() == want.keys() and want
+    for k, row in want.items():
+        assert all(got[k][c] == (v if v is None or isinstance(v, str) else pytest.approx(v, abs=1e-9)) for c, v in row.items()), (k, got[k], row)
+
+
+def test_similarity_excess_whole_and_in_chunks(spark):
+    d, sets = bodies(spark, 4).cache(), {"shift": rolls.Spread(40, 5), "local": rolls.Fixed([3, -4, 200])}
+    want = rolls.null_excess(rolls.rolled_similarity(d, ["clip"], sets, 2, 1), ["clip", "mask"])
+    for size in (None, 115):
+        alike(rolls.similarity_excess(d, ["clip"], sets, 2, 1, size), want, ["clip", "mask", "set"])
+
+
+def test_window_tests_whole_and_in_chunks(spark):
+    d, sets, sides = pair(spark, 4, seed=2, gaps=False).cache(), {"shift": rolls.Spread(50, 5)}, {"r0": "two", "rmin": "less", "frac_neg": "greater", "frac_pos": "greater"}
+    want = rolls.null_tests(rolls.rolled_windows(d, ["clip"], sets, 3, 8, 2, 0.5, 30), ["clip"], sides)
+    for size in (None, 115):
+        alike(rolls.window_tests(d, ["clip"], sets, 3, 8, 2, 0.5, 30, sides, size=size), want, ["clip"])
+
+
+def test_rolled_spearman_whole_and_by_joins(spark):
+    d, shifts = pair(spark, 4, seed=3).withColumn("a", F.round("a", 0)).cache(), [0, 7, -9, 130]
+    want = inference.spearman(lags.rolled(d, ["clip"], F.array(*[F.lit(k) for k in shifts]), keep=("a",)), ["clip", "shift"], "a", "b", 30)
+    for size in (None, 115):
+        alike(rolls.rolled_spearman(d, ["clip"], shifts, 30, size), want, ["clip", "shift"])
+
+
+def test_rolled_spearman_copies_no_row_for_a_shift(spark):
+    d = pair(spark, 60, gaps=False).localCheckpoint()
+    before = shuffled_bytes(spark)
+    assert rolls.rolled_spearman(d, ["clip"], list(range(0, 80, 5)), 30).count() == 60 * 16
+    assert shuffled_bytes(spark) - before < 100 * d.count()
