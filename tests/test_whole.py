@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlane.operators import inference, lags, rolls
+from pairlane.operators import inference, lags, rolls, sequences
 
 
 def shuffled_bytes(spark):
@@ -84,3 +84,22 @@ def test_rolled_spearman_copies_no_row_for_a_shift(spark):
     before = shuffled_bytes(spark)
     assert rolls.rolled_spearman(d, ["clip"], list(range(0, 80, 5)), 30).count() == 60 * 16
     assert shuffled_bytes(spark) - before < 100 * d.count()
+
+
+def test_equal_signatures_are_compared_once(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    p, q = g.dirichlet(np.ones(4), 12), g.dirichlet(np.ones(4), 12)
+    rows = [(c, p[c % 12].tolist(), q[c % 12].tolist()) for c in range(600)]
+    h, staged, sizes = spark.createDataFrame(rows, "clip long, p array<double>, q array<double>"), sequences.staged, {}
+
+    def watched(df, name):
+        out = staged(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sequences, "staged", watched, raising=False)
+    d = np.stack([sequences.divergences(x[None], q) for x in p])
+    for r in sequences.nearest_signature(h, "clip", 5).collect():
+        i = r.clip % 12
+        assert r.best == d[i].argmin() and r.best_jsd == pytest.approx(d[i].min()) and r.self_jsd == pytest.approx(d[i, i])
+    assert sizes["first-halves"] == sizes["second-halves"] == 12
