@@ -88,28 +88,54 @@ def filtfilt(b, a, x):
 def filter_runs(df: DataFrame, keys: list[str], cols: list[str], fps: float, lo=None, hi=None, min_run: int = 13, size=None) -> DataFrame:
     """Zero-phase filter of each contiguous run of at least `min_run` rows; shorter runs give NULL.
     Output columns are named {col}_f."""
-    b, a = butter2(fps, lo, hi)
+    return filter_bands(df, keys, cols, fps, {"f": (lo, hi)}, min_run, size).drop(*cols)
+
+
+def filter_bands(df: DataFrame, keys: list[str], cols: list[str], fps: float, bands: dict[str, tuple], min_run: int = 13, size=None) -> DataFrame:
+    """`filter_runs` for several bands, name -> (lo, hi), in one pass: keys, frame, cols and {col}_{name}.
+
+    Each piece of a series is one row of arrays, so many pieces share an Arrow batch.
+    """
+    coef = [butter2(fps, lo, hi) for lo, hi in bands.values()]
+    names = [f"{c}_{n}" for c in cols for n in bands]
     whole = _whole(size)
-    h = min(max(_burn_in(a), min_run), (size or CHUNK) - 1) if not whole else 0
+    h = min(max(min_run, *(_burn_in(a) for _, a in coef)), (size or CHUNK) - 1) if not whole else 0
     d = df.select(*keys, "frame", *cols)
     d = d.withColumns({"_c": F.lit(0).cast("long"), "_core": F.lit(True)}) if whole else halo(d, h, h, "frame", size or CHUNK)
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("frame", ignore_index=True)
-        f = p["frame"].to_numpy()
-        for c in cols:
-            x = p[c].to_numpy(float)
-            y = np.full(len(x), np.nan)
+    def filtered(f: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+        step, out = np.diff(f) == 1, []
+        for x in columns:
             ok = np.isfinite(x)
-            cut = np.flatnonzero(~(ok[1:] & ok[:-1] & (np.diff(f) == 1))) + 1
-            for seg in np.split(np.arange(len(x)), cut):
-                if ok[seg[0]] and len(seg) >= min_run:
-                    y[seg] = filtfilt(b, a, x[seg])
-            p[c + "_f"] = pd.Series(y).astype("Float64").mask(np.isnan(y))
-        return p.loc[p["_core"], [*keys, "frame", *[c + "_f" for c in cols]]]
-
-    kt = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return d.groupBy(*keys, "_c").applyInPandas(kernel, f"{kt}, frame int, " + ", ".join(f"{c}_f double" for c in cols))
+            cut = np.flatnonzero(~(ok[1:] & ok[:-1] & step)) + 1
+            first, end = np.append(0, cut), np.append(cut, len(x))
+            runs = [(i, j) for i, j in zip(first, end) if j - i >= min_run and ok[i]]
+            for b, a in coef:
+                y = np.full(len(x), np.nan)
+                for i, j in runs:
+                    y[i:j] = filtfilt(b, a, x[i:j])
+                out.append(y)
+        return out
+
+    def kernel(frames):
+        for pdf in frames:
+            rows = []
+            for f, *columns in zip(pdf["frame"], *(pdf[c] for c in cols)):
+                order = np.argsort(f)
+                back = np.argsort(order)
+                rows.append([y[back] for y in filtered(np.asarray(f)[order], [np.asarray(x, float)[order] for x in columns])])
+            out = pdf[[*keys, "frame", "_core", *cols]].copy()
+            for i, n in enumerate(names):
+                out[n] = [r[i] for r in rows]
+            yield out
+
+    types = {k: df.schema[k].dataType.simpleString() for k in [*keys, "frame", *cols]}
+    g = d.groupBy(*keys, "_c").agg(F.collect_list(F.struct("frame", "_core", *cols)).alias("_s"))
+    arrays = g.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in ("frame", "_core", *cols)])
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"`{c}` array<{types[c]}>" for c in ("frame",)), "_core array<boolean>", *(f"`{c}` array<{types[c]}>" for c in cols), *(f"`{n}` array<double>" for n in names)])
+    rows = arrays.mapInPandas(kernel, schema).select(*keys, F.explode(F.arrays_zip("frame", "_core", *cols, *names)).alias("_r")).where("_r._core")
+    value = lambda n: F.when(~F.isnan(f"_r.{n}"), F.col(f"_r.{n}")).alias(n)          # a missing value is NULL, never NaN
+    return rows.select(*keys, F.col("_r.frame").alias("frame"), *[value(n) for n in [*cols, *names]])
 
 
 def phase_difference(df: DataFrame, keys: list[str], a: str, b: str, fps: float, lo=0.2, hi=2.5) -> DataFrame:

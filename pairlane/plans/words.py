@@ -130,11 +130,9 @@ def _(spark, sf):
 @query("bandpass_runs")
 def _(spark, sf):
     """Low, mid and high band of every run of at least sixteen rows."""
-    t = track(spark, sf)
-    out = t.select(*K, "frame")
-    for n, lo, hi in (("low", None, 0.5), ("mid", 0.5, 1.5), ("high", 1.5, None)):
-        out = out.join(SP.filter_runs(t, K, ["x"], 10.0, lo, hi, 16).withColumnRenamed("x_f", n), [*K, "frame"])
-    return out.select(*K, "frame", *[r(n, 5).alias(n) for n in ("low", "mid", "high")])
+    bands = {"low": (None, 0.5), "mid": (0.5, 1.5), "high": (1.5, None)}
+    out = SP.filter_bands(track(spark, sf), K, ["x"], 10.0, bands, 16)
+    return out.select(*K, "frame", *[r(f"x_{n}", 5).alias(n) for n in bands])
 
 
 @query("lowpass")

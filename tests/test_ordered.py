@@ -141,3 +141,28 @@ def test_bucketed_row_number(spark):
     df = spark.createDataFrame([(1, (i * 37) % 101) for i in range(101)], "k int, t int")
     got = O.bucketed_row_number(df, ["k"], F.floor(F.col("t") / 10), ["t"], "n")
     assert all(x["t"] == x["n"] for x in got.collect())
+
+
+@pytest.mark.parametrize("size", [5, 40, 1000])
+def test_short_and_long_keys_are_numbered_ranked_and_cut_alike(spark, size):
+    g = np.random.default_rng(8)
+    rows = [(k, int(t), float(v)) for k, n in ((1, 3), (2, 30), (3, 200), (None, 4)) for t, v in zip(g.permutation(n), g.integers(0, 90, n))]
+    d = spark.createDataFrame(rows, "clip long, t int, v double")
+    by = {k: sorted((t, v) for c, t, v in rows if c == k) for k in (1, 2, 3, None)}
+    n = O.bucketed_row_number(d, ["clip"], F.floor(F.col("t") / 16), ["t"], "i", size=size)
+    assert all(r["i"] == r["t"] for r in n.where("clip IS NOT NULL").collect()) and n.where("clip IS NOT NULL").count() == 233
+    q = {r["clip"]: (r["n"], r["m"], r["p"]) for r in O.quantiles(d, ["clip"], "v", {"m": 0.5, "p": 0.95}, size=size).collect()}
+    ranks = {(r["clip"], r["v"]): (r["ties"], r["rank"], r["n"]) for r in O.average_ranks(d, ["clip"], "v", size=size).collect()}
+    for k in (1, 2, 3):
+        v = np.array([x for _, x in by[k]])
+        assert q[k][0] == len(v) and np.allclose(q[k][1:], np.quantile(v, [0.5, 0.95]))
+        for x in set(v):
+            assert ranks[k, x] == ((v == x).sum(), (v < x).sum() + ((v == x).sum() + 1) / 2, len(v))
+
+
+def test_short_keys_write_no_staged_rows(spark, monkeypatch):
+    """Numbers of short series come from one window over the scan: nothing is written first, no chunk sums are joined."""
+    monkeypatch.setattr(O, "staged", lambda df, name: pytest.fail(f"{name} staged"))
+    d = spark.range(100).selectExpr("id % 3 AS clip", "id AS t")
+    n = O.bucketed_row_number(d, ["clip"], F.col("t"), ["t"], "i")
+    assert sorted(r["i"] for r in n.where("clip = 0").collect()) == list(range(34))

@@ -179,6 +179,20 @@ def test_filter_runs_chunked(spark):
     assert w.keys() == s.keys() and all((w[k] is None) == (s[k] is None) and (w[k] is None or abs(w[k] - s[k]) < 1e-6) for k in w)
 
 
+def test_bands_of_one_pass_are_the_filters_alone(spark):
+    """Three bands of many series, one with a missing stretch, come from one pass and equal the filter on the run itself."""
+    xs = {1: ar(120, 4), 2: ar(60, 5), 3: ar(10, 6)}
+    xs[1][50:53] = np.nan
+    d = spark.createDataFrame([(k, i, None if v != v else float(v)) for k, x in xs.items() for i, v in enumerate(x)], "clip long, frame int, x double")
+    bands = {"low": (None, 0.5), "mid": (0.5, 1.5), "high": (1.5, None)}
+    got = {(r["clip"], r["frame"]): r for r in SP.filter_bands(d, ["clip"], ["x"], 10.0, bands, 16).collect()}
+    assert len(got) == 190 and got[1, 50]["x"] is None and got[3, 4]["x_low"] is None
+    for n, (lo, hi) in bands.items():
+        b, a = SP.butter2(10.0, lo, hi)
+        for k, i, j in ((1, 0, 50), (1, 53, 120), (2, 0, 60)):
+            assert np.allclose([got[k, f][f"x_{n}"] for f in range(i, j)], SP.filtfilt(b, a, xs[k][i:j]))
+
+
 def test_rank_tests_and_exact_p(spark):
     g = np.random.default_rng(2)
     a, b = np.round(g.normal(0.3, 1, 60), 1), np.round(g.normal(0, 1, 50), 1)
