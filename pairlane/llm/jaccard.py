@@ -10,13 +10,22 @@ from .common import WordHash, chunks, components, drop_staged, hashes, mix, shin
 BUCKETS = 1 << 16
 BLOCK = 256
 SKETCH = ["s0", "s1", "s2", "s3"]
-_WORDS = WordHash()
+_WORDS = WordHash(1 << 16)
 
 
 def _set(text: str | None, k: int) -> np.ndarray:
     return shingle_set(hashes(words_of(text, lower=True), _WORDS), k)
 
 
+def pieces(frames):
+    """(doc_ids, texts) of consecutive rows that hold about a million characters: sets of a whole Arrow batch are never held at once."""
+    for pdf in frames:
+        at = 0
+        for texts in chunks(pdf.text, 1_000_000):
+            yield pdf.doc_id.iloc[at:at + len(texts)].to_numpy(), texts
+            at += len(texts)
+
+
 def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
     """Shingle occurrences (one a document) by the top 16 bits of the shingle, over all documents."""
 
@@ -57,9 +66,9 @@ def prefixes(docs: DataFrame, k: int, threshold: int) -> DataFrame:
 
     def sketch(frames):
         order = shared.value
-        for pdf in frames:
+        for ids, texts in pieces(frames):
             rows = []
-            for d, t in zip(pdf.doc_id, pdf.text):
+            for d, t in zip(ids, texts):
                 s = _set(t, k)
                 n = len(s)
                 keys = np.sort(order_key(s, order))
@@ -104,8 +113,8 @@ def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """doc_id, x: the shingle sets of the documents named in `ids`; no other document is read into a set."""
 
     def collect(frames):
-        for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "x": [_set(t, k).astype(np.int64) for t in pdf.text]})
+        for ids, texts in pieces(frames):
+            yield pd.DataFrame({"doc_id": ids, "x": [_set(t, k).astype(np.int64) for t in texts]})
 
     return stage(docs.select("doc_id", "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(collect, "doc_id long, x array<long>"), "sets")
 

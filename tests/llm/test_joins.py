@@ -154,3 +154,15 @@ def test_substrings_of_odd_ids(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in substrings.dedup_substrings(df, 12).collect())
     assert got == [(0, 2, 0, "a b"), (1, 20, 20, ""), (1, 20, 20, ""), (2, 1, 0, "c")]
     assert substrings.dedup_substrings(df.limit(0), 12).count() == 0
+
+
+def test_sets_of_a_batch_leave_it_in_pieces():
+    """Long texts of one Arrow batch pass in pieces of about a million characters, in order and complete; the word cache is bounded."""
+    import pandas as pd
+    from pairlane.llm import jaccard
+    texts = ["a" * 400_000] * 7 + [None, ""]
+    got = [(list(i), t) for i, t in jaccard.pieces([pd.DataFrame({"doc_id": range(9), "text": texts})])]
+    assert [i for ids, _ in got for i in ids] == list(range(9)) and [t for _, ts in got for t in ts] == texts
+    assert max(sum(len(t or "") for t in ts) for _, ts in got) <= 1_400_000
+    words = jaccard.WordHash(100)
+    assert all(words[b"%d" % i] == jaccard.WordHash()[b"%d" % i] for i in range(1000)) and len(words) <= 100
