@@ -179,6 +179,32 @@ def test_filter_runs_chunked(spark):
     assert w.keys() == s.keys() and all((w[k] is None) == (s[k] is None) and (w[k] is None or abs(w[k] - s[k]) < 1e-6) for k in w)
 
 
+def test_surrogates_of_one_task_are_those_of_the_rows(spark):
+    """A sequence that fits a piece draws the same replicates in one task, and both ways give the same tests."""
+    g = np.random.default_rng(7)
+    rows = []
+    for k, n in ((1, 60), (2, 25), (3, 2), (4, 1), (5, 11)):
+        x = [0]
+        while len(x) < n:
+            x.append(int((x[-1] + g.integers(1, 4)) % 4))
+        rows += [(k, i, "abcd"[v]) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "clip long, i int, symbol string")
+    number = {r["clip"]: r["k"] for r in d.selectExpr("clip", "xxhash64(clip) AS k").distinct().collect()}
+    for kind in ("shuffle", "markov1"):
+        out = Q.surrogates(d, "clip", 4, kind).toPandas()
+        for k in (1, 2, 5):
+            own = [s for c, _, s in rows if c == k]
+            want = [["abcd".index(s) for s in q.sort_values("i").symbol] for _, q in out[out["clip"] == k].groupby("rep")]
+            names = sorted(set(own))
+            assert [["abcd".index(names[v]) for v in row] for row in Q.replicates(own, number[k], 4, kind)] == want
+    get = lambda size: {r["clip"]: r.asDict() for r in Q.surrogate_tests(d, "clip", 5, size=size).collect()}
+    whole, cut = get(1000), {r["clip"]: r.asDict() for r in Q.measures(d, ["clip"]).collect()}
+    assert set(whole) == set(cut) == {1, 2, 3, 5}
+    for k in cut:
+        for c in Q.MEASURES:
+            assert (whole[k][c] is None) == (cut[k][c] is None) and (cut[k][c] is None or abs(whole[k][c] - cut[k][c]) < 1e-9)
+
+
 def test_bands_of_one_pass_are_the_filters_alone(spark):
     """Three bands of many series, one with a missing stretch, come from one pass and equal the filter on the run itself."""
     xs = {1: ar(120, 4), 2: ar(60, 5), 3: ar(10, 6)}
