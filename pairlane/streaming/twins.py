@@ -6,10 +6,10 @@ everything available and writes to files, with checkpoint and output in the shar
 """
 from __future__ import annotations
 
-import itertools
 import pickle
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -105,17 +105,23 @@ def two_slots(det: DataFrame, max_dist=60.0, fps=1.0) -> DataFrame:
     """
     def step(key, batches, state):
         tr, last, held, late = pickle.loads(state.get[0]) if state.exists else (TwoSlots(max_dist, 1 / fps), None, [], 0)
-        for pdf in batches:
-            held += [dict(zip(pdf.columns, row)) for row in zip(*(pdf[c].tolist() for c in pdf.columns))]
-        late += sum(last is not None and r["frame"] <= last for r in held)
-        held = sorted((r for r in held if last is None or r["frame"] > last), key=lambda r: (r["frame"], r["track_id"]))
-        out, newest = [], held[-1]["frame"] if held else None
-        for f, rows in itertools.groupby([r for r in held if r["frame"] < newest], key=lambda r: r["frame"]):
+        # the rows of a micro-batch stay columns; only those of one frame at a time become records
+        rows = pd.concat([pd.DataFrame(held), *(pdf.drop(columns="clip") for pdf in batches)], ignore_index=True)
+        if len(rows) and last is not None:
+            late += int((rows["frame"] <= last).sum())
+            rows = rows[rows["frame"] > last]
+        rows = rows.sort_values(["frame", "track_id"], kind="stable", ignore_index=True) if len(rows) else rows
+        number = rows["frame"].to_numpy(np.int64) if len(rows) else np.empty(0, np.int64)
+        cut = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(rows) else [], len(rows)).astype(int)
+        of = lambda i: rows.iloc[cut[i]:cut[i + 1]].to_dict("records")
+        out = []
+        for i in range(len(cut) - 2):
+            f = int(number[cut[i]])
             tr.skip(f - last - 1 if last is not None else 0)
             last = f
-            a, b = tr.step(list(rows))
+            a, b = tr.step(of(i))
             out.append((key[0], f, None if a is None else a["track_id"], None if b is None else b["track_id"], late))
-        state.update((pickle.dumps((tr, last, [r for r in held if r["frame"] == newest], late)),))
+        state.update((pickle.dumps((tr, last, of(len(cut) - 2) if len(rows) else [], late)),))
         yield pd.DataFrame(out, columns=["clip", "frame", "track_a", "track_b", "n_late"]).astype({"track_a": "Int64", "track_b": "Int64", "frame": "int32", "n_late": "int64"})
     return det.groupBy("clip").applyInPandasWithState(step, "clip string, frame int, track_a long, track_b long, n_late long", "s binary", "append", "NoTimeout")
 

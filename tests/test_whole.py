@@ -103,3 +103,23 @@ def test_equal_signatures_are_compared_once(spark, monkeypatch):
         i = r.clip % 12
         assert r.best == d[i].argmin() and r.best_jsd == pytest.approx(d[i].min()) and r.self_jsd == pytest.approx(d[i, i])
     assert sizes["first-halves"] == sizes["second-halves"] == 12
+
+
+def test_stream_rows_of_a_batch_stay_columns():
+    """The tracker's state function makes records of one frame at a time, so a large micro-batch needs little more than its columns."""
+    import tracemalloc
+    from types import SimpleNamespace
+    import pandas as pd
+    from pairlane.streaming import twins
+    found = []
+    grouped = SimpleNamespace(applyInPandasWithState=lambda step, *rest: found.append(step))
+    twins.two_slots(SimpleNamespace(groupBy=lambda key: grouped))
+    state = SimpleNamespace(exists=False, update=lambda value: None)
+    n = 100_000
+    x = np.random.default_rng(1).uniform(0, 100, n)
+    pdf = pd.DataFrame({"clip": "a", "frame": np.arange(n) // 1000, "track_id": np.arange(n) % 1000, "cx": x, "cy": x, "x1": x - 4, "y1": x - 4, "x2": x + 4, "y2": x + 4})
+    tracemalloc.start()
+    out = pd.concat(found[0](("a",), [pdf], state))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["frame"].tolist() == list(range(99)) and peak < 45e6, peak
