@@ -104,7 +104,13 @@ class _Rules:
 
     def shared(self, na: str, nb: str) -> Column:
         """How many prefix shingles two linked sets of these sizes share at least."""
-        n = F.least(na, nb)
+        return self._half_slack(F.least(na, nb))
+
+    def shared_with_any(self, n: str) -> Column:
+        """How many prefix shingles a set of this size shares at least with whatever links with it: the smallest such set decides."""
+        return self._half_slack(F.floor((F.col(n) * self.t + 99) / 100))
+
+    def _half_slack(self, n: Column) -> Column:
         slack = n - F.floor((n * self.t + 99) / 100)
         return F.greatest(F.lit(1), F.floor((slack + 1) / 2))
 
@@ -119,6 +125,14 @@ def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return stage(docs.select("doc_id", "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(collect, "doc_id long, x array<long>"), "sets")
 
 
+def able(posts: DataFrame, rules: _Rules) -> DataFrame:
+    """The postings (gid, n, tok, ...) of groups that have as many of them as any link needs.  Given postings of shingles that
+    more than one group has, the others share too few with any group, so no link is lost."""
+    enough = posts.groupBy("gid", "n").agg(F.count("*").alias("c")).where(F.col("c") >= rules.shared_with_any("n"))
+    enough = stage(enough.select("gid"), "able")
+    return stage_dropping(posts.join(enough, "gid", "left_semi"), "postings", posts, enough)
+
+
 def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
 
@@ -200,13 +214,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     its set's component.  An empty table gives no rows; other columns are not read.
 
     Equal sets collapse into one class, classes with equal size and equal prefix into one group, and groups meet
-    on prefix shingles.  A component needs no more links than join it, so no list of all pairs of a group is made:
+    on prefix shingles.  A group that shares fewer of them with all others together than a link needs meets no one (`able`).
+    A component needs no more links than join it, so no list of all pairs of a group is made:
 
     1. Stars: each group meets the smallest group on each of its shingles, and each class its group's leader; that is
        linear in the postings.  Verified pairs are links and give components; all pairs, verified or not, give
        clusters.
     2. Inside a cluster with more than one component, blocks of documents meet in a task (`block_links`).
-    3. Groups of different clusters that still share enough prefix shingles meet in pairs, member by member.
+    3. Groups of different clusters that still share enough prefix shingles meet in pairs, member by member.  Only shingles
+       of more than one cluster count, and groups left with too few of those are out here too: most only quote a passage.
 
     Every pair that the rules on sizes, positions and shared prefix shingles admit lies in a component, in a cluster or
     between two clusters, so the components are those of all links.
@@ -220,12 +236,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     heads = classes.where("rep = gid").select(F.col("gid").alias("doc_id"), "n", "h1", "h2").distinct()
 
     posts = full.join(heads, ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("i", "tok"))
-    shared = posts.groupBy("tok").agg(F.count("*").alias("c"), F.min("gid").alias("hub")).where("c > 1").select("tok", "hub")
-    posts = stage(posts.join(shared, "tok"), "postings")
+    shared = posts.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    posts = able(stage(posts.join(shared, "tok", "left_semi"), "postings"), rules)
     # the end needs no prefixes: they are the bulk of the rows
     rows = stage_dropping(rows.select("doc_id", "n", "h1", "h2"), "ids", rows)
 
-    hubs = posts.where("gid = hub").select("tok", F.col("gid").alias("hid"), F.col("n").alias("hn"), F.col("i").alias("hi"))
+    hubs = posts.groupBy("tok").agg(F.min(F.struct("gid", "n", "i")).alias("hub")).select("tok", F.col("hub.gid").alias("hid"), F.col("hub.n").alias("hn"), F.col("hub.i").alias("hi"))
     star = posts.join(hubs, "tok").where((F.col("gid") > F.col("hid")) & rules.sizes("n", "hn") & rules.positions("n", "hn", "i", "hi"))
     star = star.groupBy(F.col("hid").alias("a"), F.col("gid").alias("b"), "n", "hn").agg(F.count("*").alias("c")).where(F.col("c") * 4 >= rules.shared("n", "hn")).select("a", "b")
     inner = classes.where(F.col("rep") != F.col("gid")).select(F.col("gid").alias("a"), F.col("rep").alias("b"))
@@ -237,11 +253,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     members = cluster.select(F.col("comp").alias("cluster"), F.col("id").alias("doc_id")).join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     links = stage_dropping(links.union(block_links(members, sets, threshold)), "links", links, sets, star)
 
-    posts = stage_dropping(posts.drop("hub").join(cluster.select(F.col("id").alias("gid"), F.col("comp").alias("cl")), "gid", "left").withColumn("cl", F.coalesce("cl", "gid")), "postings", posts)
+    posts = stage_dropping(posts.join(cluster.select(F.col("id").alias("gid"), F.col("comp").alias("cl")), "gid", "left").withColumn("cl", F.coalesce("cl", "gid")), "postings", posts)
     mixed = posts.groupBy("tok").agg(F.min("cl").alias("x"), F.max("cl").alias("y")).where("x <> y").select("tok")
+    posts = able(stage_dropping(posts.join(mixed, "tok", "left_semi"), "postings", posts), rules)
     alone = F.count("*") == 1                              # a leader's sketch speaks for its group only if it is alone
     sketches = classes.groupBy("gid", "n").agg(*(F.when(alone, F.min(c)).alias(c) for c in SKETCH))
-    sketched = posts.join(mixed, "tok", "left_semi").join(sketches, ["gid", "n"])
+    sketched = posts.join(sketches, ["gid", "n"])
     left = sketched.select("tok", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "i", "cl", *SKETCH)))
     right = sketched.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "i", "cl", *SKETCH)))
     met = left.join(right, "tok").where((F.col("gid_a") < F.col("gid_b")) & (F.col("cl_a") != F.col("cl_b")) & rules.sizes("n_a", "n_b") & rules.positions("n_a", "n_b", "i_a", "i_b") & rules.parity("n_a", "n_b", "_a", "_b"))

@@ -166,3 +166,23 @@ def test_sets_of_a_batch_leave_it_in_pieces():
     assert max(sum(len(t or "") for t in ts) for _, ts in got) <= 1_400_000
     words = jaccard.WordHash(100)
     assert all(words[b"%d" % i] == jaccard.WordHash()[b"%d" % i] for i in range(1000)) and len(words) <= 100
+
+
+def test_groups_that_only_quote_a_passage_do_not_meet(spark, monkeypatch):
+    words = lambda a, n: [f"{a}x{i}" for i in range(n)]
+    quoting = [" ".join(words(d, 300) + words("q", 24)) for d in range(30)]
+    copy = quoting[0].split()
+    copy[5] = "other"
+    df = spark.createDataFrame(list(enumerate([*quoting, " ".join(copy)])), "doc_id long, text string")
+    postings, plain = [], jaccard.stage_dropping
+
+    def counted(df, name, *used):
+        out = plain(df, name, *used)
+        if name == "postings":
+            postings.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stage_dropping", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, 5, 80).collect()}
+    assert got == {i: i for i in range(30)} | {30: 0}
+    assert postings[-1] == 0
