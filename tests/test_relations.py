@@ -296,3 +296,17 @@ def test_camera_fit_finds_the_swap(spark):
     d = spark.createDataFrame(rows, f"clip long, frame int, l {X}, f {X}, p {U}, q {U}")
     r = {x["frame"]: x["lead"] for x in I.fit_camera_rounds(d, 8).collect()}
     assert all(r[f] == (f % 12 != 0) for f in r)
+
+
+@pytest.mark.parametrize("dyads", [[(1, 5.0, 5.0), (2, 9.0, 4.0), (3, 1.0, 7.0)], [(1, 5.0, 5.0), (2, 3.0, 4.0)], []])
+def test_condition_contrast_ranks_zeros_as_its_sql(spark, tmp_path, dyads):
+    import duckdb
+    from pairlane.plans import catalogue
+    rows = [(k, flag, status, v) for k, a, n in dyads for flag, status, v in (("A", "O", a), ("N", "F", n))]
+    path = str(tmp_path / "lineitem.parquet")
+    spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_linestatus string, l_extendedprice double").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{path}/*.parquet'")
+    cur = con.execute(catalogue.ORACLES["condition_contrast"])
+    want = [dict(zip([c[0] for c in cur.description], x)) for x in cur.fetchall()]
+    assert [x.asDict() for x in catalogue.QUERIES["condition_contrast"](spark, str(tmp_path)).collect()] == want
