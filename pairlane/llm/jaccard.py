@@ -3,12 +3,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import WordHash, chunks, components, drop_staged, hashes, mix, shingle_set, stage, stage_dropping, words_of
 
 BUCKETS = 1 << 16
 BLOCK = 256
+CROWD_BIT = 58
 SKETCH = ["s0", "s1", "s2", "s3"]
 _WORDS = WordHash(1 << 16)
 
@@ -46,7 +47,7 @@ def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
 def order_key(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     """Global order of shingles: those in crowded buckets last, else by hash.  Any order that all documents share
     gives the same links; this one keeps very common passages out of the prefixes."""
-    return (heavy[(s >> np.uint64(48)).astype(np.int64)] << np.uint64(58)) | (mix(s) >> np.uint64(6))
+    return (heavy[(s >> np.uint64(48)).astype(np.int64)] << np.uint64(CROWD_BIT)) | (mix(s) >> np.uint64(64 - CROWD_BIT))
 
 
 def prefixes(docs: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -125,6 +126,20 @@ def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return stage(docs.select("doc_id", "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(collect, "doc_id long, x array<long>"), "sets")
 
 
+def shared_postings(prefixed: DataFrame) -> DataFrame:
+    """gid, n, i, tok: each prefix shingle that more than one row of `prefixed` (gid, n, prefix) has.
+
+    A shingle tells by its first bits how crowded its bucket is.  One from a bucket of less than twice the mean count is in
+    few documents (at most 2 / 65,536 of all shingles), so its postings meet in one task and travel once; others, of any
+    count, are counted first, which no single task does alone."""
+    crowd = lambda tok: F.shiftrightunsigned(tok, CROWD_BIT) > 0
+    spread = lambda df: df.select("gid", "n", F.posexplode("prefix").alias("i", "tok"))
+    rare = spread(prefixed).where(~crowd("tok")).withColumn("c", F.count("*").over(W.partitionBy("tok"))).where("c > 1").drop("c")
+    common = spread(prefixed.where(crowd(F.try_element_at("prefix", F.lit(-1))))).where(crowd("tok"))     # the crowded come last
+    several = common.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    return rare.unionByName(common.join(several, "tok", "left_semi"))
+
+
 def able(posts: DataFrame, rules: _Rules) -> DataFrame:
     """The postings (gid, n, tok, ...) of groups that have as many of them as any link needs.  Given postings of shingles that
     more than one group has, the others share too few with any group, so no link is lost."""
@@ -219,7 +234,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
 
     1. Stars: each group meets the smallest group on each of its shingles, and each class its group's leader; that is
        linear in the postings.  Verified pairs are links and give components; all pairs, verified or not, give
-       clusters.
+       clusters.  A group whose shared shingles lie too far from the smallest group's to link with it, but are enough,
+       is in its cluster too: it may link with other members, and left outside it would meet each of them in step 3.
     2. Inside a cluster with more than one component, blocks of documents meet in a task (`block_links`).
     3. Groups of different clusters that still share enough prefix shingles meet in pairs, member by member.  Only shingles
        of more than one cluster count, and groups left with too few of those are out here too: most only quote a passage.
@@ -228,26 +244,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     between two clusters, so the components are those of all links.
     """
     rules = _Rules(threshold)
-    rows = stage(prefixes(docs, k, threshold), "prefixes")
+    rows = stage(prefixes(docs, k, threshold).withColumn("row", F.monotonically_increasing_id()), "prefixes")
     full = rows.where("n > 0")
-    classes = full.where("doc_id IS NOT NULL").groupBy("h1", "h2", "n", "p", *SKETCH).agg(F.min("doc_id").alias("rep"))
+    classes = full.where("doc_id IS NOT NULL").groupBy("h1", "h2", "n", "p", *SKETCH).agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = classes.select("*", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"))
     leaders = classes.groupBy("n", "p").agg(F.min("rep").alias("gid"))
-    classes = stage(classes.join(leaders, ["n", "p"]).select("h1", "h2", "n", *SKETCH, "rep", "gid"), "classes")
-    heads = classes.where("rep = gid").select(F.col("gid").alias("doc_id"), "n", "h1", "h2").distinct()
-
-    posts = full.join(heads, ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("i", "tok"))
-    shared = posts.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-    posts = able(stage(posts.join(shared, "tok", "left_semi"), "postings"), rules)
+    classes = stage(classes.join(leaders, ["n", "p"]).select("h1", "h2", "n", *SKETCH, "rep", "row", "gid"), "classes")
+    heads = full.join(classes.where("rep = gid").select("row"), "row", "left_semi").select(F.col("doc_id").alias("gid"), "n", "prefix")
+    posts = able(stage(shared_postings(heads), "postings"), rules)
     # the end needs no prefixes: they are the bulk of the rows
     rows = stage_dropping(rows.select("doc_id", "n", "h1", "h2"), "ids", rows)
 
     hubs = posts.groupBy("tok").agg(F.min(F.struct("gid", "n", "i")).alias("hub")).select("tok", F.col("hub.gid").alias("hid"), F.col("hub.n").alias("hn"), F.col("hub.i").alias("hi"))
-    star = posts.join(hubs, "tok").where((F.col("gid") > F.col("hid")) & rules.sizes("n", "hn") & rules.positions("n", "hn", "i", "hi"))
-    star = star.groupBy(F.col("hid").alias("a"), F.col("gid").alias("b"), "n", "hn").agg(F.count("*").alias("c")).where(F.col("c") * 4 >= rules.shared("n", "hn")).select("a", "b")
-    inner = classes.where(F.col("rep") != F.col("gid")).select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    star = stage(star.union(inner).distinct(), "stars")
+    star = posts.join(hubs, "tok").where((F.col("gid") > F.col("hid")) & rules.sizes("n", "hn")).groupBy(F.col("hid").alias("a"), F.col("gid").alias("b"), "n", "hn")
+    star = star.agg(F.count("*").alias("c"), F.count_if(rules.positions("n", "hn", "i", "hi")).alias("near"))
+    needed = rules.shared("n", "hn")
+    star = star.select("a", "b", (F.col("near") * 4 >= needed).alias("near"), (F.col("c") >= needed).alias("far")).where("near OR far").select("a", "b", "near")
+    inner = classes.where(F.col("rep") != F.col("gid")).select(F.col("gid").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("near"))
+    star = stage(star.union(inner).groupBy("a", "b").agg(F.max("near").alias("near")), "stars")
     sets = sets_of(ends_of(star), docs, k)
-    links = stage(verified(star, sets, threshold), "links")
+    links = stage(verified(star.where("near").drop("near"), sets, threshold), "links")
     comp, cluster = components(links), components(star)
 
     members = cluster.select(F.col("comp").alias("cluster"), F.col("id").alias("doc_id")).join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))

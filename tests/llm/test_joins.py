@@ -186,3 +186,39 @@ def test_groups_that_only_quote_a_passage_do_not_meet(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, 5, 80).collect()}
     assert got == {i: i for i in range(30)} | {30: 0}
     assert postings[-1] == 0
+
+
+def test_strays_of_a_family_of_copies_lie_in_its_cluster(spark, monkeypatch):
+    """Copies with many edits share enough prefix shingles with the family's smallest member, but too far from their places there to link with it."""
+    base = [f"b{i}" for i in range(300)]
+
+    def edited(d, n):
+        w = list(base)
+        for j in range(n):
+            w[7 + (300 // n) * j + d % 20] = f"e{d}x{j}"
+        return " ".join(w)
+
+    docs = {0: " ".join(base)} | {d: edited(d, 2) for d in range(1, 21)} | {d: edited(d, 8) for d in range(100, 120)}
+    postings, plain = [], jaccard.stage_dropping
+
+    def counted(df, name, *used):
+        out = plain(df, name, *used)
+        if name == "postings":
+            postings.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stage_dropping", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), 5, 80).collect()}
+    assert got == {d: 0 if d < 100 else d for d in docs}
+    assert postings[0] > 0 and postings[-1] == 0
+
+
+def test_shared_postings_equal_brute_force(spark):
+    rng = random.Random(5)
+    tokens = list(range(60)) + [(rng.randint(1, 30) << jaccard.CROWD_BIT) + i for i in range(40)]
+    rows = [(g, 9, sorted(rng.sample(tokens, rng.randint(0, 12)))) for g in range(30)]
+    df = spark.createDataFrame(rows, "gid long, n long, prefix array<long>").repartition(3)
+    held = [t for *_, p in rows for t in p]
+    want = sorted((g, n, i, t) for g, n, p in rows for i, t in enumerate(p) if held.count(t) > 1)
+    assert sorted(map(tuple, jaccard.shared_postings(df).select("gid", "n", "i", "tok").collect())) == want
+    assert 0 < len(want) < len(held)
