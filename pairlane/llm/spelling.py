@@ -75,6 +75,12 @@ def _chunks(word: Column, length: Column, shift: Column) -> list[Column]:
             key(2, _piece(word, zero, half), moved(third, length)), key(3, _piece(word, zero, half), _piece(word, half, third))]
 
 
+def _by_merge(words: DataFrame) -> DataFrame:
+    """A side of a join that grows with the words: never broadcast, as Spark takes an exploded table for no larger than its input and a compressed
+    file for its rows."""
+    return words.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, b: all ordered pairs of distinct words that one inserted, deleted or replaced code point turns into each other.
 
@@ -86,7 +92,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     grams = [k for d in (0, 1) for k in _chunks(F.col("word"), F.col("len") + d, F.lit(-d))]
     grams = words.select(F.col("word").alias("b"), F.col("len").alias("lb"), F.explode(F.array_distinct(F.array(*grams))).alias("key"))
     near = F.levenshtein("a", "b", 1) == 1
-    found = chunks.join(grams, (chunks.key == grams.key) & ((F.col("la") > F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))) & near)
+    found = chunks.join(_by_merge(grams), (chunks.key == grams.key) & ((F.col("la") > F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))) & near)
     pairs = found.select("a", "b").distinct()
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -98,18 +104,18 @@ def group_variants(counted: DataFrame) -> DataFrame:
     at least twice the count each time, so the way to the root ends, and doubling steps follow it.
     """
     words = stage(counted, "words")
-    near = near_pairs(words).join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
+    near = near_pairs(words).join(_by_merge(words.select(F.col("word").alias("b"), F.col("n").alias("nb"))), "b")
     best = near.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("nb")).alias("m"), F.col("b").alias("form"))).alias("best"))
-    found = words.join(best, "word", "left").withColumn("has", F.coalesce(-F.col("best.m") >= 2 * F.col("n"), F.lit(False)))
+    found = words.join(_by_merge(best), "word", "left").withColumn("has", F.coalesce(-F.col("best.m") >= 2 * F.col("n"), F.lit(False)))
     found = stage_dropping(found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("has"), F.col("best.form")).alias("form"), F.when(F.col("has"), -F.col("best.m")).alias("form_n")), "forms", words)
     way = found.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:                                             # a word whose form has a form goes on to where that one stands
         on = way.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = stage(way.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        step = stage(way.join(_by_merge(on), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         way = step.select("word", "root")
         if step.where("moved").isEmpty():
             break
-    return found.join(way, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(_by_merge(way), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_groups(docs: DataFrame) -> DataFrame:

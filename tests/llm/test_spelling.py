@@ -91,3 +91,16 @@ def test_very_long_text_empty_table_clashing_names(spark):
     rows = [(1, "Straße " * 400_000, "w", 1)]
     assert got(spelling.spelling_groups(spark.createDataFrame(rows, SCHEMA + ", word string, n long"))) == groups(counts([r[:2] for r in rows]))
     assert got(spelling.spelling_groups(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    words = spark.createDataFrame([("colour", 9), ("color", 4), ("colours", 3)], "word string, n long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        near, out = spelling.near_pairs(words), spelling.group_variants(words)
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (near, out)]
+        assert all("Join" in p and "Broadcast" not in p for p in plans)
+        assert {(r.word, r.form, r.n_near) for r in out.collect()} == {("colour", None, 2), ("color", "colour", 1), ("colours", "colour", 1)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
