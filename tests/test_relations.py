@@ -310,3 +310,14 @@ def test_condition_contrast_ranks_zeros_as_its_sql(spark, tmp_path, dyads):
     cur = con.execute(catalogue.ORACLES["condition_contrast"])
     want = [dict(zip([c[0] for c in cur.description], x)) for x in cur.fetchall()]
     assert [x.asDict() for x in catalogue.QUERIES["condition_contrast"](spark, str(tmp_path)).collect()] == want
+
+
+def test_condition_contrast_adds_up_once(spark, monkeypatch):
+    from pairlane.plans import catalogue
+    from pairlane.sources import views as V
+    last = F.udf(lambda v: v + np.random.default_rng().random() * 1e-9, "double").asNondeterministic()       # sums that end differently each time they are made
+    rows = [(k, flag, status, v) for k in range(40) for flag, status, v in (("A", "O", 10.0 + k), ("N", "F", 1.0))]
+    d = spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_linestatus string, l_extendedprice double")
+    monkeypatch.setattr(V, "table", lambda *_: d.withColumn("l_extendedprice", last("l_extendedprice")))
+    got = catalogue.QUERIES["condition_contrast"](spark, "").collect()[0]
+    assert (got.n, got.positive, got.w_plus) == (40, 40, 820.0)
