@@ -321,3 +321,21 @@ def test_condition_contrast_adds_up_once(spark, monkeypatch):
     monkeypatch.setattr(V, "table", lambda *_: d.withColumn("l_extendedprice", last("l_extendedprice")))
     got = catalogue.QUERIES["condition_contrast"](spark, "").collect()[0]
     assert (got.n, got.positive, got.w_plus) == (40, 40, 820.0)
+
+
+def test_continuity_gives_jitter_and_bodies_without_speed(spark, tmp_path):
+    import datetime
+    import duckdb
+    from pairlane.plans import catalogue
+    g = np.random.default_rng(4)
+    day = datetime.datetime(1996, 1, 1)
+    rows = [(i, int(g.integers(0, 40)), s, 1, float(g.integers(20, 30)), 40_000 + float(g.integers(0, 9000)), 0.05, 0.08 if s == 2 else 0.02, day + datetime.timedelta(days=i)) for s in (1, 2) for i in range(80)]
+    path = str(tmp_path / "lineitem.parquet")
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp_ntz").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{path}/*.parquet'")
+    cur = con.execute(catalogue.ORACLES["continuity"])
+    want = sorted((dict(zip([c[0] for c in cur.description], x)) for x in cur.fetchall()), key=lambda x: (x["clip"], x["body"]))
+    got = sorted((x.asDict() for x in catalogue.QUERIES["continuity"](spark, str(tmp_path)).collect()), key=lambda x: (x["clip"], x["body"]))
+    assert got == want and len(got) == 4
+    assert got[0]["jitter_med"] > 0 and got[2] == {"clip": 2, "body": "A", "n": 0, "stop_frac": None, "speed_med": None, "jitter_med": None}
